@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import digest, hex_slice
 from ..functions.vectors import euclid_sql, nearest_distance_sql, nearest_sql
-from ..runtime import cached, settle, spread
+from ..runtime import settle, working
 
 KEYS = ["block_id", "trial"]
 NARROW = 64
@@ -95,7 +95,7 @@ def _long(state: DataFrame) -> DataFrame:
 
 def block_kmeans(rows: DataFrame, k: int = 2, iters: int = 100, tol: float = 1e-4) -> DataFrame:
     """Centres of every block: (block_id, centre_id, c). ``rows`` has block_id, u, x."""
-    with cached(spread(rows.select("block_id", "u", "x"))) as data:
+    with working(rows.select("block_id", "u", "x")) as data:
         return _long(_lloyd(_trials(data, 1), k, vector_dim(data), iters, tol).drop("trial"))
 
 
@@ -109,7 +109,7 @@ def bisect_trials(
     rows: DataFrame, trials: int = 2, iters: int = 5, tol: float = 1e-5, k: int = 2
 ) -> DataFrame:
     """All trials with their centres and error: (block_id, trial, centres, sse)."""
-    with cached(spread(rows.select("block_id", "u", "x"))) as data:
+    with working(rows.select("block_id", "u", "x")) as data:
         dim = vector_dim(data)
         work = _trials(data, trials)
         state = _lloyd(work, k, dim, iters, tol)

@@ -21,12 +21,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.vectors import dot_sql
-from ..runtime import cached, materialize, settle, spread
+from ..runtime import materialize, settle, working
 from .kmeans import vector_dim
 
 UNROLL_DIM = 8
 CASCADE_BYTES = 32 * 1024 * 1024
 CASCADE_ROUNDS = 3
+CASCADE_FIT_ROUNDS = 20
+CASCADE_FIT_TOL = 1e-3
 MIN_GAP = 1e-6
 
 
@@ -173,22 +175,26 @@ def _solve_rounds(data: DataFrame, loss: Loss, dim: int, rounds: int, tol: float
     return reduce(DataFrame.unionByName, settled).select("block_id", F.col("base").alias("weights"))
 
 
-def fit_linear(rows: DataFrame, loss: Loss, rounds: int, tol: float) -> DataFrame:
+def fit_linear(rows: DataFrame, loss: Loss, rounds: int, tol: float, ready: bool = False) -> DataFrame:
     """Weights of every block, the constant last: (block_id, weights).
 
-    ``rows`` has block_id, label (0 or 1) and x. A block with one label gets weights that
-    answer that label.
+    ``rows`` has block_id, u, label (0 or 1) and x. A block with one label gets weights that
+    answer that label. Rounds end when the loss falls by less than the share ``tol``.
     """
-    with cached(spread(rows.select("block_id", "label", "x"))) as data:
+    with working(rows.select("block_id", "u", "label", "x"), ready) as data:
         return _solve_rounds(data, loss, vector_dim(data), rounds, tol)
 
 
-def fit_logreg(rows: DataFrame, ridge: float = 0.1, rounds: int = 25, tol: float = 1e-6) -> DataFrame:
-    return fit_linear(rows, logistic_loss(ridge), rounds, tol)
+def fit_logreg(
+    rows: DataFrame, ridge: float = 0.1, rounds: int = 25, tol: float = 1e-6, ready: bool = False
+) -> DataFrame:
+    return fit_linear(rows, logistic_loss(ridge), rounds, tol, ready)
 
 
-def fit_svm(rows: DataFrame, c: float = 0.1, rounds: int = 100, tol: float = 1e-5) -> DataFrame:
-    return fit_linear(rows, hinge_loss(c), rounds, tol)
+def fit_svm(
+    rows: DataFrame, c: float = 0.1, rounds: int = 100, tol: float = 1e-5, ready: bool = False
+) -> DataFrame:
+    return fit_linear(rows, hinge_loss(c), rounds, tol, ready)
 
 
 def svm_labels(label: Column) -> Column:
@@ -208,33 +214,30 @@ def fit_cascade(
     c: float = 0.1,
     max_bytes: int = CASCADE_BYTES,
     rounds: int = 100,
-    tol: float = 1e-6,
+    tol: float = 1e-5,
+    ready: bool = False,
 ) -> DataFrame:
     """SVM that first fits sub-blocks of large blocks and keeps only their margin rows.
 
     After at most three such reductions one SVM per block is fitted on all rows that remain.
     """
-    rest = rows.select("block_id", "u", "label", "x")
-    dim = vector_dim(rest)
-    for _ in range(CASCADE_ROUNDS):
-        batches = settle(cascade_batches(rest, dim, max_bytes), 2, "batches")
-        most = batches.agg(F.max("batches")).first()[0]
-        if not most or most == 1:
-            break
-        parts = (
-            rest.join(batches, "block_id")
-            .withColumn("parent", F.col("block_id"))
-            .withColumn("block_id", (F.col("block_id") * most + F.pmod("u", "batches")).cast("int"))
-        )
-        local = fit_svm(parts, c, rounds, tol).withColumnRenamed("weights", "w")
-        score = F.expr(f"(label * 2 - 1) * ({dot_sql('x', 'w', dim)})")
-        on_margin = parts.join(local, "block_id").filter(
-            (score <= 1) | (F.col("batches") == 1)
-        )
-        rest = materialize(
-            on_margin.select(F.col("parent").alias("block_id"), "u", "label", "x"), "margin"
-        )
-    return fit_svm(rest, c, rounds, tol)
+    with working(rows.select("block_id", "u", "label", "x"), ready) as rest:
+        dim = vector_dim(rest)
+        for _ in range(CASCADE_ROUNDS):
+            batches = settle(cascade_batches(rest, dim, max_bytes), 2, "batches")
+            most = batches.agg(F.max("batches")).first()[0]
+            if not most or most == 1:
+                break
+            parts = (
+                rest.join(batches, "block_id")
+                .withColumn("parent", F.col("block_id"))
+                .withColumn("block_id", (F.col("block_id") * most + F.pmod("u", "batches")).cast("int"))
+            )
+            local = fit_svm(parts, c, CASCADE_FIT_ROUNDS, CASCADE_FIT_TOL, ready=True)
+            score = F.expr(f"(label * 2 - 1) * ({dot_sql('x', 'weights', dim)})")
+            on_margin = parts.join(local, "block_id").filter((score <= 1) | (F.col("batches") == 1))
+            rest = materialize(on_margin.select(F.col("parent").alias("block_id"), "u", "label", "x"), "margin")
+        return fit_svm(rest, c, rounds, tol)
 
 
 def weight_stats(models: DataFrame) -> DataFrame:

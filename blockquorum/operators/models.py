@@ -7,10 +7,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cached, settle, spread
+from ..runtime import settle, working
 from .blocks import mark_holdout
 from .linear import fit_cascade, fit_logreg, fit_svm
 from .scoring import predict_own
@@ -21,25 +22,13 @@ MODEL_WIDTH = 10_000
 NODES_TYPE = "array<struct<tree:int,node:int,feature:int,threshold:double,label:int>>"
 
 
-def _tree(rows: DataFrame, depth: int = 10, min_leaf: int = 10) -> DataFrame:
-    return fit_trees(rows, depth=depth, min_leaf=min_leaf)
-
-
-def _stump(rows: DataFrame, min_leaf: int = 10) -> DataFrame:
-    return fit_trees(rows, depth=1, min_leaf=min_leaf)
-
-
-def _forest(rows: DataFrame, n_trees: int = 20, depth: int = 5, min_leaf: int = 5) -> DataFrame:
-    return fit_trees(rows, depth=depth, min_leaf=min_leaf, n_trees=n_trees)
-
-
 FITTERS: dict[str, Callable[..., DataFrame]] = {
-    "DT": _tree,
-    "RF": _forest,
+    "DT": fit_trees,
+    "RF": partial(fit_trees, depth=5, min_leaf=5, n_trees=20),
     "LR": fit_logreg,
     "SVM": fit_svm,
     "CSVM": fit_cascade,
-    "STUMP": _stump,
+    "STUMP": partial(fit_trees, depth=1),
 }
 
 
@@ -55,10 +44,10 @@ def fit_blocks(rows: DataFrame, algo: str, **params) -> DataFrame:
 
 def fit_and_score(rows: DataFrame, algo: str, share: float = 0.9, **params) -> DataFrame:
     """Fit on the first ``share`` of every block and score each model on the rest of its block."""
-    with cached(spread(rows.select("block_id", "u", "label", "x"))) as source:
+    with working(rows.select("block_id", "u", "label", "x")) as source:
         marked = mark_holdout(source, share)
         train = marked.filter("is_train").drop("is_train")
-        models = fit_blocks(train, algo, **params)
+        models = fit_blocks(train, algo, ready=True, **params)
         held = marked.filter(~F.col("is_train"))
         scores = accuracy(predict_own(held, models), "block_id")
         sizes = train.groupBy("block_id").agg(F.count("*").alias("n_train"))

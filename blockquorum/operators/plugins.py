@@ -82,7 +82,7 @@ class PandasClassifier:
             for pdf in batches:
                 out = pd.Series(0, index=pdf.index, dtype="int32")
                 for blob, part in pdf.groupby("model"):
-                    out[part.index] = apply(pickle.loads(blob), np.stack(part["x"]))
+                    out[part.index] = np.asarray(apply(pickle.loads(blob), np.stack(part["x"])), dtype="int32")
                 yield pdf.drop(columns="model").assign(prediction=out)
 
         joined = rows.join(models.select("block_id", "model"), "block_id")

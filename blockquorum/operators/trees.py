@@ -14,8 +14,8 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.hashing import digest, h32
-from ..runtime import cached, settle, spread
+from ..functions.hashing import digest
+from ..runtime import settle, working
 from .kmeans import vector_dim
 
 CELLS = 256
@@ -91,10 +91,19 @@ def bin_rows(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     return data, settle(thresholds, 4, "thresholds")
 
 
-def bootstrap_weight(seed: int) -> Column:
-    h = h32(f"draw{seed}", "tree", "u")
-    steps = [(h >= F.lit(int(p * (1 << 32)))).cast("int") for p in POISSON_STEPS]
-    return reduce(lambda a, b: a + b, steps)
+def bootstrap(binned: DataFrame, n_trees: int, seed: int) -> DataFrame:
+    """Rows once per tree that draws them, with ``weight`` how often.
+
+    A digest of the row serves eight trees, four hex digits each; these compare as text.
+    """
+    groups = range(-(-n_trees // 8))
+    draws = F.concat(*[digest(f"draw{seed}", F.lit(g), "u") for g in groups])
+    trees = F.explode(F.array(*[F.lit(t) for t in range(n_trees)]))
+    drawn = binned.withColumn("draws", draws).withColumn("tree", trees)
+    piece = F.col("draws").substr(F.col("tree") * 4 + 1, F.lit(4))
+    steps = [(F.col("draw") >= f"{int(p * (1 << 16)):04x}").cast("int") for p in POISSON_STEPS]
+    hit = drawn.withColumn("draw", piece).filter(steps[0] == 1)
+    return hit.withColumn("weight", reduce(lambda a, b: a + b, steps)).drop("draws", "draw")
 
 
 def _feature_subset(node: Column, dim: int, m: int, seed: int) -> Column:
@@ -218,13 +227,13 @@ def _assemble(roots: DataFrame, splits: list[DataFrame], thresholds: DataFrame)
 
 
 def fit_trees(
-    rows: DataFrame, depth: int = 10, min_leaf: int = 10, n_trees: int = 0, seed: int = 7
+    rows: DataFrame, depth: int = 10, min_leaf: int = 10, n_trees: int = 0, seed: int = 7, ready: bool = False
 ) -> DataFrame:
     """One tree (``n_trees=0``) or one forest per block: (block_id, nodes).
 
     A node sends values up to its threshold to child ``2*node``, others to ``2*node+1``.
     """
-    with cached(spread(rows.select("block_id", "u", "label", "x"))) as source:
+    with working(rows.select("block_id", "u", "label", "x"), ready) as source:
         dim = vector_dim(source)
         classes = class_labels(source)
         if not classes:
@@ -235,10 +244,12 @@ def fit_trees(
         subset = None
         if n_trees:
             m = max(1, int(math.sqrt(dim)))
-            trees = F.explode(F.array(*[F.lit(t) for t in range(n_trees)]))
-            drawn = binned.withColumn("tree", trees).withColumn("weight", bootstrap_weight(seed))
             subset = lambda node: _feature_subset(node, dim, m, seed)
-            data = drawn.filter(F.col("weight") > 0).withColumn("features", subset(F.lit(1)))
+            drawn = bootstrap(binned, n_trees, seed)
+            starts = settle(
+                drawn.select("block_id", "tree").distinct().withColumn("features", subset(F.lit(1))), m + 2, "starts"
+            )
+            data = drawn.join(starts, ["block_id", "tree"])
         else:
             data = binned.withColumn("tree", F.lit(0)).withColumn("weight", F.lit(1))
         data = data.drop("u").withColumn("node", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import ASKED_SIZES, LINE_BLOCKS, MINSUP, PLAN_SIZES, TAIL, TEXT_BLOCKS, VOTE
+from .queries import ASKED_SIZES, LINE_BLOCKS, MINSUP, OFF_HALF, PLAN_SIZES, TAIL, TEXT_BLOCKS, VOTE
 
 U_SPAN = 1 << 60
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1)) for n in range(6)]
@@ -18,6 +18,10 @@ def hexint(digest: str, start: int, length: int) -> str:
     return f"('0x' || substr({digest}, {start}, {length}))::BIGINT"
 
 
+def rnd(expr: str, digits: int = 6) -> str:
+    return f"round({expr} + {OFF_HALF * 10.0**-digits!r}::DOUBLE, {digits})"
+
+
 def h(prefix: str, *parts: str) -> str:
     return "md5(" + " || ':' || ".join([f"'{prefix}'", *[f"({p})::VARCHAR" for p in parts]]) + ")"
 
@@ -92,7 +96,7 @@ GROUP BY itemset HAVING count(*) >= {n_blocks * VOTE!r}::DOUBLE"""
 def recount(minsup: float) -> str:
     return f"""
 SELECT {key_of('members')} AS itemset, count(*) AS support,
-       round(count(*) / (SELECT count(*) FROM baskets), 6) AS share
+       {rnd('count(*) / (SELECT count(*) FROM baskets)')} AS share
 FROM subsets SEMI JOIN (SELECT DISTINCT members FROM local) USING (members)
 WHERE len(members) > 1
 GROUP BY members HAVING count(*) / (SELECT count(*) FROM baskets) >= {minsup!r}::DOUBLE"""
@@ -138,8 +142,8 @@ binned AS MATERIALIZED (
   SELECT row_key, block_id, f, bin FROM placed JOIN cells USING (block_id, f, cell))"""
     ]
     if n_trees:
-        draw = hexint(h(f"draw{seed}", "tree", "u"), 1, 8)
-        steps = " + ".join(f"(d >= {int(p * (1 << 32))})::INT" for p in POISSON)
+        draw = f"substr({h(f'draw{seed}', 'tree // 8', 'u')}, 4 * (tree % 8) + 1, 4)"
+        steps = " + ".join(f"(d >= '{int(p * (1 << 16)):04x}')::INT" for p in POISSON)
         parts.append(f"""
 state0 AS MATERIALIZED (
   SELECT row_key, block_id, tree, 1 AS node, label, w
@@ -247,7 +251,7 @@ voted AS MATERIALIZED (
   FROM answers GROUP BY row_key)"""
 
 
-ACCURACY = "SELECT count(*) AS n_test, round(avg((majority = label)::INT), 6) AS accuracy FROM voted"
+ACCURACY = f"SELECT count(*) AS n_test, {rnd('avg((majority = label)::INT)')} AS accuracy FROM voted"
 FIRST, LAST = "block_id < 30", "block_id >= 30"
 ENSEMBLE = f"WITH {LINES},{ensemble(FIRST, LAST)}"
 
@@ -295,7 +299,7 @@ c{tag}{r + 1} AS MATERIALIZED (
 
 def long_centres(state: str, keep: str = "block_id, ", digits: int = 6) -> str:
     return f"""
-SELECT {keep}centre_id, (j - 1)::INT AS j, round(c[j], {digits}) AS v
+SELECT {keep}centre_id, (j - 1)::INT AS j, {rnd('c[j]', digits)} AS v
 FROM (SELECT *, unnest(range(1, len(c) + 1)) AS j
       FROM (SELECT {keep}0 AS centre_id, c0 AS c FROM {state} UNION ALL SELECT {keep}1, c1 FROM {state}))"""
 
@@ -400,7 +404,7 @@ SELECT DISTINCT block_id, CASE WHEN {split_train} THEN 'train' ELSE 'test' END A
         "itemset_key": f"{brands} SELECT {key_of('items')} AS itemset, count(*) AS n FROM baskets GROUP BY ALL",
         "itemset_text": f"{bags},{local_itemsets()} SELECT itemset || ': ' || support AS value FROM ({vote()})",
         "centres_read": f"""WITH {VECTORS},{VECTOR_MEANS}
-SELECT 'vectors' AS name, centre_id, (j - 1)::INT AS j, round(c[j], 5) AS v
+SELECT 'vectors' AS name, centre_id, (j - 1)::INT AS j, {rnd('c[j]', 5)} AS v
 FROM (SELECT *, unnest(range(1, 65)) AS j
       FROM (SELECT (row_number() OVER (ORDER BY centre_id) - 1)::INT AS centre_id, c FROM means))""",
         "itemset_local": f"{bags},{local_itemsets()} SELECT block_id, itemset, support FROM local",
@@ -421,8 +425,8 @@ SELECT l_partkey AS row_key,
        floor(sum(l_quantity * ({CHARGED})::INT) / sum(l_quantity) + 0.5)::INT AS prediction
 FROM lineitem GROUP BY l_partkey""",
         "block_scores": f"WITH {LINES},{scored_stumps('true')} "
-        "SELECT block_id, n_train, n_test, round(accuracy, 6) AS accuracy FROM scored",
-        "tail_trim": f"WITH {LINES},{scored_stumps('true')} SELECT block_id, round(accuracy, 6) AS accuracy FROM trimmed",
+        f"SELECT block_id, n_train, n_test, {rnd('accuracy')} AS accuracy FROM scored",
+        "tail_trim": f"WITH {LINES},{scored_stumps('true')} SELECT block_id, {rnd('accuracy')} AS accuracy FROM trimmed",
         "ensemble_predict": f"{ENSEMBLE} SELECT row_key, majority AS prediction, votes::INT AS votes FROM voted",
         "ensemble_weighted": f"WITH {LINES},{ensemble(FIRST, LAST, weight='k.accuracy')} "
         "SELECT row_key, weighted AS prediction FROM voted",
@@ -434,16 +438,16 @@ FROM lineitem GROUP BY l_partkey""",
 one AS MATERIALIZED (SELECT row_key, 0 AS block_id, u, label, x FROM lines),
 fit_rows AS MATERIALIZED (SELECT * FROM one WHERE u < {int(0.9 * U_SPAN)}),
 {tree('fit_rows', 1, 4)},{STUMP_MODELS}
-SELECT count(*) AS n_test, round(avg(({STUMP_SAYS} = t.label)::INT), 6) AS accuracy
+SELECT count(*) AS n_test, {rnd(f"avg(({STUMP_SAYS} = t.label)::INT)")} AS accuracy
 FROM one t, stumps m WHERE u >= {int(0.9 * U_SPAN)}""",
         "accuracy_matrix": f"""WITH {LINES},
 fit_rows AS MATERIALIZED (SELECT * FROM lines WHERE {split_train}),
 {tree('fit_rows', 1, 4)},{STUMP_MODELS}
 SELECT m.block_id AS model_block, t.block_id, count(*) AS n_test,
-       round(avg(({STUMP_SAYS} = t.label)::INT), 6) AS accuracy
+       {rnd(f"avg(({STUMP_SAYS} = t.label)::INT)")} AS accuracy
 FROM (SELECT * FROM lines WHERE NOT ({split_train})) t, stumps m GROUP BY m.block_id, t.block_id""",
         "svm_auc": f"""{ENSEMBLE}
-SELECT round(auc, 6) AS auc, round(auc, 6) AS auc_curve
+SELECT {rnd('auc')} AS auc, {rnd('auc')} AS auc_curve
 FROM (SELECT (avg((majority = label)::INT) FILTER (label = 1) + avg((majority = label)::INT) FILTER (label = 0)) / 2 AS auc
       FROM voted)""",
         "block_stump": f"WITH {LINES},{tree('lines', 1, 4)} {tree_nodes}",
@@ -461,13 +465,13 @@ said AS (
   SELECT row_key, t.block_id, any_value(label) AS label, arg_min(centre_id, {sq('x', 'c', 4)}) AS said
   FROM marked t JOIN block_means m ON m.block_id = t.block_id WHERE NOT is_train GROUP BY row_key, t.block_id)
 SELECT block_id, (SELECT count(*) FROM marked k WHERE k.block_id = s.block_id AND is_train) AS n_train,
-       count(*) AS n_test, round(avg((said = label)::INT), 6) AS accuracy
+       count(*) AS n_test, {rnd('avg((said = label)::INT)')} AS accuracy
 FROM said s GROUP BY block_id""",
         "euclid": f"""WITH {VECTORS},{VECTOR_MEANS}
-SELECT row_key, round(list_distance(x, c), 5) AS away FROM vectors JOIN means ON centre_id = label""",
+SELECT row_key, {rnd('list_distance(x, c)', 5)} AS away FROM vectors JOIN means ON centre_id = label""",
         "nearest_centre": f"WITH {VECTORS},{VECTOR_MEANS} SELECT row_key, cluster FROM ({VECTOR_NEAREST})",
         "vector_purity": f"""WITH {VECTORS},{VECTOR_MEANS}
-SELECT round(sum(best) / sum(n), 6) AS purity
+SELECT {rnd('sum(best) / sum(n)')} AS purity
 FROM (SELECT max(n) AS best, sum(n) AS n
       FROM (SELECT cluster, label, count(*) AS n FROM ({VECTOR_NEAREST}) GROUP BY ALL) GROUP BY cluster)""",
         "block_kmeans": f"WITH {LINES},{two_means('lines', 4, 2)} {long_centres('c2')}",
@@ -475,22 +479,22 @@ FROM (SELECT max(n) AS best, sum(n) AS n
         "block_bisect": f"WITH {LINES},{two_means('lines', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)} "
         + long_centres("besta"),
         "bisect_best_trial": f"WITH {LINES},{two_means('lines', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)} "
-        "SELECT block_id, trial, round(sse, 4) AS sse FROM besta",
+        f"SELECT block_id, trial, {rnd('sse', 4)} AS sse FROM besta",
         "block_sse": f"""WITH {LINES},{two_means('lines', 4, 2)}
-SELECT block_id, round(sum(least({sq('x', 'c0', 4)}, {sq('x', 'c1', 4)})), 4) AS sse
+SELECT block_id, {rnd(f"sum(least({sq('x', 'c0', 4)}, {sq('x', 'c1', 4)}))", 4)} AS sse
 FROM lines JOIN c2 USING (block_id) GROUP BY block_id""",
-        "purity": f"WITH {LINES},{LINE_MEANS},{LINE_PLACED} SELECT round({FLIPPED}, 6) AS purity FROM placed",
+        "purity": f"WITH {LINES},{LINE_MEANS},{LINE_PLACED} SELECT {rnd(FLIPPED)} AS purity FROM placed",
         "purity_by_block": f"WITH {LINES},{LINE_MEANS},{LINE_PLACED} "
-        f"SELECT block_id, count(*) AS n_rows, round({FLIPPED}, 6) AS purity FROM placed GROUP BY block_id",
+        f"SELECT block_id, count(*) AS n_rows, {rnd(FLIPPED)} AS purity FROM placed GROUP BY block_id",
         "two_stage_centres": f"{TWO_STAGE} {long_centres('cb2', keep='')}",
         "two_stage_purity": f"""{TWO_STAGE}
-SELECT round(avg(purity), 6) AS purity
+SELECT {rnd('avg(purity)')} AS purity
 FROM (SELECT block_id, {FLIPPED} AS purity
       FROM (SELECT lines.block_id, label, CASE WHEN {sq('x', 'c1', 4)} < {sq('x', 'c0', 4)} THEN 1 ELSE 0 END AS cluster
             FROM lines, cb2 WHERE lines.{LAST})
       GROUP BY block_id)""",
         "centre_distance": f"""{TWO_STAGE},{LINE_MEANS}
-SELECT 'lines' AS name, round(sum(least({sq('c', 'c0', 4)}, {sq('c', 'c1', 4)})), 6) AS distance FROM means, cb2""",
+SELECT 'lines' AS name, {rnd(f"sum(least({sq('c', 'c0', 4)}, {sq('c', 'c1', 4)}))")} AS distance FROM means, cb2""",
         "two_stage_bisect": f"WITH {LINES},"
         f"{two_means(f'(SELECT * FROM lines WHERE {FIRST})', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)},"
         f"{pooled('besta')},{two_means('pooled', 4, 5, 2, 1e-5, 'b')},{best_trial(5, 'b', 4)} "

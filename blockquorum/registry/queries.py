@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.itemkeys import itemset_key
 from ..functions.vectors import euclid_sql
@@ -29,6 +29,7 @@ QUERIES: dict[str, Query] = {}
 
 MINSUP = 0.08
 VOTE = 0.5
+OFF_HALF = 0.013
 TAIL = 0.05
 TRAIN_SHARE = 0.75
 PREDICT_BLOCKS = 10
@@ -51,9 +52,14 @@ def block_plan(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "size int, blocks array<int>")
 
 
+def _round(col: str, digits: int) -> Column:
+    """Rounded a little off the halves, so that the last bits of a sum never decide."""
+    return F.round(F.col(col) + F.lit(OFF_HALF * 10.0**-digits), digits).alias(col)
+
+
 def _long(df: DataFrame, col: str, *keep: str, digits: int = 6) -> DataFrame:
     """One row per vector component."""
-    return df.select(*keep, F.posexplode(col).alias("j", "v")).select(*keep, "j", F.round("v", digits).alias("v"))
+    return df.select(*keep, F.posexplode(col).alias("j", "v")).select(*keep, "j", _round("v", digits))
 
 
 # Blocks
@@ -248,13 +254,13 @@ def itemset_vote_sampled(spark, sf_dir):
 @query
 def itemset_recount(spark, sf_dir):
     found = mine.run_recount(baskets(spark, sf_dir), block_ids(spark, LINE_BLOCKS), MINSUP)
-    return found.select("itemset", "support", F.round("share", 6).alias("share"))
+    return found.select("itemset", "support", _round("share", 6))
 
 
 @query
 def itemset_recount_brands(spark, sf_dir):
     found = mine.run_recount(baskets(spark, sf_dir, "p_brand"), block_ids(spark, LINE_BLOCKS), 0.02)
-    return found.select("itemset", "support", F.round("share", 6).alias("share"))
+    return found.select("itemset", "support", _round("share", 6))
 
 
 @query
@@ -294,13 +300,13 @@ def _stumps(rows, train, predict, **kw) -> classify.Ensemble:
 @query
 def block_scores(spark, sf_dir):
     scored = models.fit_and_score(line_blocks(spark, sf_dir), "STUMP")
-    return scored.select("block_id", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
+    return scored.select("block_id", "n_train", "n_test", _round("accuracy", 6))
 
 
 @query
 def tail_trim(spark, sf_dir):
     scored = models.fit_and_score(line_blocks(spark, sf_dir), "STUMP")
-    return voting.trim_tails(scored, TAIL).select("block_id", F.round("accuracy", 6).alias("accuracy"))
+    return voting.trim_tails(scored, TAIL).select("block_id", _round("accuracy", 6))
 
 
 @query
@@ -321,13 +327,13 @@ def ensemble_accuracy(spark, sf_dir):
     runs = classify.run_listed(
         line_blocks(spark, sf_dir), empty, [LINE_BLOCKS], "STUMP", TRAIN_SHARE, PREDICT_BLOCKS, TAIL
     )
-    return runs[LINE_BLOCKS].accuracy().select("n_test", F.round("accuracy", 6).alias("accuracy"))
+    return runs[LINE_BLOCKS].accuracy().select("n_test", _round("accuracy", 6))
 
 
 @query
 def ensemble_accuracy_all(spark, sf_dir):
     run = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40), use_score=False)
-    return run.accuracy().select("n_test", F.round("accuracy", 6).alias("accuracy"))
+    return run.accuracy().select("n_test", _round("accuracy", 6))
 
 
 @query
@@ -349,20 +355,20 @@ def ensemble_random_blocks(spark, sf_dir):
     return (
         found.withColumn("one", F.lit(1))
         .join(n_models.withColumn("one", F.lit(1)), "one")
-        .select("n_models", "n_test", F.round("accuracy", 6).alias("accuracy"))
+        .select("n_models", "n_test", _round("accuracy", 6))
     )
 
 
 @query
 def single_model_control(spark, sf_dir):
     found = classify.run_single(line_blocks(spark, sf_dir), "STUMP")
-    return found.select("n_test", F.round("accuracy", 6).alias("accuracy"))
+    return found.select("n_test", _round("accuracy", 6))
 
 
 @query
 def accuracy_matrix(spark, sf_dir):
     found = classify.run_matrix(line_blocks(spark, sf_dir), _ids(spark, sf_dir), "STUMP")
-    return found.withColumn("accuracy", F.round("accuracy", 6))
+    return found.withColumn("accuracy", _round("accuracy", 6))
 
 
 @query
@@ -370,8 +376,8 @@ def svm_auc(spark, sf_dir):
     predicted = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40)).predicted
     auc = baselines.label_auc(predicted)
     return baselines.label_auc_table(predicted).select(
-        F.round("auc", 6).alias("auc"), F.lit(round(auc, 6)).alias("auc_curve")
-    )
+        "auc", F.lit(auc).alias("auc_curve")
+    ).select(_round("auc", 6), _round("auc_curve", 6))
 
 
 # Models inside blocks
@@ -407,8 +413,8 @@ def text_tree(spark, sf_dir):
 def _weights_with_accuracy(spark, sf_dir, algo: str) -> DataFrame:
     scored = models.fit_and_score(line_blocks(spark, sf_dir), algo)
     return scored.select(
-        "block_id", "n_train", "n_test", F.round("accuracy", 4).alias("accuracy"), F.posexplode("weights").alias("j", "w")
-    ).withColumn("w", F.round("w", 3))
+        "block_id", "n_train", "n_test", _round("accuracy", 4), F.posexplode("weights").alias("j", "w")
+    ).withColumn("w", _round("w", 3))
 
 
 @query
@@ -440,7 +446,7 @@ def custom_block_fit(spark, sf_dir):
     marked = blocks.mark_holdout(line_blocks(spark, sf_dir))
     train, test = marked.filter("is_train"), marked.filter(~F.col("is_train"))
     found = plugins.fit_and_score_custom(plugin, train, test)
-    return found.select("block_id", "n_train", "n_test", F.round("accuracy", 6).alias("accuracy"))
+    return found.select("block_id", "n_train", "n_test", _round("accuracy", 6))
 
 
 def solve_class_means(x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
@@ -460,7 +466,7 @@ def apply_class_means(model: dict[int, np.ndarray], x: np.ndarray) -> np.ndarray
 def euclid(spark, sf_dir):
     rows = vector_blocks(spark, sf_dir)
     means = real_centres(rows, "vectors", 64).select(F.col("centre_id").alias("label"), "c")
-    return rows.join(materialize(means), "label").select("row_key", F.round(F.expr(euclid_sql("x", "c", 64)), 5).alias("away"))
+    return rows.join(materialize(means), "label").select("row_key", F.expr(euclid_sql("x", "c", 64)).alias("away")).withColumn("away", _round("away", 5))
 
 
 @query
@@ -474,7 +480,7 @@ def nearest_centre(spark, sf_dir):
 def vector_purity(spark, sf_dir):
     rows = vector_blocks(spark, sf_dir)
     placed = clustermetrics.assign_global(rows, real_centres(rows, "vectors", 64))
-    return clustermetrics.majority_purity(placed).select(F.round("purity", 6).alias("purity"))
+    return clustermetrics.majority_purity(placed).select(_round("purity", 6))
 
 
 @query
@@ -497,14 +503,14 @@ def block_bisect(spark, sf_dir):
 @query
 def bisect_best_trial(spark, sf_dir):
     best = kmeans.best_trial(kmeans.bisect_trials(line_blocks(spark, sf_dir)))
-    return best.select("block_id", "trial", F.round("sse", 4).alias("sse"))
+    return best.select("block_id", "trial", _round("sse", 4))
 
 
 @query
 def block_sse(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
     found = kmeans.block_kmeans(rows, iters=2, tol=0.0)
-    return clustermetrics.block_sse(rows, found, 2).withColumn("sse", F.round("sse", 4))
+    return clustermetrics.block_sse(rows, found, 2).withColumn("sse", _round("sse", 4))
 
 
 def _line_centres(rows: DataFrame) -> DataFrame:
@@ -515,14 +521,14 @@ def _line_centres(rows: DataFrame) -> DataFrame:
 def purity(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
     placed = clustermetrics.assign_global(rows, _line_centres(rows))
-    return clustermetrics.purity(placed).select(F.round("purity", 6).alias("purity"))
+    return clustermetrics.purity(placed).select(_round("purity", 6))
 
 
 @query
 def purity_by_block(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
     placed = clustermetrics.assign_global(rows, _line_centres(rows))
-    return clustermetrics.purity_by_block(placed).withColumn("purity", F.round("purity", 6))
+    return clustermetrics.purity_by_block(placed).withColumn("purity", _round("purity", 6))
 
 
 def _two_stage(rows: DataFrame, **kw) -> cluster.TwoStage:
@@ -538,14 +544,14 @@ def two_stage_centres(spark, sf_dir):
 
 @query
 def two_stage_purity(spark, sf_dir):
-    return _two_stage(line_blocks(spark, sf_dir)).purity.select(F.round("purity", 6).alias("purity"))
+    return _two_stage(line_blocks(spark, sf_dir)).purity.select(_round("purity", 6))
 
 
 @query
 def centre_distance(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
     found = _two_stage(rows, real=_line_centres(rows)).distance
-    return found.withColumn("distance", F.round("distance", 6))
+    return found.withColumn("distance", _round("distance", 6))
 
 
 @query
@@ -560,7 +566,7 @@ def two_stage_bisect(spark, sf_dir):
 
 def _full_classifier(spark, sf_dir, algo: str) -> DataFrame:
     _, found = baselines.full_classifier(line_blocks(spark, sf_dir), algo)
-    return found.withColumn("accuracy", F.round("accuracy", 4))
+    return found.withColumn("accuracy", _round("accuracy", 4))
 
 
 @query
@@ -588,8 +594,8 @@ def _full_clusterer(spark, sf_dir, algo: str) -> DataFrame:
     run, quality, distance = cluster.run_full(rows, algo, _line_centres(rows))
     one = F.lit(1).alias("one")
     return (
-        quality.select(one, F.round("purity", 4).alias("purity"))
-        .join(distance.select(one, F.round("distance", 4).alias("distance")), "one")
+        quality.select(one, _round("purity", 4))
+        .join(distance.select(one, _round("distance", 4)), "one")
         .drop("one")
     )
 

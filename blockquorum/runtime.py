@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SMALL_VALUES = 1_000_000
 
@@ -63,15 +63,29 @@ def settle(df: DataFrame, width: int = 1, tag: str = "step", finish=None, schema
     return spark.createDataFrame(pa.Table.from_pandas(finish(held.to_pandas()), preserve_index=False), schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition inputs too small to give every core a file split; leave larger ones alone."""
+def is_small(df: DataFrame) -> bool:
+    """Is the input too small to give every core a file split of its own?"""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
         spark.conf.get("spark.sql.files.maxPartitionBytes")
     )
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * split else df
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * split
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input one partition per core; leave larger ones as their files are split."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+def by_block(df: DataFrame) -> DataFrame:
+    """The same for block rows, with neighbouring blocks together, so that sums per block
+    combine well before a shuffle. Ranges have equal sizes: a large block, or copies of one row,
+    spread over several partitions. Larger inputs are expected to be stored by block."""
+    if not is_small(df):
+        return df
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartitionByRange(n, "block_id", "u", F.monotonically_increasing_id())
 
 
 @contextmanager
@@ -82,3 +96,13 @@ def cached(df: DataFrame):
         yield kept
     finally:
         kept.unpersist()
+
+
+@contextmanager
+def working(df: DataFrame, ready: bool = False):
+    """Block rows for a loop: cached and laid out by block, unless the caller has done so."""
+    if ready:
+        yield df
+    else:
+        with cached(by_block(df)) as kept:
+            yield kept

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.blocks import assign_blocks
+from ..runtime import spread
 
 LINE_BLOCKS = 40
 VECTOR_BLOCKS = 5
@@ -16,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as labelled vectors: is the charged price above 50,000?"""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(
+        table(spark, sf_dir, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"
+        )
+    )
     charged = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
     return line.select(
         "l_orderkey",
