@@ -150,7 +150,7 @@ def rank_cut(df: DataFrame, share: float, key: str = "block_id") -> DataFrame:
     )
     inside = (
         df.select(key, "u", high.alias("range"))
-        .join(holder, [key, "range"])
+        .join(settle(holder, 3, "ranges"), [key, "range"])
         .groupBy(key, "u", "still")
         .agg(F.count("*").alias("copies"))
     )

@@ -98,38 +98,43 @@ def model_parts(models: DataFrame, max_values: int = MAX_VALUES) -> list[list[in
 
 
 def pack(models: DataFrame, classes: list[int]) -> Packed:
-    columns = ["block_id", "weights", "nodes"] + (["accuracy"] if "accuracy" in models.columns else [])
-    rows = sorted(models.select(*columns).collect(), key=lambda r: r.block_id)
-    blocks = np.array([r.block_id for r in rows], dtype=np.int64)
+    scored = "accuracy" if "accuracy" in models.columns else "CAST(NULL AS double) AS accuracy"
+    held = models.selectExpr("block_id", "weights", "nodes", scored).toArrow().sort_by("block_id").combine_chunks()
+    blocks = held["block_id"].to_numpy()
     labels = np.array(classes)
-    scores = np.array([r.accuracy if "accuracy" in r and r.accuracy is not None else 0.0 for r in rows])
-    if rows[0].weights:
-        return Packed(blocks, labels, np.array([r.weights for r in rows], dtype=float), scores)
-    where, flat = [], []
-    for r in rows:
-        base = len(flat)
-        where.append({(n.tree, n.node): base + i for i, n in enumerate(r.nodes)})
-        flat.extend((len(where) - 1, n) for n in r.nodes)
-    n_trees = 1 + max(n.tree for _, n in flat)
-    roots = np.full((len(rows), n_trees), -1, dtype=np.int64)
-    for m, places in enumerate(where):
-        for (tree, node), at in places.items():
-            if node == 1:
-                roots[m, tree] = at
-    child = lambda side: np.array(
-        [where[m].get((n.tree, 2 * n.node + side), 0) for m, n in flat], dtype=np.int64
+    scores = np.nan_to_num(held["accuracy"].to_numpy().astype(float))
+    if held["weights"].null_count == 0:
+        weights = np.array(held["weights"].to_pylist(), dtype=float)
+        return Packed(blocks, labels, weights, scores)
+    lists = held["nodes"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    nodes = lists.flatten()
+    tree, node, feature, threshold, label = (
+        nodes.field(i).to_numpy(zero_copy_only=False).astype(kind)
+        for i, kind in enumerate((np.int64, np.int64, np.int64, float, np.int64))
     )
+    model = np.repeat(np.arange(len(blocks)), lists.value_lengths().to_numpy())
+    n_trees, span = int(tree.max()) + 1, 2 * int(node.max()) + 2
+    first = (model * n_trees + tree) * span
+    places = first + node
+    order = np.argsort(places)
+
+    def at(wanted: np.ndarray) -> np.ndarray:
+        near = order[np.minimum(np.searchsorted(places, wanted, sorter=order), len(order) - 1)]
+        return np.where(places[near] == wanted, near, -1)
+
+    roots = at(np.arange(len(blocks) * n_trees) * span + 1).reshape(len(blocks), n_trees)
     return Packed(
         blocks,
         labels,
         None,
         scores,
         roots=roots,
-        feature=np.array([n.feature for _, n in flat], dtype=np.int64),
-        threshold=np.array([n.threshold for _, n in flat], dtype=float),
-        left=child(0),
-        right=child(1),
-        label=np.searchsorted(labels, [n.label for _, n in flat]),
+        feature=feature,
+        threshold=threshold,
+        left=at(first + 2 * node),
+        right=at(first + 2 * node + 1),
+        label=np.searchsorted(labels, label),
     )
 
 

@@ -3,24 +3,26 @@
 Features are cut to at most 32 bins of similar size per block (from counts over 256 equal
 cells). A level is one aggregation: label counts per (block, tree, node, feature, bin). The
 best Gini split per node follows from running sums over the bins, and the small table of
-splits is joined back to move rows to the child nodes.
+splits is joined back to move rows to the child nodes. These joins are cheap, so rows are cached
+only every few levels and walk from there.
 """
 
 from __future__ import annotations
 
 import math
+from contextlib import ExitStack
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import digest
-from ..runtime import settle, working
+from ..runtime import cached, settle, working
 from .kmeans import vector_dim
 
 CELLS = 256
 BINS = 32
 MAX_CLASSES = 64
+CACHE_EVERY = 4
 NODE = ["block_id", "tree", "node"]
 NO_FEATURE = -1
 
@@ -252,22 +254,19 @@ def fit_trees(
             data = drawn.join(starts, ["block_id", "tree"])
         else:
             data = binned.withColumn("tree", F.lit(0)).withColumn("weight", F.lit(1))
-        data = data.drop("u").withColumn("node", F.lit(1)).persist(StorageLevel.MEMORY_AND_DISK)
-        earlier, splits = [data], []
-        counts = data.groupBy(*NODE).agg(*_label_counts(classes))
-        root_label = _top_label([F.col(f"n{i}") for i in range(len(classes))], classes)
-        roots = settle(counts.select(*NODE, root_label.alias("label")), 4, "roots")
-        try:
+        data = data.drop("u").withColumn("node", F.lit(1))
+        splits: list[DataFrame] = []
+        with ExitStack() as held:
+            data = held.enter_context(cached(data))
+            counts = data.groupBy(*NODE).agg(*_label_counts(classes))
+            root_label = _top_label([F.col(f"n{i}") for i in range(len(classes))], classes)
+            roots = settle(counts.select(*NODE, root_label.alias("label")), 4, "roots")
             for level in range(depth):
+                if level and level % CACHE_EVERY == 0:
+                    data = held.enter_context(cached(data))
                 found = settle(best_splits(data, classes, min_leaf), 9, "splits")
                 splits.append(found)
-                while len(earlier) > 1:
-                    earlier.pop(0).unpersist()
                 if level + 1 == depth or found.isEmpty():
                     break
-                data = _descend(data, found, subset).persist(StorageLevel.MEMORY_AND_DISK)
-                earlier.append(data)
-        finally:
-            for kept in earlier:
-                kept.unpersist()
+                data = _descend(data, found, subset)
         return settle(_assemble(roots, splits, thresholds), 10 * max(1, n_trees) << depth, "trees")

@@ -153,13 +153,36 @@ def run_matrix(rows: DataFrame, ids: DataFrame, algo: str, share: float = 0.8, *
     return accuracy_matrix(select_blocks(rows, test), models)
 
 
-def run_full_blocks(
-    rows: DataFrame, ids: DataFrame, algo: str, size: float, unit: float = 1.0, cluster_share: float = 1.0, share: float = 0.9
-):
-    """Whole-table fit on ``floor(size * unit * cluster_share)`` random blocks; size 0: all rows."""
-    if size > 0:
-        rows = select_blocks(rows, random_ids(ids, int(size))[: int(size * unit * cluster_share)])
-    return full_classifier(rows, algo, share)
+def random_rows(
+    rows: DataFrame, ids: DataFrame, size: float, unit: float = 1.0, cluster_share: float = 1.0
+) -> DataFrame:
+    """``floor(size * unit * cluster_share)`` random blocks; size 0: all rows."""
+    if size <= 0:
+        return rows
+    return select_blocks(rows, random_ids(ids, int(size))[: int(size * unit * cluster_share)])
+
+
+def run_full_listed(rows: DataFrame, plan: DataFrame, sizes: list[int], algo: str, share: float = 0.9) -> dict:
+    """Whole-table fits on the blocks a plan table lists: size -> (run, accuracy)."""
+    listed = listed_ids(sizes, plan)
+    return {size: full_classifier(select_blocks(rows, ids), algo, share) for size, ids in listed.items()}
+
+
+def run_full_random(
+    rows: DataFrame,
+    ids: DataFrame,
+    sizes: list[float],
+    algo: str,
+    unit: float = 1.0,
+    cluster_share: float = 1.0,
+    share: float = 0.9,
+    sampled: bool = False,
+) -> dict:
+    """Whole-table fits on random blocks; ``sampled`` takes 5% of each size."""
+    scale = 0.05 if sampled else 1.0
+    return {
+        size: full_classifier(random_rows(rows, ids, size * scale, unit, cluster_share), algo, share) for size in sizes
+    }
 
 
 def timed_sample(rows: DataFrame, share: float = 0.05) -> tuple[int, float]:

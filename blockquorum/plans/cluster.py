@@ -12,7 +12,7 @@ from ..operators.blocks import listed_budget, select_blocks
 from ..operators.clustermetrics import assign_global, centre_distance, purity_by_block
 from ..operators.kmeans import block_bisect, block_kmeans, two_stage
 from ..runtime import materialize
-from .classify import listed_ids, random_ids
+from .classify import listed_ids, random_ids, random_rows
 
 FITS = {"kmeans": block_kmeans, "bisectingkmeans": block_bisect}
 
@@ -88,3 +88,29 @@ def run_full(rows: DataFrame, algo: str, real: DataFrame, share: float = 0.9):
     name, c = real.select("name", "c").first()
     found = ml_centres(run, rows, name)
     return run, quality, centre_distance(real, found, len(c), found.count())
+
+
+def run_full_listed(rows: DataFrame, plan: DataFrame, sizes: list[int], algo: str, real: DataFrame, share: float = 0.9):
+    """Whole-table clusterings on the blocks a plan table lists; no sizes: the whole table."""
+    if not sizes:
+        return {0: run_full(rows, algo, real, share)}
+    listed = listed_ids(sizes, plan)
+    return {size: run_full(select_blocks(rows, ids), algo, real, share) for size, ids in listed.items()}
+
+
+def run_full_random(
+    rows: DataFrame,
+    ids: DataFrame,
+    sizes: list[float],
+    algo: str,
+    real: DataFrame,
+    unit: float = 1.0,
+    cluster_share: float = 1.0,
+    share: float = 0.9,
+    sampled: bool = False,
+):
+    """Whole-table clusterings on random blocks; ``sampled`` takes 5% of each size."""
+    scale = 0.05 if sampled else 1.0
+    return {
+        size: run_full(random_rows(rows, ids, size * scale, unit, cluster_share), algo, real, share) for size in sizes
+    }

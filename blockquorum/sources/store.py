@@ -11,14 +11,11 @@ from ..functions.hashing import digest, hex_slice
 CENTRES_SCHEMA = "name string, centres array<array<double>>"
 
 
-def write_blocks(df: DataFrame, path: str, files_per_block: int = 1, max_rows_per_file: int = 0) -> None:
-    """Store rows under ``block_id=.../``, ``files_per_block`` tasks sharing each block."""
-    by = ["block_id"]
-    if files_per_block > 1:
-        df = df.withColumn("_part", F.pmod("u", F.lit(files_per_block)))
-        by.append("_part")
-    out = df.repartition(*by).drop("_part")
-    out.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).partitionBy("block_id").parquet(path)
+def write_blocks(df: DataFrame, path: str, max_rows_per_file: int = 0) -> None:
+    """Store rows under ``block_id=.../``. Blocks are brought together for writing; one that is
+    too large for a task is split over several."""
+    out = df.hint("rebalance", "block_id").write.mode("overwrite")
+    out.option("maxRecordsPerFile", max_rows_per_file).partitionBy("block_id").parquet(path)
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -38,15 +35,13 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_baskets(spark: SparkSession, path: str, n_blocks: int, seed: int = 42) -> DataFrame:
-    """Basket lines from text. Blocks come from the file and line text, so equal lines of one
-    file share a block; use a stored block table when that matters."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
-    return with_line_blocks(lines, n_blocks, seed)
+    """Basket lines from text: (block_id, u, items).
 
-
-def with_line_blocks(lines: DataFrame, n_blocks: int, seed: int = 42) -> DataFrame:
-    d = digest(seed, "file", "value")
-    return lines.select(
+    A line's block comes from its running number, so equal lines land in different blocks. The
+    numbers hold for one layout of the files; ``write_blocks`` fixes the blocks for good.
+    """
+    d = digest(seed, F.col("number"))
+    return spark.read.text(path).withColumn("number", F.monotonically_increasing_id()).select(
         F.pmod(hex_slice(d, 1, 8), F.lit(n_blocks)).cast("int").alias("block_id"),
         hex_slice(d, 9, 15).alias("u"),
         parse_basket(F.col("value")).alias("items"),
