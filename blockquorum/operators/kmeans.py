@@ -76,8 +76,9 @@ def _round(work: DataFrame, state: DataFrame, k: int, dim: int, tol: float) -> D
 
 def _lloyd(work: DataFrame, k: int, dim: int, iters: int, tol: float) -> DataFrame:
     state = _start(work, k, dim).withColumn("moving", F.lit(True))
+    n = state.count()
     for _ in range(iters):
-        state = settle(_round(work, state, k, dim, tol), k * dim + 3, "centres")
+        state = settle(_round(work, state, k, dim, tol), k * dim + 3, "centres", most=n)
         if state.filter("moving").isEmpty():
             break
     return state.drop("moving")

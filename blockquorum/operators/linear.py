@@ -164,9 +164,9 @@ def _solve_rounds(data: DataFrame, loss: Loss, dim: int, rounds: int, tol: float
         "weights",
     )
     sums_of = _sums_by_columns if dim <= UNROLL_DIM else _sums_by_batches
-    settled = []
+    settled, n = [], moving.count()
     for _ in range(rounds):
-        state = settle(sums_of(data, moving, loss, dim), width, "weights", solve, STATE)
+        state = settle(sums_of(data, moving, loss, dim), width, "weights", solve, STATE, most=n)
         settled.append(state.filter("not moving"))
         moving = state.filter("moving").select(*STATE_KEYS)
         if moving.isEmpty():

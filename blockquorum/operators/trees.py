@@ -37,22 +37,25 @@ def class_labels(rows: DataFrame) -> list[int]:
     return sorted(r.label for r in found)
 
 
-def _cell(j: int) -> Column:
-    x, lo, hi = F.col("x")[j], F.col("lo")[j], F.col("hi")[j]
-    place = F.floor((x - lo) / (hi - lo) * CELLS)
-    return F.when(hi > lo, F.least(F.lit(CELLS - 1), place)).otherwise(0).cast("int")
+def _cell(j: int) -> str:
+    place = f"floor((x[{j}] - lo[{j}]) / (hi[{j}] - lo[{j}]) * {CELLS})"
+    return f"int(CASE WHEN hi[{j}] > lo[{j}] THEN least({CELLS - 1}, {place}) ELSE 0 END)"
+
+
+def _array(parts: list[str]) -> Column:
+    return F.expr(f"array({', '.join(parts)})")
 
 
 def feature_ranges(rows: DataFrame, dim: int) -> DataFrame:
-    lo = F.array(*[F.min(F.col("x")[j]) for j in range(dim)])
-    hi = F.array(*[F.max(F.col("x")[j]) for j in range(dim)])
+    lo = _array([f"min(x[{j}])" for j in range(dim)])
+    hi = _array([f"max(x[{j}])" for j in range(dim)])
     return rows.groupBy("block_id").agg(lo.alias("lo"), hi.alias("hi"))
 
 
 def feature_bins(rows: DataFrame, ranges: DataFrame, dim: int) -> DataFrame:
     """(block_id, feature, cell, bin, top): bins hold about equal row counts; ``top`` is the
     largest value in the cell."""
-    placed = F.array(*[F.struct(_cell(j).alias("cell"), F.col("x")[j].alias("value")) for j in range(dim)])
+    placed = _array([f"struct({_cell(j)} AS cell, x[{j}] AS value)" for j in range(dim)])
     cells = (
         rows.join(ranges, "block_id")
         .select("block_id", F.posexplode(placed).alias("feature", "p"))
@@ -87,10 +90,10 @@ def bin_rows(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
     ranges = settle(feature_ranges(rows, dim), 2 * dim + 1, "ranges")
     bins = settle(feature_bins(rows, ranges, dim), 5, "bins")
     layout = settle(ranges.join(_bin_lookup(bins), "block_id"), dim * (CELLS + 2) + 1, "layout")
-    binned = F.array(*[F.col("lookup")[j][_cell(j)] for j in range(dim)])
+    binned = _array([f"lookup[{j}][{_cell(j)}]" for j in range(dim)])
     thresholds = bins.groupBy("block_id", "feature", "bin").agg(F.max("top").alias("threshold"))
     data = rows.join(layout, "block_id").select("block_id", "u", "label", binned.alias("bins"))
-    return data, settle(thresholds, 4, "thresholds")
+    return data, thresholds
 
 
 def bootstrap(binned: DataFrame, n_trees: int, seed: int) -> DataFrame:
@@ -118,89 +121,66 @@ def _feature_subset(node: Column, dim: int, m: int, seed: int) -> Column:
 
 
 def _label_counts(classes: list[int]) -> list[Column]:
-    return [
-        F.sum(F.when(F.col("label") == c, F.col("weight")).otherwise(0)).alias(f"n{i}")
-        for i, c in enumerate(classes)
-    ]
+    return [F.expr(f"sum(if(label = {c}, weight, 0)) AS n{i}") for i, c in enumerate(classes)]
 
 
-def _top_label(counts: list[Column], classes: list[int]) -> Column:
+def _top_label(counts: list[str], classes: list[int]) -> str:
     """The most frequent label, the smallest one on ties."""
-    best, label = counts[0], F.lit(classes[0])
-    for count, c in zip(counts[1:], classes[1:]):
-        label = F.when(count > best, F.lit(c)).otherwise(label)
-        best = F.greatest(best, count)
-    return label
+    labels = ", ".join(map(str, classes))
+    listed = ", ".join(counts)
+    return f"array({labels})[int(array_position(array({listed}), array_max(array({listed})))) - 1]"
 
 
-def _total(cols: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, cols)
+def _gini_share(counts: list[str]) -> str:
+    squares = " + ".join(f"double({c}) * {c}" for c in counts)
+    return f"({squares}) / ({' + '.join(counts)})"
 
 
 def best_splits(data: DataFrame, classes: list[int], min_leaf: int) -> DataFrame:
     """Best Gini split of every node, ties to the lower feature and bin."""
     if "features" in data.columns:
-        long = data.select(*NODE, "label", "weight", "bins", F.explode("features").alias("feature")).select(
-            *NODE, "label", "weight", "feature", F.col("bins")[F.col("feature")].alias("bin")
+        long = data.selectExpr(*NODE, "label", "weight", "bins", "explode(features) AS feature").selectExpr(
+            *NODE, "label", "weight", "feature", "bins[feature] AS bin"
         )
     else:
-        long = data.select(*NODE, "label", "weight", F.posexplode("bins").alias("feature", "bin"))
+        long = data.selectExpr(*NODE, "label", "weight", "posexplode(bins) AS (feature, bin)")
     hist = long.groupBy(*NODE, "feature", "bin").agg(*_label_counts(classes))
-    whole = Window.partitionBy(*NODE, "feature")
-    upto = whole.orderBy("bin")
     ids = range(len(classes))
-    sides = hist.select(
+    whole = f"PARTITION BY {', '.join(NODE)}, feature"
+    # One exchange by node serves the running sums and the choice per node.
+    sides = hist.repartition(*NODE).selectExpr(
         *NODE,
         "feature",
         "bin",
-        *[F.sum(f"n{i}").over(upto).alias(f"l{i}") for i in ids],
-        *[F.sum(f"n{i}").over(whole).alias(f"t{i}") for i in ids],
+        *[f"sum(n{i}) OVER ({whole} ORDER BY bin) AS l{i}" for i in ids],
+        *[f"sum(n{i}) OVER ({whole}) AS t{i}" for i in ids],
     )
-    left = [F.col(f"l{i}") for i in ids]
-    right = [F.col(f"t{i}") - F.col(f"l{i}") for i in ids]
-    both = [F.col(f"t{i}") for i in ids]
-
-    def share(counts: list[Column]) -> Column:
-        return _total([c.cast("double") * c for c in counts]) / _total(counts)
-
-    scored = sides.filter((_total(left) >= min_leaf) & (_total(right) >= min_leaf)).withColumn(
-        "gain", F.round(share(left) + share(right) - share(both), 6)
+    left, both = [f"l{i}" for i in ids], [f"t{i}" for i in ids]
+    right = [f"(t{i} - l{i})" for i in ids]
+    left_n, right_n = " + ".join(left), " + ".join(right)
+    scored = sides.where(f"{left_n} >= {min_leaf} AND {right_n} >= {min_leaf}").selectExpr(
+        "*", f"round({_gini_share(left)} + {_gini_share(right)} - {_gini_share(both)}, 6) AS gain"
     )
-    described = F.struct(
-        F.col("gain"),
-        (-F.col("feature")).alias("f"),
-        (-F.col("bin")).alias("b"),
-        _top_label(left, classes).alias("left_label"),
-        _top_label(right, classes).alias("right_label"),
-        _total(left).alias("left_n"),
-        _total(right).alias("right_n"),
-    )
-    best = scored.filter(F.col("gain") > 0).groupBy(*NODE).agg(F.max(described).alias("s"))
-    return best.select(
-        *NODE,
-        (-F.col("s.f")).alias("feature"),
-        (-F.col("s.b")).alias("bin"),
-        "s.left_label",
-        "s.right_label",
-        "s.left_n",
-        "s.right_n",
+    described = (
+        f"struct(gain, -feature AS f, -bin AS b, {_top_label(left, classes)} AS left_label, "
+        f"{_top_label(right, classes)} AS right_label)"
     )
+    best = scored.where("gain > 0").groupBy(*NODE).agg(F.expr(f"max({described}) AS s"))
+    return best.selectExpr(*NODE, "-s.f AS feature", "-s.b AS bin", "s.left_label", "s.right_label")
 
 
 def _descend(data: DataFrame, splits: DataFrame, subset) -> DataFrame:
-    moves = splits.select(*NODE, "feature", F.col("bin").alias("cut"))
+    moves = splits.selectExpr(*NODE, "feature", "bin AS cut")
+    kept = ["block_id", "tree", "label", "weight", "bins"]
     if subset is not None:
-        data = data.drop("features")
-        moves = moves.withColumn("for_left", subset(F.col("node") * 2)).withColumn(
-            "for_right", subset(F.col("node") * 2 + 1)
+        moves = moves.select(
+            "*", subset(F.col("node") * 2).alias("for_left"), subset(F.col("node") * 2 + 1).alias("for_right")
         )
-    goes_left = F.col("bins")[F.col("feature")] <= F.col("cut")
-    moved = data.join(moves, NODE).withColumn("left", goes_left).withColumn(
-        "node", F.col("node") * 2 + F.when(F.col("left"), 0).otherwise(1)
+        moves = settle(moves, 30, "moves")
+        kept.append("if(bins[feature] <= cut, for_left, for_right) AS features")
+    return data.drop("features").join(moves, NODE).selectExpr(
+        *kept, "node * 2 + if(bins[feature] <= cut, 0, 1) AS node"
     )
-    if subset is not None:
-        moved = moved.withColumn("features", F.when(F.col("left"), F.col("for_left")).otherwise(F.col("for_right")))
-    return moved.drop("feature", "cut", "left", "for_left", "for_right")
 
 
 def _assemble(roots: DataFrame, splits: list[DataFrame], thresholds: DataFrame) -> DataFrame:
@@ -259,14 +239,15 @@ def fit_trees(
         with ExitStack() as held:
             data = held.enter_context(cached(data))
             counts = data.groupBy(*NODE).agg(*_label_counts(classes))
-            root_label = _top_label([F.col(f"n{i}") for i in range(len(classes))], classes)
-            roots = settle(counts.select(*NODE, root_label.alias("label")), 4, "roots")
+            root_label = _top_label([f"n{i}" for i in range(len(classes))], classes)
+            roots = settle(counts.selectExpr(*NODE, f"{root_label} AS label"), 4, "roots")
+            n = roots.count()
             for level in range(depth):
                 if level and level % CACHE_EVERY == 0:
                     data = held.enter_context(cached(data))
-                found = settle(best_splits(data, classes, min_leaf), 9, "splits")
+                found = settle(best_splits(data, classes, min_leaf), 7, "splits", most=n << level)
                 splits.append(found)
                 if level + 1 == depth or found.isEmpty():
                     break
                 data = _descend(data, found, subset)
-        return settle(_assemble(roots, splits, thresholds), 10 * max(1, n_trees) << depth, "trees")
+        return settle(_assemble(roots, splits, thresholds), 10 * max(1, n_trees) << depth, "trees", most=n)

@@ -45,16 +45,23 @@ def materialize(df: DataFrame, tag: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settle(df: DataFrame, width: int = 1, tag: str = "step", finish=None, schema=None) -> DataFrame:
+def settle(
+    df: DataFrame, width: int = 1, tag: str = "step", finish=None, schema=None, most: int | None = None
+) -> DataFrame:
     """Fix the content of a table that holds one or a few rows per block.
 
     Up to ``SMALL_VALUES`` values (``width`` per row) it is kept as a local table, which joins
     without another job; a larger one is written to the shared folder. ``finish`` is a row-wise
     pandas step giving ``schema``, run in place on a small table and by Spark on a large one.
+    ``most`` is a bound on the rows, if the caller knows one.
     """
     spark, limit = df.sparkSession, SMALL_VALUES // width
-    held = df.limit(limit + 1).toArrow()
-    if held.num_rows > limit:
+    held = None
+    if most is None:
+        held = df.limit(limit + 1).toArrow()
+    elif most <= limit:
+        held = df.toArrow()
+    if held is None or held.num_rows > limit:
         if finish is None:
             return materialize(df, tag)
         return materialize(df.mapInPandas(lambda frames: (finish(f) for f in frames if len(f)), schema), tag)
