@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import H_RANGE, below, digest, h32, hex_slice, row_key
 from ..runtime import settle
 
+U_BITS = 60
 RANK_BITS = 12
+RANK_ROWS = 100_000
 
 
 def assign_blocks(df: DataFrame, key: Column | list[str], n_blocks: int, seed: int = 42) -> DataFrame:
@@ -127,41 +129,40 @@ def subdivide(df: DataFrame, factor: int | Column) -> DataFrame:
     return df.withColumn("block_id", (F.col("block_id") * factor + F.pmod(F.col("u"), factor)).cast("int"))
 
 
+def _range_at(counts: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """Per key, the range that holds place ``wanted``, and the places still to go inside it."""
+    whole = Window.partitionBy(key)
+    return (
+        counts.withColumn("before", F.sum("n").over(whole.orderBy("range")) - F.col("n"))
+        .withColumn("wanted", wanted)
+        .filter((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("before") + F.col("n")))
+        .select(key, "range", "n", (F.col("wanted") - F.col("before")).alias("still"))
+    )
+
+
 def rank_cut(df: DataFrame, share: float, key: str = "block_id") -> DataFrame:
     """Per block, the order value that ends the first ``floor(share * rows)`` rows: (key, cut).
 
-    Exact, without ranking all rows of a block in one task: counts per hash range find the
-    range that holds the cut, and only that range (about one row in 4096) is ranked.
+    Exact, without ranking the rows of a block in one task: counts per hash range find the range
+    that holds the cut, and ranges get finer until the few rows of one can be ranked.
     """
-    high = F.shiftright(F.col("u"), 60 - RANK_BITS)
-    ranges = df.groupBy(key, high.alias("range")).agg(F.count("*").alias("n"))
-    by_range = Window.partitionBy(key).orderBy("range")
-    whole = Window.partitionBy(key)
-    holder = (
-        ranges.select(
-            key,
-            "range",
-            (F.sum("n").over(by_range) - F.col("n")).alias("before"),
-            "n",
-            F.floor(F.sum("n").over(whole) * F.lit(float(share))).alias("take"),
-        )
-        .filter((F.col("before") < F.col("take")) & (F.col("take") <= F.col("before") + F.col("n")))
-        .select(key, "range", (F.col("take") - F.col("before")).alias("still"))
-    )
-    inside = (
-        df.select(key, "u", high.alias("range"))
-        .join(settle(holder, 3, "ranges"), [key, "range"])
-        .groupBy(key, "u", "still")
-        .agg(F.count("*").alias("copies"))
-    )
-    by_u = Window.partitionBy(key).orderBy("u")
-    before = F.sum("copies").over(by_u) - F.col("copies")
-    return (
-        inside.withColumn("before", before)
-        .filter(F.col("before") < F.col("still"))
-        .groupBy(key)
-        .agg(F.max("u").alias("cut"))
-    )
+    rows, bits = df.select(key, "u"), RANK_BITS
+    high = F.shiftright("u", U_BITS - bits).alias("range")
+    counts = rows.groupBy(key, high).agg(F.count("*").alias("n"))
+    holder = _range_at(counts, key, F.floor(F.sum("n").over(Window.partitionBy(key)) * F.lit(float(share))))
+    while True:
+        holder = settle(holder, 4, "ranges")
+        inside = rows.select(key, "u", high).join(holder.select(key, "range", "still"), [key, "range"])
+        if bits == U_BITS or holder.filter(F.col("n") > RANK_ROWS).isEmpty():
+            break
+        bits = min(U_BITS, bits + RANK_BITS)
+        high = F.shiftright("u", U_BITS - bits).alias("range")
+        counts = inside.groupBy(key, "still", high).agg(F.count("*").alias("n"))
+        holder = _range_at(counts, key, F.col("still"))
+    copies = inside.groupBy(key, "still", "u").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(key).orderBy("u")) - F.col("n")
+    ranked = copies.withColumn("before", before)
+    return ranked.filter(F.col("before") < F.col("still")).groupBy(key).agg(F.max("u").alias("cut"))
 
 
 def mark_holdout(df: DataFrame, share: float = 0.9) -> DataFrame:

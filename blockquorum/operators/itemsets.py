@@ -8,7 +8,7 @@ on the basket, and every count combines before it is shuffled.
 
 from __future__ import annotations
 
-from contextlib import ExitStack
+from contextlib import ExitStack, contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -64,12 +64,24 @@ def _grow(patterns: DataFrame, survivors) -> list[DataFrame]:
             projected = grown.join(kept.select(GROUP, "prefix"), [GROUP, "prefix"], "left_semi")
 
 
-def local_itemsets(baskets: DataFrame, minsup: float, n_blocks: int, min_size: int = 1) -> DataFrame:
+@contextmanager
+def _kept(baskets: DataFrame, ready: bool):
+    if ready:
+        yield baskets
+    else:
+        with cached(baskets) as kept:
+            yield kept
+
+
+def local_itemsets(
+    baskets: DataFrame, minsup: float, n_blocks: int, min_size: int = 1, ready: bool = False
+) -> DataFrame:
     """Itemsets frequent inside each block: (block_id, items, itemset, support).
 
     ``n_blocks`` is the number of chosen blocks; the threshold is the same in all of them.
+    ``ready`` says that the caller has cached the baskets.
     """
-    with cached(baskets.select(GROUP, "items")) as rows:
+    with _kept(baskets.select(GROUP, "items"), ready) as rows:
         min_count = support_threshold(rows.count(), minsup, n_blocks)
         singles = rows.select(GROUP, F.explode("items").alias("item")).groupBy(GROUP, "item").count()
         frequent = settle(singles.filter(F.col("count") >= min_count), 3, "singles")
@@ -100,7 +112,9 @@ def vote_itemsets(local: DataFrame, n_blocks: int, vote: float) -> DataFrame:
     )
 
 
-def recount_itemsets(baskets: DataFrame, candidates: DataFrame, minsup: float) -> DataFrame:
+def recount_itemsets(
+    baskets: DataFrame, candidates: DataFrame, minsup: float, ready: bool = False
+) -> DataFrame:
     """Exact share of all baskets that hold each candidate, kept from ``minsup`` on.
 
     Candidates must hold every sub-itemset of two or more items, as local results do.
@@ -112,7 +126,7 @@ def recount_itemsets(baskets: DataFrame, candidates: DataFrame, minsup: float) -
         WIDTH,
         "items",
     )
-    with cached(baskets.select("items")) as rows:
+    with _kept(baskets.select("items"), ready) as rows:
         n = rows.count()
         patterns = _patterns(rows.select(F.lit(0).alias(GROUP), "items"), kept)
 

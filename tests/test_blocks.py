@@ -228,3 +228,11 @@ def test_checkpoint_folder_is_used(spark):
     from blockquorum.runtime import fresh_path
 
     assert fresh_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_holdout_refines_dense_ranges(spark, monkeypatch):
+    df, rows = hot_rows(spark)
+    wanted = sorted(blocks.mark_holdout(df).select("row_key", "u", "is_train").collect())
+    monkeypatch.setattr(blocks, "RANK_ROWS", 1)
+    monkeypatch.setattr(blocks, "RANK_BITS", 7)
+    assert sorted(blocks.mark_holdout(df).select("row_key", "u", "is_train").collect()) == wanted
