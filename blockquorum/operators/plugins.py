@@ -2,8 +2,8 @@
 
 A block classifier or clusterer is any object with the methods below, DataFrames in and out.
 ``PandasClassifier`` and ``PandasClusterer`` wrap a solver that wants the rows of a block as
-arrays: blocks above ``max_rows`` are first cut into sub-blocks, each again a random sample,
-so no task ever holds more than it can.
+arrays: blocks above ``max_rows`` are first cut into sub-blocks, each again a random sample, so
+no task ever holds more than that. The sub-blocks are then the blocks, each with its own model.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import materialize
-from .blocks import subdivide
+from ..runtime import materialize, settle
+from .blocks import mark_holdout
 from .voting import accuracy
 
 CENTRES = "block_id int, centre_id int, c array<double>"
@@ -36,20 +36,30 @@ class BlockClusterer(Protocol):
         """(block_id, u, x) to centres: (block_id, centre_id, c)."""
 
 
+def largest_block(rows: DataFrame) -> int:
+    return rows.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0
+
+
 def bounded_blocks(rows: DataFrame, max_rows: int) -> DataFrame:
     """Cut all blocks so that none has more than ``max_rows`` rows.
 
-    The cut uses the row hash, then, for copies of one row, a running number within the task.
+    The rows get a new order value from the old one and their running number, so that copies of
+    one row part as well.
     """
-    largest = rows.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0
-    factor = 1
-    while largest > max_rows:
-        factor *= 2
-        spreading = rows.withColumn("u", F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(1 << 60)))
-        cut = materialize(subdivide(spreading, factor * -(-largest // max_rows)), "sub")
-        if (cut.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0) <= max_rows:
+    if largest_block(rows) <= max_rows:
+        return rows
+    spare = 1
+    while True:
+        spare *= 2
+        parts = F.when(F.col("n") <= max_rows, 1).otherwise(F.ceil(F.col("n") / max_rows) * spare).cast("int")
+        sizes = settle(rows.groupBy("block_id").agg(F.count("*").alias("n")).withColumn("parts", parts), 3, "parts")
+        most = sizes.agg(F.max("parts")).first()[0]
+        fresh = F.pmod(F.xxhash64("u", F.monotonically_increasing_id()), F.lit(1 << 60))
+        place = F.col("block_id") * most + F.pmod("u", "parts")
+        cut = rows.withColumn("u", fresh).join(sizes, "block_id").withColumn("block_id", place.cast("int"))
+        cut = materialize(cut.drop("n", "parts"), "sub")
+        if largest_block(cut) <= max_rows:
             return cut
-    return rows
 
 
 class PandasClassifier:
@@ -62,6 +72,8 @@ class PandasClassifier:
         return bounded_blocks(rows, self.max_rows)
 
     def fit(self, rows: DataFrame) -> DataFrame:
+        if largest_block(rows) > self.max_rows:
+            raise ValueError("a block has more than max_rows rows; pass the rows through blocks() first")
         solve = self.solve
 
         def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,8 +122,13 @@ class PandasClusterer:
         return bounded.drop("u").groupBy("block_id").applyInPandas(per_block, CENTRES)
 
 
-def fit_and_score_custom(classifier: BlockClassifier, train: DataFrame, test: DataFrame) -> DataFrame:
-    """Fit a plugged-in classifier and score every model on its own block's test rows."""
-    models = classifier.fit(train)
-    scores = accuracy(classifier.predict(test, models), "block_id")
-    return models.join(scores, "block_id")
+def fit_and_score_custom(classifier: BlockClassifier, rows: DataFrame, share: float = 0.9) -> DataFrame:
+    """Fit a plugged-in classifier on ``share`` of every block and score it on the others.
+
+    A classifier with a method ``blocks`` first cuts the blocks to its liking.
+    """
+    cut = classifier.blocks(rows) if hasattr(classifier, "blocks") else rows
+    marked = mark_holdout(cut, share)
+    models = classifier.fit(marked.filter("is_train"))
+    scores = accuracy(classifier.predict(marked.filter(~F.col("is_train")), models), "block_id")
+    return models.join(scores, "block_id", "left")

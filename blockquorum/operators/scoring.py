@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialize
 
-MAX_VALUES = 32_000_000
+MAX_VALUES = 16_000_000
 
 
 @dataclass
@@ -77,24 +77,21 @@ def _matrix(x: pa.Array) -> np.ndarray:
     return flat.reshape(len(x), -1)
 
 
-def model_classes(models: DataFrame) -> list[int]:
-    """All labels the models can give."""
-    from_trees = models.select(F.explode("nodes.label").alias("label")).distinct()
-    found = {r.label for r in from_trees.collect()}
-    return sorted(found) if found else [0, 1]
-
-
-def model_parts(models: DataFrame, max_values: int = MAX_VALUES) -> list[list[int]]:
-    """Blocks of the models in groups whose packed size stays within the bound."""
+def survey(models: DataFrame, max_values: int = MAX_VALUES) -> tuple[list[int], list[list[int]]]:
+    """The labels the models can give, and their blocks in groups of bounded packed size."""
     size = F.greatest(F.size("weights"), F.lit(0)) + 5 * F.greatest(F.size("nodes"), F.lit(0))
-    parts, room = [], 0
-    for block_id, n in sorted(models.select("block_id", size.alias("n")).collect()):
+    labels, parts, room = set(), [], 0
+    for block_id, n, found in sorted(
+        models.select("block_id", size.alias("n"), F.array_distinct("nodes.label").alias("labels")).collect(),
+        key=lambda r: r.block_id,
+    ):
+        labels.update(found or (0, 1))
         if not parts or room < n:
             parts.append([])
             room = max_values
         parts[-1].append(block_id)
         room -= n
-    return parts
+    return sorted(labels or (0, 1)), parts
 
 
 def pack(models: DataFrame, classes: list[int]) -> Packed:
@@ -164,9 +161,9 @@ def _tally_udf(shipped, n_classes: int, weighted: bool):
 
 def predict_own(rows: DataFrame, models: DataFrame) -> DataFrame:
     """Add ``prediction`` by the model of the row's own block; rows of other blocks are left out."""
-    classes = model_classes(models)
+    classes, parts = survey(models)
     done = []
-    for part in model_parts(models):
+    for part in parts:
         udf = _own_udf(_ship(models, part, classes))
         mine = rows.filter(F.col("block_id").isin(part))
         done.append(mine.withColumn("prediction", udf(F.col("block_id"), F.col("x"))))
@@ -182,8 +179,7 @@ def vote_tallies(
 
     Returns the rows and the class labels in the order of ``votes``.
     """
-    classes = model_classes(models)
-    parts = model_parts(models, max_values)
+    classes, parts = survey(models, max_values)
     out = rows.withColumn("votes", F.array(*[F.lit(0.0)] * len(classes)))
     for i, part in enumerate(parts):
         votes = _tally_udf(_ship(models, part, classes), len(classes), weighted)(F.col("x"))
@@ -201,7 +197,7 @@ def accuracy_matrix(rows: DataFrame, models: DataFrame) -> DataFrame:
     Each batch of rows gives one count per model and block, so no pair of row and model leaves
     its task.
     """
-    classes = model_classes(models)
+    classes, parts = survey(models)
     schema = "model_block int, block_id int, n bigint, n_right bigint"
 
     def counter(shipped):
@@ -227,9 +223,7 @@ def accuracy_matrix(rows: DataFrame, models: DataFrame) -> DataFrame:
         return count
 
     source = rows.select("block_id", "label", "x")
-    counts = [
-        source.mapInArrow(counter(_ship(models, part, classes)), schema) for part in model_parts(models)
-    ]
+    counts = [source.mapInArrow(counter(_ship(models, part, classes)), schema) for part in parts]
     return (
         reduce(DataFrame.unionByName, counts)
         .groupBy("model_block", "block_id")

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import digest
 from ..runtime import cached, settle, working
-from .kmeans import vector_dim
 
 CELLS = 256
 BINS = 32
@@ -30,11 +29,11 @@ NO_FEATURE = -1
 POISSON_STEPS = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1)) for n in range(6)]
 
 
-def class_labels(rows: DataFrame) -> list[int]:
-    found = rows.select("label").distinct().limit(MAX_CLASSES + 1).collect()
+def labels_and_dim(rows: DataFrame) -> tuple[list[int], int]:
+    found = rows.groupBy("label").agg(F.max(F.size("x")).alias("dim")).limit(MAX_CLASSES + 1).collect()
     if len(found) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} class labels")
-    return sorted(r.label for r in found)
+    return sorted(r.label for r in found), max((r.dim for r in found), default=0)
 
 
 def _cell(j: int) -> str:
@@ -216,8 +215,7 @@ def fit_trees(
     A node sends values up to its threshold to child ``2*node``, others to ``2*node+1``.
     """
     with working(rows.select("block_id", "u", "label", "x"), ready) as source:
-        dim = vector_dim(source)
-        classes = class_labels(source)
+        classes, dim = labels_and_dim(source)
         if not classes:
             return rows.sparkSession.createDataFrame(
                 [], "block_id int, nodes array<struct<tree:int,node:int,feature:int,threshold:double,label:int>>"

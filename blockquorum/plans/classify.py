@@ -18,10 +18,10 @@ from ..operators.blocks import (
     row_split,
     select_blocks,
 )
-from ..operators.models import fit_and_score, fit_blocks, single_block
+from ..operators.models import MODEL_WIDTH, fit_and_score, fit_blocks, single_block
 from ..operators.scoring import accuracy_matrix, predict_own, vote_tallies, voted_label, weighted_label
 from ..operators.voting import accuracy, pooled_accuracy, trim_tails
-from ..runtime import materialize
+from ..runtime import settle
 from ..sources.store import write_models
 
 
@@ -68,7 +68,7 @@ def run_ensemble(
     """
     begin = perf_counter()
     models = fit_and_score(select_blocks(rows, train_ids), algo, **params)
-    kept = materialize(trim_tails(models, tail), "kept") if use_score else models
+    kept = settle(trim_tails(models, tail), MODEL_WIDTH, "kept") if use_score else models
     seconds = perf_counter() - begin
     if model_path:
         write_models(kept, model_path, size)

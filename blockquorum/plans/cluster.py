@@ -11,7 +11,7 @@ from ..operators.baselines import full_clusterer, ml_centres
 from ..operators.blocks import listed_budget, select_blocks
 from ..operators.clustermetrics import assign_global, centre_distance, purity_by_block
 from ..operators.kmeans import block_bisect, block_kmeans, two_stage
-from ..runtime import materialize
+from ..runtime import settle
 from .classify import listed_ids, random_ids, random_rows
 
 FITS = {"kmeans": block_kmeans, "bisectingkmeans": block_bisect}
@@ -42,7 +42,7 @@ def run_two_stage(
     """
     begin = perf_counter()
     fit = lambda part: FITS[algo](part, **params)
-    centres = materialize(two_stage(select_blocks(rows, train_ids), fit), "centres")
+    centres = settle(two_stage(select_blocks(rows, train_ids), fit), 64, "centres")
     seconds = perf_counter() - begin
     if centres_path:
         centres.write.mode("overwrite").parquet(centres_path)

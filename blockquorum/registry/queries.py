@@ -443,9 +443,7 @@ def weight_stats(spark, sf_dir):
 @query
 def custom_block_fit(spark, sf_dir):
     plugin = plugins.PandasClassifier(solve_class_means, apply_class_means)
-    marked = blocks.mark_holdout(line_blocks(spark, sf_dir))
-    train, test = marked.filter("is_train"), marked.filter(~F.col("is_train"))
-    found = plugins.fit_and_score_custom(plugin, train, test)
+    found = plugins.fit_and_score_custom(plugin, line_blocks(spark, sf_dir))
     return found.select("block_id", "n_train", "n_test", _round("accuracy", 6))
 
 
@@ -466,7 +464,8 @@ def apply_class_means(model: dict[int, np.ndarray], x: np.ndarray) -> np.ndarray
 def euclid(spark, sf_dir):
     rows = vector_blocks(spark, sf_dir)
     means = real_centres(rows, "vectors", 64).select(F.col("centre_id").alias("label"), "c")
-    return rows.join(materialize(means), "label").select("row_key", F.expr(euclid_sql("x", "c", 64)).alias("away")).withColumn("away", _round("away", 5))
+    apart = rows.join(materialize(means), "label").select("row_key", F.expr(euclid_sql("x", "c", 64)).alias("away"))
+    return apart.withColumn("away", _round("away", 5))
 
 
 @query

@@ -213,6 +213,12 @@ def test_plugin_cuts_large_blocks(spark):
     cut = plugins.bounded_blocks(df, 100)
     assert cut.count() == len(rows)
     assert cut.groupBy("block_id").count().agg(F.max("count")).first()[0] <= 100
+    sure = plugins.PandasClassifier(lambda x, y: int(y.mean() > 0.5), lambda m, x: np.full(len(x), m), max_rows=100)
+    with pytest.raises(ValueError):
+        sure.fit(df)
+    scored = plugins.fit_and_score_custom(sure, df)
+    assert scored.agg(F.sum("n_train") + F.sum("n_test")).first()[0] == len(rows)
+    assert scored.filter("n_train > 100").isEmpty()
     found = plugins.PandasClusterer(lambda x: [x.mean(axis=0)], max_rows=100).fit(df)
     assert found.count() == cut.select("block_id").distinct().count()
 

@@ -167,7 +167,7 @@ def test_vote_parts_add_up(spark):
     fitted = models.fit_and_score(df, "DT")
     whole, _ = scoring.vote_tallies(df, fitted)
     parts, _ = scoring.vote_tallies(df, fitted, max_values=1)
-    assert len(scoring.model_parts(fitted, 1)) == 3
+    assert len(scoring.survey(fitted, 1)[1]) == 3
     assert sorted(whole.select("row_key", "votes").collect()) == sorted(parts.select("row_key", "votes").collect())
 
 
