@@ -8,13 +8,13 @@ on the basket, and every count combines before it is shuffled.
 
 from __future__ import annotations
 
-from contextlib import ExitStack, contextmanager
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.itemkeys import itemset_key
-from ..runtime import cached, settle
+from ..runtime import cached, settle, spread
 
 GROUP = "block_id"
 WIDTH = 32
@@ -52,16 +52,15 @@ def _grow(patterns: DataFrame, survivors) -> list[DataFrame]:
     empty = F.array().cast("array<int>")
     projected = _extend(patterns.select(GROUP, empty.alias("prefix"), F.col("items").alias("tail"), "weight"))
     found = []
-    with ExitStack() as stack:
-        while True:
-            open_rows = projected.filter(F.size("tail") > 0)
-            grown = stack.enter_context(cached(_extend(open_rows)))
-            counts = grown.groupBy(GROUP, "prefix").agg(F.sum("weight").alias("support"))
-            kept = settle(survivors(counts), WIDTH, "frequent")
-            found.append(kept)
-            if kept.isEmpty():
-                return found
-            projected = grown.join(kept.select(GROUP, "prefix"), [GROUP, "prefix"], "left_semi")
+    while True:
+        open_rows = projected.filter(F.size("tail") > 0)
+        grown = settle(_extend(open_rows), WIDTH, "grown")
+        counts = grown.groupBy(GROUP, "prefix").agg(F.sum("weight").alias("support"))
+        kept = settle(survivors(counts), WIDTH, "frequent")
+        found.append(kept)
+        if kept.isEmpty():
+            return found
+        projected = grown.join(kept.select(GROUP, "prefix"), [GROUP, "prefix"], "left_semi")
 
 
 @contextmanager
@@ -69,7 +68,7 @@ def _kept(baskets: DataFrame, ready: bool):
     if ready:
         yield baskets
     else:
-        with cached(baskets) as kept:
+        with cached(spread(baskets)) as kept:
             yield kept
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from ..operators.baselines import full_itemsets
 from ..operators.blocks import select_blocks
 from ..operators.itemsets import candidate_itemsets, local_itemsets, recount_itemsets, vote_itemsets
-from ..runtime import cached
+from ..runtime import cached, spread
 from ..sources.store import write_itemsets
 from .classify import random_ids
 
@@ -47,7 +47,7 @@ def run_recount(
     """
     n = ids.count() if size is None else math.ceil((size // 5) * 10 * 0.05)
     part = baskets if size is None else _chosen(baskets, ids, size, n)
-    with cached(part.select("block_id", "items")) as part:
+    with cached(spread(part.select("block_id", "items"))) as part:
         local = local_itemsets(part, minsup, n, min_size=2, ready=True)
         counted = recount_itemsets(part, candidate_itemsets(local), minsup, ready=True)
     if path:
