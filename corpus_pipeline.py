@@ -9,17 +9,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockquorum.llm import simhash
+from blockquorum.llm import decontaminate, simhash, toxicity
+from blockquorum.llm.common import table
 from blockquorum.runtime import materialize
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labelled rows of the table itself."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, stays of each SimHash component."""
     return simhash.keep_one(docs, shingle=3, max_bits=3)
 
 
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 STAGES = [
+    ("toxicity", toxicity_filter),
     ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
 ]
 
 ORACLE_SQL = None
