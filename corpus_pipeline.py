@@ -7,10 +7,11 @@ return the columns of ``documents``. ``run`` writes each stage as Parquet to the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import decontaminate, simhash, toxicity
+from blockquorum.llm import decontaminate, pseudonyms, simhash, toxicity
 from blockquorum.llm.common import table
+from blockquorum.llm.queries import PSEUDONYM_KEY
 from blockquorum.runtime import materialize
 
 
@@ -29,10 +30,18 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_numbers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal numbers and dates become pseudonyms; ``n_chars`` follows the text where it changed."""
+    made = pseudonyms.pseudonymise(docs, PSEUDONYM_KEY, count_col="__replaced")
+    n_chars = F.when(F.col("__replaced") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return made.withColumn("n_chars", n_chars).select(docs.columns)
+
+
 STAGES = [
     ("toxicity", toxicity_filter),
     ("near_duplicates", near_duplicates),
     ("benchmark_leaks", benchmark_leaks),
+    ("personal_numbers", personal_numbers),
 ]
 
 ORACLE_SQL = None
