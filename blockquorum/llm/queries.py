@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import decontaminate, pseudonyms, simhash, toxicity
+from blockquorum.llm import decontaminate, pseudonyms, simhash, tokenids, toxicity
 from blockquorum.llm.common import table
 
 #: Of the runs over the test tables; a real run gets its own secret.
 PSEUDONYM_KEY = "test-tables"
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids as the shard files hold them."""
+    return tokenids.write_and_read(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end=2)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and its near-duplicate component."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
@@ -35,6 +46,7 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tokenids": op1_tokenids,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
