@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,19 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return ["" if t is None else t for t in batch.column(name).to_pylist()]
 
 
+_NOT_PIECES = re.compile(r"\s(?: |\Z|(?<!\n)\n|(?<=\n)\n(?:\s|\Z))")
+
+
+def pieces(text: str) -> list[str] | None:
+    """A text cut before spaces and newlines, so that byte-level patterns (letters, numbers or marks with
+    one space before them, else white space) split it at every cut: such a token starts at white space that
+    follows a character which is none, and the last of two newlines is a token of its own. None for texts with
+    other runs of white space or with white space at the end."""
+    if "\0" in text or _NOT_PIECES.search(text):
+        return None
+    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+
+
 def crc_mod(col: str | Column, mod: int) -> Column:
     """crc32 of a value as text, modulo ``mod``; a null id counts as the text of no characters."""
     col = F.col(col) if isinstance(col, str) else col

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import decontaminate, pseudonyms, simhash, tokenids, toxicity
+from blockquorum.llm import bpe, decontaminate, languages, pseudonyms, simhash, tokenids, toxicity
 from blockquorum.llm.common import table
 
 #: Of the runs over the test tables; a real run gets its own secret.
@@ -39,6 +39,19 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the bytes they decode to."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encode(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).drop("ids")
+
+
+def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return languages.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal numbers and dates replaced, and how many were."""
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, count_col="n_replaced")
@@ -50,6 +63,8 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
+    "op6_bpe": op6_bpe,
+    "op7_languages": op7_languages,
     "op10_pseudonyms": op10_pseudonyms,
 }
 

@@ -23,7 +23,7 @@ the shard); an empty table gives no shards and no rows. Extra columns are not re
 
 from __future__ import annotations
 
-import re
+import os
 import struct
 import uuid
 import zlib
@@ -35,57 +35,62 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from blockquorum.llm.common import texts
+from blockquorum.llm.common import pieces, texts
 from blockquorum.runtime import fresh_path, materialize
 
 MAGIC = b"TOKSHRD1"
 HEAD = "<8s6Q"
 SHARD_BYTES = 16_000_000
 TASK_BYTES = 24_000_000  # of text that one task encodes
-MOST_KNOWN = 800_000  # encoded pieces a worker remembers
+MOST_KNOWN = 600_000  # encoded pieces a worker remembers
+SLICE = 256  # documents that are encoded together
+TOGETHER = 64  # new pieces in one call's text
 NULL_KEY = 1 << 31
 
-_SPACE_RUN = re.compile(r"\s ")
 _encoders: dict[str, PieceEncoder] = {}
 
 
 class PieceEncoder:
-    """A tokenizer of the tokenizers library that remembers the ids of pieces between spaces.
+    """A tokenizer of the tokenizers library that remembers the ids of pieces (see ``common.pieces``).
 
-    Byte-level patterns start a new token at a space that follows a character which is no white space, so
-    the pieces of such a text encode independently. Texts with runs of white space that end in a space
-    are encoded whole.
+    New pieces are encoded together; as a token never crosses their borders, the lengths of the tokens tell
+    which belong to which piece. Texts that cannot be cut are encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        n = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        # a byte-level token has one character for each byte
+        self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, items: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if _SPACE_RUN.search(text):
-            return self._whole([text])[0]
-        known, pieces = self.known, text.split(" ")
-        head = pieces[0]
-        try:
-            body = b"".join([known[p] for p in pieces[1:]])
-        except KeyError:
-            new = [p for p in dict.fromkeys(pieces[1:]) if p not in known]
-            if len(known) + len(new) > MOST_KNOWN:
-                known.clear()
-                new = list(dict.fromkeys(pieces[1:]))
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                known.update(zip(part, self._whole([" " + p for p in part])))
-            body = b"".join([known[p] for p in pieces[1:]])
-        return (self._whole([head])[0] if head else b"") + body
+    def _whole(self, items: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        joined = ["".join(new[lo : lo + TOGETHER]) for lo in range(0, len(new), TOGETHER)]
+        ids = np.concatenate([np.empty(0, self.kind), *self._whole(joined)])
+        ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in new])
+        cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.kind.itemsize
+        data, cuts = ids.tobytes(), cuts.tolist()
+        self.known.update(zip(new, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+
+    def encode_many(self, items: list[str]) -> list[bytes]:
+        """Ids of each text, packed."""
+        known, split = self.known, [pieces(t) for t in items]
+        if len(known) > MOST_KNOWN:
+            known.clear()
+        new = [p for p in set().union(*[s[1:] for s in split if s]) if p not in known]
+        blank = [p for p in new if p == "\n"]
+        self._learn(blank)
+        self._learn([p for p in new if p != "\n"])
+        heads = self._whole([t if s is None else s[0] for t, s in zip(items, split)])
+        return [h.tobytes() + b"".join([known[p] for p in s[1:]]) if s else h.tobytes() for h, s in zip(heads, split)]
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -233,13 +238,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, sha
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for key, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-                ids = enc.encode(text) + last
-                keys.append(key)
-                payloads.append(ids)
-                size += len(ids)
-                if size >= shard_bytes_most:
-                    yield flush()
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                for key, packed in zip(part.column("doc_id").to_pylist(), enc.encode_many(texts(part))):
+                    keys.append(key)
+                    payloads.append(packed + last)
+                    size += len(payloads[-1])
+                    if size >= shard_bytes_most:
+                        yield flush()
         if keys:
             yield flush()
 
