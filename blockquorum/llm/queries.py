@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import bpe, decontaminate, languages, pseudonyms, simhash, tokenids, toxicity
+from blockquorum.llm import bpe, decontaminate, languages, pseudonyms, simhash, spotsigs, tokenids, toxicity
 from blockquorum.llm.common import table
 
 #: Of the runs over the test tables; a real run gets its own secret.
@@ -34,6 +34,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return spotsigs.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.decide(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_tokenids": op1_tokenids,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op4_spotsigs": op4_spotsigs,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_languages": op7_languages,
