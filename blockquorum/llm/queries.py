@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import bpe, decontaminate, languages, pseudonyms, simhash, spotsigs, tokenids, toxicity
+from blockquorum.llm import bpe, decontaminate, languages, mainpage, pseudonyms, simhash, spotsigs, tokenids, toxicity
 from blockquorum.llm.common import table
 
 #: Of the runs over the test tables; a real run gets its own secret.
@@ -57,6 +57,11 @@ def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Article text of every page."""
+    return mainpage.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal numbers and dates replaced, and how many were."""
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, count_col="n_replaced")
@@ -71,6 +76,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_languages": op7_languages,
+    "op8_mainpage": op8_mainpage,
     "op10_pseudonyms": op10_pseudonyms,
 }
 
