@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import bpe, decontaminate, languages, mainpage, pseudonyms, simhash, spotsigs, tokenids, toxicity
+from blockquorum.llm import bpe, decontaminate, languages, lmscore, mainpage, pseudonyms, simhash, spotsigs, tokenids, toxicity
 from blockquorum.llm.common import table
 
 #: Of the runs over the test tables; a real run gets its own secret.
@@ -62,6 +62,11 @@ def op8_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document by the counts of all others."""
+    return lmscore.score(table(spark, sf_dir, "documents"), order=3)
+
+
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with personal numbers and dates replaced, and how many were."""
     found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, count_col="n_replaced")
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_languages": op7_languages,
     "op8_mainpage": op8_mainpage,
+    "op9_lmscore": op9_lmscore,
     "op10_pseudonyms": op10_pseudonyms,
 }
 
