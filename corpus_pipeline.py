@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from blockquorum.llm import decontaminate, pseudonyms, simhash, toxicity
+from blockquorum.llm import bpe, decontaminate, pseudonyms, simhash, toxicity
 from blockquorum.llm.common import table
 from blockquorum.llm.queries import PSEUDONYM_KEY
 from blockquorum.runtime import materialize
@@ -37,11 +37,20 @@ def personal_numbers(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return made.withColumn("n_chars", n_chars).select(docs.columns)
 
 
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their ids (little-endian unsigned 32-bit), and checksums of these and of what they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=docs.columns)
+
+
 STAGES = [
     ("toxicity", toxicity_filter),
     ("near_duplicates", near_duplicates),
     ("benchmark_leaks", benchmark_leaks),
     ("personal_numbers", personal_numbers),
+    ("token_ids", token_ids),
 ]
 
 ORACLE_SQL = None
