@@ -3,19 +3,63 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from blockquorum.runtime import materialize
 
+BATCH_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, not only in rows, as texts may be long; a bound that
+    the session has set stays."""
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def worker_store(name: str) -> dict:
+    """A dict that lives as long as the Python worker. Functions travel to the workers by value, so what
+    is kept in their modules would last for one task only."""
+    holder = sys.modules.setdefault("blockquorum_worker_store", types.ModuleType("blockquorum_worker_store"))
+    return holder.__dict__.setdefault(name, {})
+
+
+class Memo:
+    """A bounded dict in two halves: when the young one is full it becomes the old one, so what is in use stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys that are in neither half; after this all others are in the young one."""
+        if len(self.young) > self.most // 2:
+            self.young, self.old = {}, self.young
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``step`` to every Arrow batch; batches of no rows are passed over."""
 
@@ -24,7 +68,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
             if batch.num_rows and (out := step(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:

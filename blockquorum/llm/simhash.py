@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from blockquorum.llm.common import Forest, components, map_batches, texts
+from blockquorum.llm.common import components, Forest, in_arrow, map_batches, texts
 from blockquorum.runtime import materialize
 
 BITS = 64
@@ -87,7 +87,7 @@ def _bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
             at = np.arange(BITS * BITS + 1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.append(both.ravel(), n))], names=["at", "n"])
 
-    sums = fps.select("fp").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    sums = in_arrow(fps.select("fp"), run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     flat = np.zeros(BITS * BITS + 1, dtype=np.int64)
     flat[sums["at"].to_numpy(dtype=int)] = sums["n"].to_numpy()
     return int(flat[-1]), flat[:-1].reshape(BITS, BITS)
@@ -136,7 +136,7 @@ def _pairs(fps: DataFrame, choices: dict[tuple, list[int]]) -> dict[tuple, float
         at = np.arange(sums.size, dtype=np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums.ravel())], names=["at", "x"])
 
-    got = fps.select("fp").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
+    got = in_arrow(fps.select("fp"), run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).toPandas()
     flat = np.zeros(len(order) * SKETCH)
     flat[got["at"].to_numpy(dtype=int)] = got["x"].to_numpy()
     squares = (flat.reshape(len(order), SKETCH) ** 2).sum(axis=1)
@@ -258,7 +258,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFra
     schema = "a bigint, b bigint, k bigint, block bigint"
     spark = fps.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    first = materialize(rows.repartition(n, "k").sortWithinPartitions("k", "fp").mapInArrow(_verify(max_bits, block), schema), "links")
+    first = materialize(in_arrow(rows.repartition(n, "k").sortWithinPartitions("k", "fp"), _verify(max_bits, block), schema), "links")
     light = first.filter("k is null").select("a", "b")
     hot = first.filter("k is not null").select("k", "block", F.col("a").alias("fp"))
     counts = hot.groupBy("k").agg(F.max("block").alias("last"))
@@ -266,7 +266,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, block: int = BLOCK) -> DataFra
     pairs = hot.join(counts, "k").select("k", "block", "fp", other.alias("other"))
     lo, hi = F.least("block", "other"), F.greatest("block", "other")
     pairs = pairs.select(F.xxhash64("k", lo, hi).alias("k"), "fp").repartition(n, "k").sortWithinPartitions("k", "fp")
-    more = pairs.mapInArrow(_verify(max_bits, 4 * block), schema).filter("k is null").select("a", "b")
+    more = in_arrow(pairs, _verify(max_bits, 4 * block), schema).filter("k is null").select("a", "b")
     return light.unionByName(more)
 
 
