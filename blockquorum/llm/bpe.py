@@ -25,16 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from blockquorum.llm.common import map_batches, pieces, texts
+from blockquorum.llm.common import Memo, map_batches, pieces, texts, worker_store
 
 LONG = 64
 ROUNDS_ROWS = 4_000_000  # rows that one recursive query may pile up for long words
 CHUNK_BYTES = 1_000_000  # of words that go to DuckDB together
-MOST_KNOWN = 600_000  # words and pieces that a worker remembers
+MOST_KNOWN = 800_000  # words and pieces that a worker remembers
 TEXT_CHARS = 6_000_000  # that are encoded together
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
 #: One contraction a round: the leftmost pair of the least rank.
 LEFTMOST = """
 WITH RECURSIVE t AS (
@@ -129,7 +127,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.kind = np.dtype("<u2" if len(safe) <= 1 << 16 else "<u4")
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.memo = Memo(MOST_KNOWN)  # word or piece -> (packed ids, bytes they decode to)
 
     def _query(self, sql: str, name: str, rows: pa.Table, **values) -> pa.Table:
         self.db.register(name, rows)
@@ -187,41 +185,36 @@ class Codec:
             out[w] = text.encode("latin-1")
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
-        """Encode and decode the words that are not known."""
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        for lo in range(0, len(new), 100_000):
-            part = new[lo : lo + 100_000]
+    def _learn(self, words: list[str]) -> None:
+        """Encode and decode words that are not known."""
+        for lo in range(0, len(words), 100_000):
+            part = words[lo : lo + 100_000]
             ids = self.merge([w.encode("utf-8") for w in part])
-            self.known.update(zip(part, zip(ids, self.decode(ids))))
-
-    def _joined(self, words: list[str]) -> tuple[bytes, bytes]:
-        if len(words) == 1:
-            return self.known[words[0]]
-        got = [self.known[w] for w in words]
-        return b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+            self.memo.young.update(zip(part, zip(ids, self.decode(ids))))
 
     def _learn_pieces(self, new: list[str]) -> None:
         """The same for pieces but heads; they are split together, as no word crosses their borders."""
         words, sizes = self.pattern.findall("".join(new)), [len(p) for p in new]
-        self._learn(words)
-        known, at = self.known, 0
+        known = self.memo.young
+        self._learn([w for w in dict.fromkeys(words) if w not in known])
+        at = 0
         for piece, size in zip(new, sizes):
             first = at
             while size > 0:
                 size -= len(words[at])
                 at += 1
             if at - first > 1:
-                known[piece] = self._joined(words[first:at])
+                got = [known[w] for w in words[first:at]]
+                known[piece] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
 
     def round_trips(self, items: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of every text, put together from its pieces (see ``common.pieces``)."""
-        if len(self.known) > MOST_KNOWN:
-            self.known.clear()
-        known, split = self.known, [pieces(t) for t in items]
+        split = [pieces(t) for t in items]
         heads = [self.pattern.findall(p[0] if p else t) for t, p in zip(items, split)]
-        self._learn(["\n", *(w for ws in heads for w in ws)])
-        self._learn_pieces([x for x in set().union(*[p[1:] for p in split if p]) if x not in known])
+        new = self.memo.missing({"\n"}.union(*heads, *[p[1:] for p in split if p]))
+        known, own = self.memo.young, {w for ws in heads for w in ws}
+        self._learn([w for w in new if w == "\n" or w in own])
+        self._learn_pieces([p for p in new if p not in known])
         for words, cut in zip(heads, split):
             got = [known[w] for w in words]
             if cut:
@@ -230,9 +223,10 @@ class Codec:
 
 
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(read_ranks(path), pattern)
-    return _codecs[path, pattern]
+    kept = worker_store("codecs")
+    if (path, pattern) not in kept:
+        kept[path, pattern] = Codec(read_ranks(path), pattern)
+    return kept[path, pattern]
 
 
 def _portions(items: list[str]) -> Iterable[list[str]]:
