@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from blockquorum.llm.common import crc_mod, map_batches, texts
+from blockquorum.llm.common import crc_mod, in_arrow, map_batches, texts
 
 ORDER = 3
 TRAIN_BYTES = 3_000_000
@@ -70,7 +70,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                     row = {"lang": [lang] * len(values), "size": np.full(len(values), size, np.int32), "gram": values.astype(np.int64), "n": n.astype(np.int64)}
                     yield pa.RecordBatch.from_pydict(row)
 
-    counted = rows.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, n long")
+    counted = in_arrow(rows.select("lang", "text"), run, "lang string, size int, gram long, n long")
     return counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -88,7 +88,7 @@ class Model:
 
 def build(langs: list[str], counts: list[dict[int, dict[int, int]]]) -> Model:
     """Cost tables from the counts of each language: ``counts[l][size][gram]``."""
-    seen = sorted({g for c in counts for g in c.get(1, {})})
+    seen = sorted({*_HEAD, *(g for c in counts for g in c.get(1, {}))})
     a = len(seen) + 1
     code = np.full(256, a - 1, dtype=np.int64)
     code[seen] = np.arange(a - 1)

@@ -39,7 +39,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from blockquorum.llm.common import map_batches, texts
+from blockquorum.llm.common import in_arrow, map_batches, texts, worker_store
 
 ORDER = 3
 ALPHA = 0.4
@@ -48,7 +48,6 @@ BUCKET_WORDS = 3_000_000  # of the corpus per bucket and order
 MOST_KNOWN = 400_000  # words whose hash a worker remembers
 
 _SPACED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_hashes: dict[bytes, int] = {}
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> list[int]:
-    known = _hashes
+    known = worker_store("word hashes")
     if len(known) > MOST_KNOWN:
         known.clear()
     try:
@@ -151,7 +150,7 @@ def pack_chunks(docs: DataFrame, id_kind: str) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, ids array<{id_kind}>, sizes array<long>, payload binary")
+    return in_arrow(docs.select("doc_id", "text"), run, f"chunk long, ids array<{id_kind}>, sizes array<long>, payload binary")
 
 
 def _words(payload: bytes, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +179,7 @@ def chunk_counts(chunks: DataFrame, order: int, bits: int) -> DataFrame:
                         yield pa.RecordBatch.from_pydict(rows)
 
     # all columns are taken, so that the same shuffle of chunks serves here and where they are scored
-    return chunks.mapInArrow(run, "part long, chunk long, hashes binary, counts binary")
+    return in_arrow(chunks, run, "part long, chunk long, hashes binary, counts binary")
 
 
 def _add_up(table: pa.Table) -> pa.Table:
@@ -219,7 +218,8 @@ def score_chunk(words: np.ndarray, doc: np.ndarray, docs: int, sums: list[np.nda
         paid = np.minimum(len(sums) - 1, place) - (k - 1)
         score[hit] = np.log(left[k - 1][hit] / context[hit]) + paid[hit] * log(ALPHA)
         longest = hit
-    return np.bincount(doc, weights=score, minlength=docs), np.bincount(doc, weights=longest, minlength=docs)
+    sums_of = lambda x: np.bincount(doc, weights=x, minlength=docs).astype(np.float64)
+    return sums_of(score), sums_of(longest)
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -242,7 +242,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         kind = own.schema.field("ids").type.value_type
         ids, sizes = own.column("ids").to_pylist()[0], own.column("sizes").to_pylist()[0]
         words, doc = _words(own.column("payload").to_pylist()[0], sizes)
-        parts = sorted(zip(rows.column("part").to_pylist(), rows.column("sums").to_pylist()))
+        parts = sorted(zip(rows.column("part").to_pylist(), rows.column("sums").to_pylist())) if rows.num_rows else []
         by_order = [[_unpack(x)[0] for p, x in parts if p >> 40 == k] for k in range(1, order + 1)]
         total = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in by_order]
         log_score, longest = score_chunk(words, doc, len(ids), total, n_words)
