@@ -35,21 +35,18 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from blockquorum.llm.common import pieces, texts
+from blockquorum.llm.common import Memo, in_arrow, pieces, texts, worker_store
 from blockquorum.runtime import fresh_path, materialize
 
 MAGIC = b"TOKSHRD1"
 HEAD = "<8s6Q"
 SHARD_BYTES = 16_000_000
 TASK_BYTES = 24_000_000  # of text that one task encodes
-MOST_KNOWN = 600_000  # encoded pieces a worker remembers
+MOST_KNOWN = 800_000  # encoded pieces a worker remembers
 SLICE = 256  # documents that are encoded together
 TOGETHER = 64  # new pieces in one call's text
 NULL_KEY = 1 << 31
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 class PieceEncoder:
     """A tokenizer of the tokenizers library that remembers the ids of pieces (see ``common.pieces``).
 
@@ -67,7 +64,7 @@ class PieceEncoder:
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         # a byte-level token has one character for each byte
         self.lengths = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], dtype=np.int64)
-        self.known: dict[str, bytes] = {}
+        self.memo = Memo(MOST_KNOWN)
 
     def _whole(self, items: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch_fast(items, add_special_tokens=False)]
@@ -78,25 +75,24 @@ class PieceEncoder:
         ends = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in new])
         cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1) * self.kind.itemsize
         data, cuts = ids.tobytes(), cuts.tolist()
-        self.known.update(zip(new, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+        self.memo.young.update(zip(new, [data[a:b] for a, b in zip([0, *cuts], cuts)]))
 
     def encode_many(self, items: list[str]) -> list[bytes]:
         """Ids of each text, packed."""
-        known, split = self.known, [pieces(t) for t in items]
-        if len(known) > MOST_KNOWN:
-            known.clear()
-        new = [p for p in set().union(*[s[1:] for s in split if s]) if p not in known]
-        blank = [p for p in new if p == "\n"]
-        self._learn(blank)
+        split = [pieces(t) for t in items]
+        new = self.memo.missing(set().union(*[s[1:] for s in split if s]))
+        self._learn([p for p in new if p == "\n"])
         self._learn([p for p in new if p != "\n"])
+        known = self.memo.young
         heads = self._whole([t if s is None else s[0] for t, s in zip(items, split)])
         return [h.tobytes() + b"".join([known[p] for p in s[1:]]) if s else h.tobytes() for h, s in zip(heads, split)]
 
 
 def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    kept = worker_store("encoders")
+    if path not in kept:
+        kept[path] = PieceEncoder(path)
+    return kept[path]
 
 
 def key_hashes(keys: np.ndarray, repeats: np.ndarray, seed: int) -> np.ndarray:
@@ -253,7 +249,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end: int = 2, sha
     print_ = F.xxhash64("text")  # rows of one id are put in order without comparing whole texts across tasks
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("h", print_)
     dealt = dealt.repartitionByRange(max(1, -(-total // TASK_BYTES)), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    made = dealt.drop("h").mapInArrow(run, "name string, task long, number long, documents long, ids long")
+    made = in_arrow(dealt.drop("h"), run, "name string, task long, number long, documents long, ids long")
     made = materialize(made, "shards")
     # one row for each file of SHARD_BYTES: a table that one task can sum up
     before = Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1)
@@ -281,7 +277,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(row)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(folder).select("path", "content")
-    return files.mapInArrow(run, "name string, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    return in_arrow(files, run, "name string, doc_id long, offset long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end: int = 2, folder: str | None = None) -> DataFrame:
