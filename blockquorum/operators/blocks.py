@@ -104,16 +104,22 @@ def predict_fraction(df: DataFrame, p: float) -> DataFrame:
     return row_sample(df, p / blocks) if p < blocks else df
 
 
-def row_sample(df: DataFrame, share: float) -> DataFrame:
-    """Sample without replacement, by row hash."""
-    return df.filter(below(F.col("u"), share))
+def _draw(seed: int | str) -> Column:
+    """Uniform value of a row for one use: uses with different seeds choose independently of each other,
+    of hold-outs and of block assignment."""
+    return hex_slice(digest(seed, "u"), 1, 15)
 
 
-def row_split(df: DataFrame, share: float) -> tuple[DataFrame, DataFrame | None]:
+def row_sample(df: DataFrame, share: float, seed: int | str = "sample") -> DataFrame:
+    """Sample without replacement, by row hash. Sampling a sample again needs another seed."""
+    return df.filter(below(_draw(seed), share))
+
+
+def row_split(df: DataFrame, share: float, seed: int | str = "split") -> tuple[DataFrame, DataFrame | None]:
     """Random train/test rows; a negative share trains on its size and has no test part."""
     if share < 0:
-        return row_sample(df, -share), None
-    inside = below(F.col("u"), share)
+        return df.filter(below(_draw(seed), -share)), None
+    inside = below(_draw(seed), share)
     return df.filter(inside), df.filter(~inside)
 
 

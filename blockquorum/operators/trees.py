@@ -1,7 +1,7 @@
 """Decision trees and forests inside every block, grown level by level for all blocks at once.
 
-Features are cut to at most 32 bins of similar size per block (from counts over 256 equal
-cells). A level is one aggregation: label counts per (block, tree, node, feature, bin). The
+Features are cut to at most ``bins`` bins of equal size per block, at values that mergeable quantile
+sketches find in one pass, so neither skew nor far-off values cost bins. A level is one aggregation: label counts per (block, tree, node, feature, bin). The
 best Gini split per node follows from running sums over the bins, and the small table of
 splits is joined back to move rows to the child nodes. These joins are cheap, so rows are cached
 only every few levels and walk from there.
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.hashing import digest
 from ..runtime import cached, settle, working
 
-CELLS = 256
 BINS = 32
+ACCURACY = 200_000  # of the quantile sketches: a cut is off by at most one row in so many; exact in blocks of half as many
 MAX_CLASSES = 64
 CACHE_EVERY = 4
 NODE = ["block_id", "tree", "node"]
@@ -36,62 +36,29 @@ def labels_and_dim(rows: DataFrame) -> tuple[list[int], int]:
     return sorted(r.label for r in found), max((r.dim for r in found), default=0)
 
 
-def _cell(j: int) -> str:
-    place = f"floor((x[{j}] - lo[{j}]) / (hi[{j}] - lo[{j}]) * {CELLS})"
-    return f"int(CASE WHEN hi[{j}] > lo[{j}] THEN least({CELLS - 1}, {place}) ELSE 0 END)"
-
-
 def _array(parts: list[str]) -> Column:
     return F.expr(f"array({', '.join(parts)})")
 
 
-def feature_ranges(rows: DataFrame, dim: int) -> DataFrame:
-    lo = _array([f"min(x[{j}])" for j in range(dim)])
-    hi = _array([f"max(x[{j}])" for j in range(dim)])
-    return rows.groupBy("block_id").agg(lo.alias("lo"), hi.alias("hi"))
+def feature_cuts(rows: DataFrame, dim: int, bins: int = BINS) -> DataFrame:
+    """(block_id, cuts): ``cuts[feature]`` holds the values at ranks ceil(k * n / bins), k = 1 .. bins - 1."""
+    shares = ", ".join(repr(k / bins) for k in range(1, bins))
+    cuts = [f"percentile_approx(x[{j}], array({shares}), {ACCURACY})" for j in range(dim)]
+    return rows.groupBy("block_id").agg(_array(cuts).alias("cuts"))
 
 
-def feature_bins(rows: DataFrame, ranges: DataFrame, dim: int) -> DataFrame:
-    """(block_id, feature, cell, bin, top): bins hold about equal row counts; ``top`` is the
-    largest value in the cell."""
-    placed = _array([f"struct({_cell(j)} AS cell, x[{j}] AS value)" for j in range(dim)])
-    cells = (
-        rows.join(ranges, "block_id")
-        .select("block_id", F.posexplode(placed).alias("feature", "p"))
-        .groupBy("block_id", "feature", F.col("p.cell").alias("cell"))
-        .agg(F.count("*").alias("n"), F.max("p.value").alias("top"))
-    )
-    whole = Window.partitionBy("block_id", "feature")
-    before = F.sum("n").over(whole.orderBy("cell")) - F.col("n")
-    return (
-        cells.withColumn("before", before)
-        .withColumn("total", F.sum("n").over(whole))
-        .select("block_id", "feature", "cell", F.expr(f"int(before * {BINS} div total)").alias("bin"), "top")
-    )
+def bin_rows(rows: DataFrame, dim: int, bins: int = BINS) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``bins`` instead of ``x``, and (block_id, feature, bin, threshold).
 
-
-def _bin_lookup(bins: DataFrame) -> DataFrame:
-    """(block_id, lookup) with ``lookup[feature][cell]`` the bin, gaps filled downwards."""
-    following = F.lead("cell", 1, CELLS).over(Window.partitionBy("block_id", "feature").orderBy("cell"))
-    filled = bins.withColumn("until", following).select(
-        "block_id", "feature", "bin", F.explode(F.sequence(F.col("cell"), F.col("until") - 1)).alias("cell")
-    )
-    per_feature = filled.groupBy("block_id", "feature").agg(
-        F.array_sort(F.collect_list(F.struct("cell", "bin"))).alias("s")
+    A value's bin is the number of cuts below it, so a bin and those before it hold the values
+    up to the cut of the same number.
+    """
+    cuts = settle(feature_cuts(rows, dim, bins), dim * bins + 1, "cuts")
+    binned = _array([f"size(filter(cuts[{j}], c -> c < x[{j}]))" for j in range(dim)])
+    thresholds = cuts.select("block_id", F.posexplode("cuts").alias("feature", "c")).select(
+        "block_id", "feature", F.posexplode("c").alias("bin", "threshold")
     )
-    return per_feature.groupBy("block_id").agg(
-        F.array_sort(F.collect_list(F.struct("feature", F.col("s.bin").alias("bins")))).alias("t")
-    ).select("block_id", F.col("t.bins").alias("lookup"))
-
-
-def bin_rows(rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``bins`` instead of ``x``, and (block_id, feature, bin, threshold)."""
-    ranges = settle(feature_ranges(rows, dim), 2 * dim + 1, "ranges")
-    bins = settle(feature_bins(rows, ranges, dim), 5, "bins")
-    layout = settle(ranges.join(_bin_lookup(bins), "block_id"), dim * (CELLS + 2) + 1, "layout")
-    binned = _array([f"lookup[{j}][{_cell(j)}]" for j in range(dim)])
-    thresholds = bins.groupBy("block_id", "feature", "bin").agg(F.max("top").alias("threshold"))
-    data = rows.join(layout, "block_id").select("block_id", "u", "label", binned.alias("bins"))
+    data = rows.join(cuts, "block_id").select("block_id", "u", "label", binned.alias("bins"))
     return data, thresholds
 
 
@@ -208,9 +175,16 @@ def _assemble(roots: DataFrame, splits: list[DataFrame], thresholds: DataFrame)
 
 
 def fit_trees(
-    rows: DataFrame, depth: int = 10, min_leaf: int = 10, n_trees: int = 0, seed: int = 7, ready: bool = False
+    rows: DataFrame,
+    depth: int = 10,
+    min_leaf: int = 10,
+    n_trees: int = 0,
+    seed: int = 7,
+    ready: bool = False,
+    bins: int = BINS,
 ) -> DataFrame:
-    """One tree (``n_trees=0``) or one forest per block: (block_id, nodes).
+    """One tree (``n_trees=0``) or one forest per block: (block_id, nodes). Splits are tried at ``bins`` - 1
+    values of each feature, of equal row counts in the block.
 
     A node sends values up to its threshold to child ``2*node``, others to ``2*node+1``.
     """
@@ -220,7 +194,7 @@ def fit_trees(
             return rows.sparkSession.createDataFrame(
                 [], "block_id int, nodes array<struct<tree:int,node:int,feature:int,threshold:double,label:int>>"
             )
-        binned, thresholds = bin_rows(source, dim)
+        binned, thresholds = bin_rows(source, dim, bins)
         subset = None
         if n_trees:
             m = max(1, int(math.sqrt(dim)))

@@ -120,26 +120,22 @@ marked AS MATERIALIZED (
 
 
 def tree(source: str, depth: int, dim: int, min_leaf: int = 10, n_trees: int = 0, seed: int = 7) -> str:
-    cells, bins = 256, 32
+    bins = 32
     m = max(1, int(math.sqrt(dim)))
     parts = [
         f"""
 tall AS MATERIALIZED (
-  SELECT row_key, block_id, f, x[f + 1] AS v
-  FROM (SELECT row_key, block_id, x, unnest(range({dim}))::INT AS f FROM {source})),
-ranges AS (SELECT block_id, f, min(v) AS lo, max(v) AS hi FROM tall GROUP BY ALL),
-placed AS MATERIALIZED (
-  SELECT row_key, block_id, f, v,
-         CASE WHEN hi > lo THEN least({cells - 1}, floor((v - lo) / (hi - lo) * {cells})) ELSE 0 END::INT AS cell
-  FROM tall JOIN ranges USING (block_id, f)),
-cells AS MATERIALIZED (
-  SELECT block_id, f, cell, top,
-         ((sum(n) OVER (PARTITION BY block_id, f ORDER BY cell) - n) * {bins}
-          // sum(n) OVER (PARTITION BY block_id, f))::INT AS bin
-  FROM (SELECT block_id, f, cell, count(*) AS n, max(v) AS top FROM placed GROUP BY ALL)),
-thresholds AS (SELECT block_id, f, bin, max(top) AS threshold FROM cells GROUP BY ALL),
+  SELECT row_key, block_id, f, v, row_number() OVER (PARTITION BY block_id, f ORDER BY v) AS place,
+         count(*) OVER (PARTITION BY block_id, f) AS n
+  FROM (SELECT row_key, block_id, f, x[f + 1] AS v
+        FROM (SELECT row_key, block_id, x, unnest(range({dim}))::INT AS f FROM {source}))),
+thresholds AS MATERIALIZED (
+  SELECT block_id, f, (k - 1)::INT AS bin, v AS threshold
+  FROM tall, (SELECT unnest(range(1, {bins})) AS k) WHERE place = ((k * n + {bins - 1}) // {bins})),
 binned AS MATERIALIZED (
-  SELECT row_key, block_id, f, bin FROM placed JOIN cells USING (block_id, f, cell))"""
+  SELECT row_key, block_id, f, (SELECT count(*) FROM thresholds t
+    WHERE t.block_id = s.block_id AND t.f = s.f AND t.threshold < s.v)::INT AS bin
+  FROM tall s)"""
     ]
     if n_trees:
         draw = f"substr({h(f'draw{seed}', 'tree // 8', 'u')}, 4 * (tree % 8) + 1, 4)"
@@ -210,25 +206,33 @@ nodes AS MATERIALIZED (
     return ",".join(parts)
 
 
-STUMP_MODELS = """
-stumps AS MATERIALIZED (
-  SELECT r.block_id, r.feature, r.threshold, r.label AS root, a.label AS low, b.label AS high
-  FROM nodes r LEFT JOIN nodes a ON a.block_id = r.block_id AND a.node = 2
-  LEFT JOIN nodes b ON b.block_id = r.block_id AND b.node = 3
-  WHERE r.node = 1)"""
-STUMP_SAYS = "CASE WHEN m.feature < 0 THEN m.root WHEN x[m.feature + 1] <= m.threshold THEN m.low ELSE m.high END"
+TREE_DEPTH = 10
+
+
+def walk(rows: str, models: str = "", own: bool = False) -> str:
+    """said (row_key, model_block, said): every row through the tree of its own block, or through all trees."""
+    pick = "t.block_id = m.block_id" if own else "true"
+    return f"""
+steps(row_key, model_block, x, node) AS (
+  SELECT t.row_key, m.block_id, t.x, 1 FROM {rows} t JOIN (SELECT DISTINCT block_id FROM nodes {models}) m ON {pick}
+  UNION ALL
+  SELECT s.row_key, s.model_block, s.x, 2 * s.node + CASE WHEN s.x[n.feature + 1] <= n.threshold THEN 0 ELSE 1 END
+  FROM steps s JOIN nodes n ON n.block_id = s.model_block AND n.node = s.node WHERE n.feature >= 0),
+said AS MATERIALIZED (
+  SELECT s.row_key, s.model_block, n.label AS said
+  FROM steps s JOIN nodes n ON n.block_id = s.model_block AND n.node = s.node WHERE n.feature < 0)"""
 
 
-def scored_stumps(train: str) -> str:
-    """Stumps of the chosen blocks with their hold-out accuracy."""
+def scored_trees(train: str) -> str:
+    """Trees of the chosen blocks with their hold-out accuracy."""
+    own = walk("marked", own=True).replace("steps", "own_steps").replace("said AS", "own_said AS", 1)
     return f"""{holdout(f"(SELECT * FROM lines WHERE {train})")},
 fit_rows AS MATERIALIZED (SELECT * FROM marked WHERE is_train),
-{tree('fit_rows', 1, 4)},{STUMP_MODELS},
+{tree('fit_rows', TREE_DEPTH, 4)},{own},
 scored AS MATERIALIZED (
   SELECT block_id, count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_test,
          avg((said = label)::INT) FILTER (NOT is_train) AS accuracy
-  FROM (SELECT m.block_id, is_train, label, {STUMP_SAYS} AS said FROM marked t JOIN stumps m USING (block_id))
-  GROUP BY block_id),
+  FROM marked JOIN own_said USING (row_key) GROUP BY block_id),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY accuracy) - 1 AS place, count(*) OVER () AS m FROM scored),
 bounds AS (
@@ -240,10 +244,10 @@ trimmed AS MATERIALIZED (
 
 
 def ensemble(train: str, predict: str, kept: str = "trimmed", weight: str = "1.0") -> str:
-    return f"""{scored_stumps(train)},
+    return f"""{scored_trees(train)},{walk(f"(SELECT * FROM lines WHERE {predict})")},
 answers AS (
-  SELECT t.row_key, t.block_id, t.label, {STUMP_SAYS} AS said, {weight} AS weight
-  FROM (SELECT * FROM lines WHERE {predict}) t, stumps m JOIN {kept} k USING (block_id)),
+  SELECT t.row_key, t.block_id, t.label, said, {weight} AS weight
+  FROM said s JOIN lines t USING (row_key) JOIN {kept} k ON k.block_id = s.model_block),
 voted AS MATERIALIZED (
   SELECT row_key, any_value(block_id) AS block_id, any_value(label) AS label, count(*) FILTER (said = 1) AS votes,
          CASE WHEN count(*) FILTER (said = 1) > count(*) FILTER (said = 0) THEN 1 ELSE 0 END AS majority,
@@ -253,7 +257,13 @@ voted AS MATERIALIZED (
 
 ACCURACY = f"SELECT count(*) AS n_test, {rnd('avg((majority = label)::INT)')} AS accuracy FROM voted"
 FIRST, LAST = "block_id < 30", "block_id >= 30"
-ENSEMBLE = f"WITH {LINES},{ensemble(FIRST, LAST)}"
+
+
+def draw(seed: str) -> str:
+    return hexint(h(seed, "u"), 1, 15)
+
+
+ENSEMBLE = f"WITH RECURSIVE {LINES},{ensemble(FIRST, LAST)}"
 
 
 # k-means with two centres: one table of both centres per block, trial and round.
@@ -388,10 +398,13 @@ SELECT job, block_id, rank, CASE WHEN rank <= 30 THEN 'train' WHEN rank <= 32 TH
 FROM ({block_order(50)}) JOIN lines USING (block_id) GROUP BY ALL""",
         "predict_fraction": lines + f"""
 SELECT row_key, block_id FROM lines
-WHERE block_id IN ({split_ids} WHERE rank BETWEEN 31 AND 32) AND u < {int(0.75 * U_SPAN)}""",
-        "row_sample": lines + f"SELECT row_key, block_id FROM lines WHERE u < {int(0.05 * U_SPAN)}",
+WHERE block_id IN ({split_ids} WHERE rank BETWEEN 31 AND 32) AND {draw('sample')} < {int(0.75 * U_SPAN)}""",
+        "row_sample": lines + f"SELECT row_key, block_id FROM lines WHERE {draw('sample')} < {int(0.05 * U_SPAN)}",
         "row_split": lines
-        + f"SELECT row_key, CASE WHEN u < {int(0.9 * U_SPAN)} THEN 'train' ELSE 'test' END AS part FROM lines",
+        + f"SELECT row_key, CASE WHEN {draw('split')} < {int(0.9 * U_SPAN)} THEN 'train' ELSE 'test' END AS part FROM lines",
+        "sample_then_split": lines
+        + f"SELECT row_key, CASE WHEN {draw('split')} < {int(0.9 * U_SPAN)} THEN 'train' ELSE 'test' END AS part FROM lines "
+        f"WHERE {draw('sample')} < {U_SPAN // 2} AND {draw('again')} < {U_SPAN // 2}",
         "block_holdout": f"WITH {LINES},{holdout('lines')} SELECT row_key, block_id, is_train::INT AS is_train FROM marked",
         "block_subdivide": lines + "SELECT row_key, (block_id * 8 + u % 8)::INT AS block_id FROM lines",
         "block_split": lines + f"""
@@ -424,29 +437,27 @@ FROM lineitem GROUP BY l_partkey""",
 SELECT l_partkey AS row_key,
        floor(sum(l_quantity * ({CHARGED})::INT) / sum(l_quantity) + 0.5)::INT AS prediction
 FROM lineitem GROUP BY l_partkey""",
-        "block_scores": f"WITH {LINES},{scored_stumps('true')} "
+        "block_scores": f"WITH RECURSIVE {LINES},{scored_trees('true')} "
         f"SELECT block_id, n_train, n_test, {rnd('accuracy')} AS accuracy FROM scored",
-        "tail_trim": f"WITH {LINES},{scored_stumps('true')} SELECT block_id, {rnd('accuracy')} AS accuracy FROM trimmed",
+        "tail_trim": f"WITH RECURSIVE {LINES},{scored_trees('true')} SELECT block_id, {rnd('accuracy')} AS accuracy FROM trimmed",
         "ensemble_predict": f"{ENSEMBLE} SELECT row_key, majority AS prediction, votes::INT AS votes FROM voted",
-        "ensemble_weighted": f"WITH {LINES},{ensemble(FIRST, LAST, weight='k.accuracy')} "
+        "ensemble_weighted": f"WITH RECURSIVE {LINES},{ensemble(FIRST, LAST, weight='k.accuracy')} "
         "SELECT row_key, weighted AS prediction FROM voted",
         "ensemble_accuracy": f"{ENSEMBLE} {ACCURACY}",
-        "ensemble_accuracy_all": f"WITH {LINES},{ensemble(FIRST, LAST, kept='scored')} {ACCURACY}",
-        "ensemble_random_blocks": f"WITH {LINES},{ensemble(random_train, random_test)} "
+        "ensemble_accuracy_all": f"WITH RECURSIVE {LINES},{ensemble(FIRST, LAST, kept='scored')} {ACCURACY}",
+        "ensemble_random_blocks": f"WITH RECURSIVE {LINES},{ensemble(random_train, random_test)} "
         f"SELECT (SELECT count(*) FROM trimmed) AS n_models, * FROM ({ACCURACY})",
-        "single_model_control": f"""WITH {LINES},
-one AS MATERIALIZED (SELECT row_key, 0 AS block_id, u, label, x FROM lines),
-fit_rows AS MATERIALIZED (SELECT * FROM one WHERE u < {int(0.9 * U_SPAN)}),
-{tree('fit_rows', 1, 4)},{STUMP_MODELS}
-SELECT count(*) AS n_test, {rnd(f"avg(({STUMP_SAYS} = t.label)::INT)")} AS accuracy
-FROM one t, stumps m WHERE u >= {int(0.9 * U_SPAN)}""",
-        "accuracy_matrix": f"""WITH {LINES},
+        "single_model_control": f"""WITH RECURSIVE {LINES},
+one AS MATERIALIZED (SELECT row_key, 0 AS block_id, u, label, x, {draw('split')} < {int(0.9 * U_SPAN)} AS fits FROM lines),
+fit_rows AS MATERIALIZED (SELECT * FROM one WHERE fits),
+{tree('fit_rows', TREE_DEPTH, 4)},{walk('(SELECT * FROM one WHERE NOT fits)')}
+SELECT count(*) AS n_test, {rnd("avg((said = label)::INT)")} AS accuracy FROM one JOIN said USING (row_key)""",
+        "accuracy_matrix": f"""WITH RECURSIVE {LINES},
 fit_rows AS MATERIALIZED (SELECT * FROM lines WHERE {split_train}),
-{tree('fit_rows', 1, 4)},{STUMP_MODELS}
-SELECT m.block_id AS model_block, t.block_id, count(*) AS n_test,
-       {rnd(f"avg(({STUMP_SAYS} = t.label)::INT)")} AS accuracy
-FROM (SELECT * FROM lines WHERE NOT ({split_train})) t, stumps m GROUP BY m.block_id, t.block_id""",
-        "svm_auc": f"""{ENSEMBLE}
+{tree('fit_rows', TREE_DEPTH, 4)},{walk(f"(SELECT * FROM lines WHERE NOT ({split_train}))")}
+SELECT model_block, block_id, count(*) AS n_test, {rnd("avg((said = label)::INT)")} AS accuracy
+FROM lines JOIN said USING (row_key) GROUP BY model_block, block_id""",
+        "label_auc": f"""{ENSEMBLE}
 SELECT {rnd('auc')} AS auc, {rnd('auc')} AS auc_curve
 FROM (SELECT (avg((majority = label)::INT) FILTER (label = 1) + avg((majority = label)::INT) FILTER (label = 0)) / 2 AS auc
       FROM voted)""",
@@ -454,7 +465,10 @@ FROM (SELECT (avg((majority = label)::INT) FILTER (label = 1) + avg((majority =
         "block_tree": f"WITH {LINES},{tree('lines', 10, 4)} {tree_nodes}",
         "block_forest": f"WITH {LINES},{tree('lines', 5, 4, min_leaf=5, n_trees=20)} "
         "SELECT block_id, tree, node, feature, threshold, label FROM nodes",
-        "text_tree": f"WITH {TEXTS},{tree('texts', 3, 3)} {tree_nodes}",
+        "skewed_tree": f"""WITH {LINES},
+steep AS MATERIALIZED (SELECT row_key, block_id, u, label, [x[1], x[2] * x[2] * x[2] * x[2] * x[2] * x[2], x[3], x[4]] AS x FROM lines),
+{tree('steep', 10, 4)} {tree_nodes}""",
+        "text_tree": f"WITH {TEXTS},{tree('texts', 10, 3)} {tree_nodes}",
         "custom_block_fit": f"""WITH {LINES},{holdout('lines')},
 block_means AS (
   SELECT block_id, label AS centre_id, list(v ORDER BY j) AS c

@@ -136,6 +136,15 @@ def row_split(spark, sf_dir):
     )
 
 
+@query
+def sample_then_split(spark, sf_dir):
+    sampled = blocks.row_sample(blocks.row_sample(line_blocks(spark, sf_dir), 0.5), 0.5, seed="again")
+    train, test = blocks.row_split(sampled, 0.9)
+    return train.select("row_key", F.lit("train").alias("part")).unionByName(
+        test.select("row_key", F.lit("test").alias("part"))
+    )
+
+
 @query
 def block_holdout(spark, sf_dir):
     marked = blocks.mark_holdout(line_blocks(spark, sf_dir))
@@ -203,7 +212,7 @@ def run_metrics(spark, sf_dir):
     path = fresh_path(spark, "metrics")
     with cached(rows) as kept:
         n, seconds = classify.timed_sample(kept)
-        run = _stumps(kept, range(30), range(30, 40))
+        run = _trees_of(kept, range(30), range(30, 40))
         found = run.accuracy().first()
     low, high = run.kept.agg(F.min("accuracy"), F.max("accuracy")).first()
     values = {
@@ -216,7 +225,7 @@ def run_metrics(spark, sf_dir):
         "score_high": high,
         "accuracy": found.accuracy,
     }
-    store.append_metrics(store.metric_rows(spark, "ensemble", "STUMP", LINE_BLOCKS, values), path)
+    store.append_metrics(store.metric_rows(spark, "ensemble", "DT", LINE_BLOCKS, values), path)
     return spark.read.parquet(path)
 
 
@@ -293,31 +302,31 @@ def weighted_vote(spark, sf_dir):
     return voting.weighted_vote(_part_votes(spark, sf_dir))
 
 
-def _stumps(rows, train, predict, **kw) -> classify.Ensemble:
-    return classify.run_ensemble(rows, list(train), list(predict), "STUMP", TAIL, **kw)
+def _trees_of(rows, train, predict, **kw) -> classify.Ensemble:
+    return classify.run_ensemble(rows, list(train), list(predict), "DT", TAIL, **kw)
 
 
 @query
 def block_scores(spark, sf_dir):
-    scored = models.fit_and_score(line_blocks(spark, sf_dir), "STUMP")
+    scored = models.fit_and_score(line_blocks(spark, sf_dir), "DT")
     return scored.select("block_id", "n_train", "n_test", _round("accuracy", 6))
 
 
 @query
 def tail_trim(spark, sf_dir):
-    scored = models.fit_and_score(line_blocks(spark, sf_dir), "STUMP")
+    scored = models.fit_and_score(line_blocks(spark, sf_dir), "DT")
     return voting.trim_tails(scored, TAIL).select("block_id", _round("accuracy", 6))
 
 
 @query
 def ensemble_predict(spark, sf_dir):
-    predicted = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40)).predicted
+    predicted = _trees_of(line_blocks(spark, sf_dir), range(30), range(30, 40)).predicted
     return predicted.select("row_key", "prediction", F.col("votes")[1].cast("int").alias("votes"))
 
 
 @query
 def ensemble_weighted(spark, sf_dir):
-    run = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40), weighted=True)
+    run = _trees_of(line_blocks(spark, sf_dir), range(30), range(30, 40), weighted=True)
     return run.predicted.select("row_key", "prediction")
 
 
@@ -325,14 +334,14 @@ def ensemble_weighted(spark, sf_dir):
 def ensemble_accuracy(spark, sf_dir):
     empty = block_plan(spark)
     runs = classify.run_listed(
-        line_blocks(spark, sf_dir), empty, [LINE_BLOCKS], "STUMP", TRAIN_SHARE, PREDICT_BLOCKS, TAIL
+        line_blocks(spark, sf_dir), empty, [LINE_BLOCKS], "DT", TRAIN_SHARE, PREDICT_BLOCKS, TAIL
     )
     return runs[LINE_BLOCKS].accuracy().select("n_test", _round("accuracy", 6))
 
 
 @query
 def ensemble_accuracy_all(spark, sf_dir):
-    run = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40), use_score=False)
+    run = _trees_of(line_blocks(spark, sf_dir), range(30), range(30, 40), use_score=False)
     return run.accuracy().select("n_test", _round("accuracy", 6))
 
 
@@ -343,7 +352,7 @@ def ensemble_random_blocks(spark, sf_dir):
         line_blocks(spark, sf_dir),
         _ids(spark, sf_dir),
         [LINE_BLOCKS],
-        "STUMP",
+        "DT",
         TRAIN_SHARE,
         PREDICT_BLOCKS,
         TAIL,
@@ -361,25 +370,35 @@ def ensemble_random_blocks(spark, sf_dir):
 
 @query
 def single_model_control(spark, sf_dir):
-    found = classify.run_single(line_blocks(spark, sf_dir), "STUMP")
+    found = classify.run_single(line_blocks(spark, sf_dir), "DT")
     return found.select("n_test", _round("accuracy", 6))
 
 
 @query
 def accuracy_matrix(spark, sf_dir):
-    found = classify.run_matrix(line_blocks(spark, sf_dir), _ids(spark, sf_dir), "STUMP")
+    found = classify.run_matrix(line_blocks(spark, sf_dir), _ids(spark, sf_dir), "DT")
     return found.withColumn("accuracy", _round("accuracy", 6))
 
 
-@query
-def svm_auc(spark, sf_dir):
-    predicted = _stumps(line_blocks(spark, sf_dir), range(30), range(30, 40)).predicted
+def _areas(predicted: DataFrame) -> DataFrame:
     auc = baselines.label_auc(predicted)
     return baselines.label_auc_table(predicted).select(
         "auc", F.lit(auc).alias("auc_curve")
     ).select(_round("auc", 6), _round("auc_curve", 6))
 
 
+@query
+def label_auc(spark, sf_dir):
+    return _areas(_trees_of(line_blocks(spark, sf_dir), range(30), range(30, 40)).predicted)
+
+
+@query
+def svm_auc(spark, sf_dir):
+    """Area under ROC of the voted block SVMs."""
+    run = classify.run_ensemble(line_blocks(spark, sf_dir), list(range(8)), list(range(30, 32)), "SVM", TAIL)
+    return _areas(run.predicted)
+
+
 # Models inside blocks
 
 
@@ -399,6 +418,13 @@ def block_tree(spark, sf_dir):
     return _nodes(trees.fit_trees(line_blocks(spark, sf_dir)))
 
 
+@query
+def skewed_tree(spark, sf_dir):
+    """Trees on a heavy-tailed feature: the price to the sixth power."""
+    x = [F.expr("x[0]"), F.expr("x[1] * x[1] * x[1] * x[1] * x[1] * x[1]"), F.expr("x[2]"), F.expr("x[3]")]
+    return _nodes(trees.fit_trees(line_blocks(spark, sf_dir).withColumn("x", F.array(*x))))
+
+
 @query
 def block_forest(spark, sf_dir):
     fitted = trees.fit_trees(line_blocks(spark, sf_dir), depth=5, min_leaf=5, n_trees=20)
@@ -407,7 +433,7 @@ def block_forest(spark, sf_dir):
 
 @query
 def text_tree(spark, sf_dir):
-    return _nodes(trees.fit_trees(text_blocks(spark, sf_dir, TEXT_BLOCKS), depth=3))
+    return _nodes(trees.fit_trees(text_blocks(spark, sf_dir, TEXT_BLOCKS)))
 
 
 def _weights_with_accuracy(spark, sf_dir, algo: str) -> DataFrame:

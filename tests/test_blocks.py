@@ -242,3 +242,12 @@ def test_holdout_refines_dense_ranges(spark, monkeypatch):
     monkeypatch.setattr(blocks, "RANK_ROWS", 1)
     monkeypatch.setattr(blocks, "RANK_BITS", 7)
     assert sorted(blocks.mark_holdout(df).select("row_key", "u", "is_train").collect()) == wanted
+
+
+def test_draws_for_different_uses_are_independent(spark, sf_dir):
+    rows = line_blocks(spark, sf_dir)
+    n = rows.count()
+    half = blocks.row_sample(rows, 0.5)
+    assert abs(blocks.row_sample(half, 0.5, seed="again").count() - n / 4) < n / 40
+    train, test = blocks.row_split(blocks.row_sample(rows, 0.2), 0.9)
+    assert test.count() > 0 and abs(train.count() - 0.18 * n) < n / 40

@@ -139,11 +139,33 @@ def test_bins_keep_order_and_size(spark):
     top = {(r.feature, r.bin): r.threshold for r in thresholds.filter("block_id = 1").collect()}
     for r in binned.filter("block_id = 1").collect():
         for f in range(3):
-            assert value[r.u, f] <= top[f, r.bins[f]]
+            assert value[r.u, f] <= top.get((f, r.bins[f]), np.inf)
             lower = [t for (g, b), t in top.items() if g == f and b < r.bins[f]]
             assert not lower or value[r.u, f] > max(lower)
 
 
+def test_far_off_values_do_not_cost_the_tree(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(0, 100, 2000)
+    rows = [(str(i), 0, int(u), int(v > 50), [float(v)]) for i, (v, u) in enumerate(zip(x, rng.choice(1 << 60, 2000, replace=False)))]
+
+    def accuracy(rows):
+        return models.fit_and_score(spark.createDataFrame(rows, ROWS), "DT").first().accuracy
+
+    far = [(*rows[0][:4], [1e6]), *rows[1:]]
+    assert accuracy(rows) > 0.97 and abs(accuracy(far) - accuracy(rows)) < 0.01
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "ties", "constant"])
+def test_cuts_are_values_at_equal_ranks(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"lognormal": rng.lognormal(sigma=4, size=999), "ties": rng.integers(0, 5, 999).astype(float), "constant": np.ones(50)}[kind]
+    df = spark.createDataFrame([(str(i), 0, i, 0, [float(v)]) for i, v in enumerate(x)], ROWS)
+    cuts = trees.feature_cuts(df, 1, 8).first().cuts[0]
+    ordered = np.sort(x)
+    assert cuts == [ordered[-(-k * len(x) // 8) - 1] for k in range(1, 8)]
+
+
 def test_forest_beats_chance_and_repeats(spark):
     df, _ = block_rows(spark, n=300)
     first = models.fit_and_score(df, "RF")
