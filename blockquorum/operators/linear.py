@@ -185,16 +185,62 @@ def fit_linear(rows: DataFrame, loss: Loss, rounds: int, tol: float, ready: bool
         return _solve_rounds(data, loss, vector_dim(data), rounds, tol)
 
 
+def label_values(rows: DataFrame) -> list[int]:
+    return sorted(r.label for r in rows.select("label").distinct().collect() if r.label is not None)
+
+
+def _answers(negative: int, positive: int) -> Column:
+    return F.array(F.lit(negative).cast("int"), F.lit(positive).cast("int")).alias("labels")
+
+
+def _one_against_rest(data: DataFrame, classes: list[int], fit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One set of weights per class, all classes of all blocks in the same rounds. Rows are multiplied
+    inside the tasks that sum them, not in what is shuffled or cached."""
+    k, n = F.posexplode(F.array(*[F.lit(c) for c in classes])).alias("k", "class"), len(classes)
+    every = data.select("block_id", "u", "label", "x", k).select(
+        (F.col("block_id") * n + F.col("k")).cast("int").alias("block_id"),
+        "u",
+        (F.col("label") == F.col("class")).cast("int").alias("label"),
+        "x",
+    )
+    own = fit(every).select(
+        F.floor(F.col("block_id") / n).cast("int").alias("block_id"), F.struct(F.pmod("block_id", F.lit(n)).alias("k"), "weights").alias("s")
+    )
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["weights"]))
+    return own.groupBy("block_id").agg(flat.alias("weights")).withColumn("labels", F.array(*[F.lit(c).cast("int") for c in classes]))
+
+
 def fit_logreg(
     rows: DataFrame, ridge: float = 0.1, rounds: int = 25, tol: float = 1e-6, ready: bool = False
 ) -> DataFrame:
-    return fit_linear(rows, logistic_loss(ridge), rounds, tol, ready)
+    """(block_id, weights, labels). Two labels, whatever their values, have one set of weights, which
+    answers the larger label above zero; more have a set per label, one after another in ``weights``."""
+    with working(rows.select("block_id", "u", "label", "x"), ready) as data:
+        classes = label_values(data)
+        fit = lambda part: fit_linear(part, logistic_loss(ridge), rounds, tol, ready=True)
+        if len(classes) > 2:
+            return _one_against_rest(data, classes, fit)
+        negative, positive = (0, 1) if set(classes) <= {0, 1} else (classes[0], classes[-1])
+        y = (F.col("label") == positive).cast("int")
+        return fit(data.withColumn("label", y)).select("block_id", "weights", _answers(negative, positive))
+
+
+def _svm_recoded(data: DataFrame) -> tuple[DataFrame, Column]:
+    """Label 0 (the smallest one, if there is no 0) against all others, as 0 and 1, and the labels to answer:
+    of several others the smallest."""
+    classes = label_values(data)
+    negative = 0 if not classes or set(classes) <= {0, 1} or 0 in classes else classes[0]
+    positive = next((c for c in classes if c != negative), 1 if negative == 0 else negative)
+    return data.withColumn("label", (F.col("label") != negative).cast("int")), _answers(negative, positive)
 
 
 def fit_svm(
     rows: DataFrame, c: float = 0.1, rounds: int = 100, tol: float = 1e-5, ready: bool = False
 ) -> DataFrame:
-    return fit_linear(rows, hinge_loss(c), rounds, tol, ready)
+    """(block_id, weights, labels): label 0 against any other (see ``svm_labels``)."""
+    with working(rows.select("block_id", "u", "label", "x"), ready) as data:
+        recoded, answers = _svm_recoded(data)
+        return fit_linear(recoded, hinge_loss(c), rounds, tol, ready=True).select("block_id", "weights", answers)
 
 
 def svm_labels(label: Column) -> Column:
@@ -221,7 +267,8 @@ def fit_cascade(
 
     After at most three such reductions one SVM per block is fitted on all rows that remain.
     """
-    with working(rows.select("block_id", "u", "label", "x"), ready) as rest:
+    with working(rows.select("block_id", "u", "label", "x"), ready) as given:
+        rest, answers = _svm_recoded(given)
         dim = vector_dim(rest)
         for _ in range(CASCADE_ROUNDS):
             batches = settle(cascade_batches(rest, dim, max_bytes), 2, "batches")
@@ -233,11 +280,11 @@ def fit_cascade(
                 .withColumn("parent", F.col("block_id"))
                 .withColumn("block_id", (F.col("block_id") * most + F.pmod("u", "batches")).cast("int"))
             )
-            local = fit_svm(parts, c, CASCADE_FIT_ROUNDS, CASCADE_FIT_TOL, ready=True)
+            local = fit_linear(parts, hinge_loss(c), CASCADE_FIT_ROUNDS, CASCADE_FIT_TOL, ready=True)
             score = F.expr(f"(label * 2 - 1) * ({dot_sql('x', 'weights', dim)})")
             on_margin = parts.join(local, "block_id").filter((score <= 1) | (F.col("batches") == 1))
             rest = materialize(on_margin.select(F.col("parent").alias("block_id"), "u", "label", "x"), "margin")
-        return fit_svm(rest, c, rounds, tol)
+        return fit_linear(rest, hinge_loss(c), rounds, tol).select("block_id", "weights", answers)
 
 
 def weight_stats(models: DataFrame) -> DataFrame:

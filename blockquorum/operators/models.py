@@ -1,7 +1,7 @@
 """One model per block behind one name: the model table used by scoring and votes.
 
-(block_id, algo, weights, nodes, n_train, n_test, accuracy); ``weights`` for linear models,
-``nodes`` for trees and forests.
+(block_id, algo, weights, labels, nodes, n_train, n_test, accuracy); ``weights`` and the ``labels`` they
+answer for linear models, ``nodes`` for trees and forests.
 """
 
 from __future__ import annotations
@@ -36,10 +36,10 @@ def fit_blocks(rows: DataFrame, algo: str, **params) -> DataFrame:
     """Fit one model inside every block of ``rows`` (block_id, u, label, x)."""
     fitted = FITTERS[algo](rows, **params)
     if "weights" not in fitted.columns:
-        fitted = fitted.withColumn("weights", F.lit(None).cast("array<double>"))
+        fitted = fitted.withColumn("weights", F.lit(None).cast("array<double>")).withColumn("labels", F.lit(None).cast("array<int>"))
     if "nodes" not in fitted.columns:
         fitted = fitted.withColumn("nodes", F.lit(None).cast(NODES_TYPE))
-    return fitted.select("block_id", F.lit(algo).alias("algo"), "weights", "nodes")
+    return fitted.select("block_id", F.lit(algo).alias("algo"), "weights", "labels", "nodes")
 
 
 def fit_and_score(rows: DataFrame, algo: str, share: float = 0.9, **params) -> DataFrame:

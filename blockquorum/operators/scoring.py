@@ -27,8 +27,9 @@ class Packed:
 
     blocks: np.ndarray
     classes: np.ndarray
-    weights: np.ndarray | None
+    weights: np.ndarray | None  # one row per model: a set of weights, or a set for each of several labels
     scores: np.ndarray
+    answers: np.ndarray | None = None  # class positions of a linear model's labels
     roots: np.ndarray | None = None
     feature: np.ndarray | None = None
     threshold: np.ndarray | None = None
@@ -50,8 +51,10 @@ class Packed:
     def predict(self, model: np.ndarray, x: np.ndarray) -> np.ndarray:
         """Class position given by model ``model[i]`` to row ``x[i]``; ties to the smaller label."""
         if self.weights is not None:
-            w = self.weights[model]
-            return ((x * w[:, :-1]).sum(axis=1) + w[:, -1] > 0).astype(int)
+            sets = self.weights[model].reshape(len(x), -1, x.shape[1] + 1)
+            found = np.einsum("ij,ikj->ik", x, sets[:, :, :-1]) + sets[:, :, -1]
+            best = (found[:, 0] > 0).astype(int) if found.shape[1] == 1 else found.argmax(axis=1)
+            return self.answers[model, best]
         if self.roots.shape[1] == 1:
             return self._leaf_labels(self.roots[model, 0], x)
         counts = np.zeros((len(x), len(self.classes)), dtype=np.int32)
@@ -80,9 +83,10 @@ def _matrix(x: pa.Array) -> np.ndarray:
 def survey(models: DataFrame, max_values: int = MAX_VALUES) -> tuple[list[int], list[list[int]]]:
     """The labels the models can give, and their blocks in groups of bounded packed size."""
     size = F.greatest(F.size("weights"), F.lit(0)) + 5 * F.greatest(F.size("nodes"), F.lit(0))
+    given = F.coalesce(F.array_distinct("nodes.label"), F.col("labels") if "labels" in models.columns else F.lit(None).cast("array<int>"))
     labels, parts, room = set(), [], 0
     for block_id, n, found in sorted(
-        models.select("block_id", size.alias("n"), F.array_distinct("nodes.label").alias("labels")).collect(),
+        models.select("block_id", size.alias("n"), given.alias("labels")).collect(),
         key=lambda r: r.block_id,
     ):
         labels.update(found or (0, 1))
@@ -96,13 +100,15 @@ def survey(models: DataFrame, max_values: int = MAX_VALUES) -> tuple[list[int],
 
 def pack(models: DataFrame, classes: list[int]) -> Packed:
     scored = "accuracy" if "accuracy" in models.columns else "CAST(NULL AS double) AS accuracy"
-    held = models.selectExpr("block_id", "weights", "nodes", scored).toArrow().sort_by("block_id").combine_chunks()
+    answered = "labels" if "labels" in models.columns else "CAST(NULL AS array<int>) AS labels"
+    held = models.selectExpr("block_id", "weights", "nodes", answered, scored).toArrow().sort_by("block_id").combine_chunks()
     blocks = held["block_id"].to_numpy()
     labels = np.array(classes)
     scores = np.nan_to_num(held["accuracy"].to_numpy().astype(float))
     if held["weights"].null_count == 0:
-        weights = np.array(held["weights"].to_pylist(), dtype=float)
-        return Packed(blocks, labels, weights, scores)
+        weights = held["weights"].combine_chunks().flatten().to_numpy().reshape(len(blocks), -1)
+        answers = np.searchsorted(labels, [found or (0, 1) for found in held["labels"].to_pylist()])
+        return Packed(blocks, labels, weights, scores, answers)
     lists = held["nodes"].combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     nodes = lists.flatten()

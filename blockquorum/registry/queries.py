@@ -453,6 +453,41 @@ def block_svm(spark, sf_dir):
     return _weights_with_accuracy(spark, sf_dir, "SVM")
 
 
+@query
+def svm_other_labels(spark, sf_dir):
+    """Per block: labels 0 and 2 give the weights of 0 and 1, and are what the model answers."""
+    rows = line_blocks(spark, sf_dir)
+    plain = linear.fit_svm(rows).select("block_id", "weights")
+    other = linear.fit_svm(rows.withColumn("label", F.col("label") * 2)).withColumnRenamed("weights", "others")
+    same = F.forall(F.zip_with("weights", "others", lambda a, b: F.abs(a - b) <= 1e-6), lambda ok: ok)
+    answers = (F.col("labels") == F.array(F.lit(0), F.lit(2))).cast("int").alias("answers_ok")
+    return plain.join(other, "block_id").select("block_id", same.cast("int").alias("same_weights"), answers)
+
+
+@query
+def logreg_classes(spark, sf_dir):
+    """Ten labels: each has weights in each block, at which the gradient of its loss is near zero."""
+    rows = vector_blocks(spark, sf_dir)
+    ridge = 0.1
+    fitted = linear.fit_logreg(rows, ridge)
+    n = F.size("labels")
+    width = (F.size("weights") / n).cast("int")
+    sets = fitted.select(
+        "block_id", F.posexplode("labels").alias("k", "class"), "weights", width.alias("width")
+    ).select("block_id", "class", F.slice("weights", F.col("k") * F.col("width") + 1, F.col("width")).alias("w"))
+    z = F.concat("x", F.array(F.lit(1.0)))
+    margin = F.aggregate(F.zip_with("z", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    error = 1 / (1 + F.exp(-margin)) - (F.col("label") == F.col("class")).cast("double")
+    terms = rows.withColumn("z", z).join(sets, "block_id").withColumn("error", error)
+    terms = terms.select("block_id", "class", "w", "error", F.posexplode("z").alias("j", "value"))
+    slopes = terms.groupBy("block_id", "class", "j").agg(
+        F.abs(F.sum(F.col("error") * F.col("value")) + ridge * F.get(F.first("w"), F.col("j"))).alias("slope")
+    )
+    return slopes.groupBy("block_id", F.col("class").alias("label")).agg(
+        F.count("*").alias("n_weights"), (F.max("slope") < 0.01).cast("int").alias("settled")
+    )
+
+
 @query
 def svm_cascade(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)

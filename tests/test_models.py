@@ -175,6 +175,24 @@ def test_forest_beats_chance_and_repeats(spark):
     assert all(len({n.tree for n in r.nodes}) == 20 for r in first.collect())
 
 
+@pytest.mark.parametrize("algo, pair", [("LR", (0, 2)), ("LR", (-1, 1)), ("SVM", (3, 7)), ("CSVM", (0, 2))])
+def test_other_labels_are_answered(spark, algo, pair):
+    df, _ = block_rows(spark, n_blocks=2)
+    other = df.withColumn("label", F.when(F.col("label") == 0, pair[0]).otherwise(pair[1]))
+    fitted = models.fit_and_score(other, algo)
+    plain, found = (sorted(x.select("block_id", "accuracy").collect()) for x in (models.fit_and_score(df, algo), fitted))
+    assert found == plain and min(r.accuracy for r in found) > 0.8
+    assert scoring.vote_tallies(other, fitted)[1] == sorted(pair)
+
+
+def test_logistic_fit_of_several_labels(spark):
+    df, _ = block_rows(spark, labels=4)
+    fitted = models.fit_and_score(df, "LR")
+    assert all(r["labels"] == [0, 1, 2, 3] and len(r.weights) == 16 for r in fitted.collect())
+    assert fitted.agg(F.min("accuracy")).first()[0] > 0.45  # one set against the rest cannot do better on ordered labels
+    assert sorted(r.block_id for r in fitted.collect()) == [0, 1, 2]
+
+
 def test_one_model_vote_equals_the_model(spark):
     df, _ = block_rows(spark)
     one = models.fit_and_score(df, "DT").filter("block_id = 1")
