@@ -64,7 +64,8 @@ def op8_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stupid-backoff score of every document by the counts of all others."""
-    return lmscore.score(table(spark, sf_dir, "documents"), order=3)
+    found = lmscore.score(table(spark, sf_dir, "documents"), order=3)
+    return found.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), "n_longest")
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +87,35 @@ QUERIES = {
     "op10_pseudonyms": op10_pseudonyms,
 }
 
-ORACLE: dict[str, str] = {}
+#: Order 3, counts of all other documents, 0.4 for each context left off.
+LM_SCORES = r"""
+WITH docs AS (
+  SELECT doc_id, list_filter(string_split(
+    regexp_replace(lower(coalesce(text, '')), '[^A-Za-z0-9\x{80}-\x{10FFFF}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws
+  FROM documents),
+tokens AS MATERIALIZED (
+  SELECT doc_id, p, ws[p] AS c, CASE WHEN p > 1 THEN ws[p - 1] END AS b, CASE WHEN p > 2 THEN ws[p - 2] END AS a
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM docs)),
+others AS (
+  SELECT doc_id, p,
+         count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS l1,
+         count(*) OVER (PARTITION BY b, c) - count(*) OVER (PARTITION BY doc_id, b, c) AS l2,
+         count(*) OVER (PARTITION BY a, b, c) - count(*) OVER (PARTITION BY doc_id, a, b, c) AS l3,
+         greatest(1, count(*) OVER () - count(*) OVER (PARTITION BY doc_id)) AS n
+  FROM tokens),
+placed AS (
+  SELECT *, lag(l1) OVER v AS before1, lag(l2) OVER v AS before2, p >= 3 AND l3 > 0 AS longest
+  FROM others WINDOW v AS (PARTITION BY doc_id ORDER BY p)),
+scored AS (
+  SELECT doc_id, longest,
+         CASE WHEN longest THEN ln(l3 / before2)
+              WHEN p >= 2 AND l2 > 0 THEN ln(l2 / before1) + (least(2, p - 1) - 1) * ln(0.4)
+              ELSE ln(CASE WHEN l1 > 0 THEN l1 ELSE 0.4 END / n) + least(2, p - 1) * ln(0.4) END AS s
+  FROM placed)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(coalesce(x.total, 0.0), 3) AS log_score,
+       CASE WHEN len(d.ws) > 0 THEN round(x.total / len(d.ws), 6) END AS mean_log_score, coalesce(x.hits, 0)::BIGINT AS n_longest
+FROM docs d LEFT JOIN (
+  SELECT doc_id, sum(s) AS total, count(*) FILTER (longest) AS hits FROM scored GROUP BY doc_id) x USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op9_lmscore": LM_SCORES}
