@@ -288,7 +288,8 @@ def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
     found = near_duplicates(docs.select("doc_id", "text"), shingle, max_bits)
     kept = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies")), "kept")
     repeated = kept.filter("copies > 1").limit(1).count() > 0
-    stay = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
+    # the ids kept grow with the documents, so this is a sorted join at every size
+    stay = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi")
     if repeated:
         stay = stay.dropDuplicates(["doc_id"])
     return stay.unionByName(docs.filter("doc_id is null")).select(docs.columns)
