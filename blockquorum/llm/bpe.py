@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from blockquorum.llm.common import Memo, map_batches, pieces, texts, worker_store
 
 LONG = 64
-ROUNDS_ROWS = 4_000_000  # rows that one recursive query may pile up for long words
-CHUNK_BYTES = 1_000_000  # of words that go to DuckDB together
-MOST_KNOWN = 800_000  # words and pieces that a worker remembers
+ROUNDS_ROWS = 2_000_000  # rows that one recursive query may pile up for long words
+CHUNK_BYTES = 500_000  # of words that go to DuckDB together
+MOST_KNOWN = 400_000  # words and pieces that a worker remembers
 TEXT_CHARS = 6_000_000  # that are encoded together
 
 #: One contraction a round: the leftmost pair of the least rank.
@@ -115,7 +115,7 @@ class Codec:
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, dtype=np.int32) for x in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 3
         safe = np.ones(max(ranks.values(), default=0) + 1, dtype=bool)  # no pair with this token has a rank up to its own
