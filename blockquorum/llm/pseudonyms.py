@@ -10,6 +10,11 @@ half a keyed hash of the other half, modulo its radix. Every round can be undone
 format stay different, and equal values are equal in all documents. Check digits are computed anew, first
 digits and country codes stay, so a pseudonym is valid in its turn.
 
+Card numbers are looked for in whole runs of digits with single spaces or dashes; a run ends where a date, a
+telephone number or the like begins. A run that is valid as a whole is one number; else numbers in the shapes of
+``CARD_SHAPES`` are looked for at each group of digits, and what stands around them stays. An IBAN has its
+country's length.
+
 Edge cases: a null text stays null and an empty one empty; a text without candidates is unchanged;
 invalid candidates stay. Numbers written with other separators are other texts of the same digits and get
 the same digits. Rows are neither added nor removed; ids and other columns are not touched.
@@ -26,21 +31,48 @@ CYCLE = 28  # years after which the calendar repeats, from 1901 to 2099
 FIRST_YEAR, LAST_YEAR = 1901, 2096
 DAYS = (21, 487)  # their product is the days of a cycle
 
+#: Characters of an IBAN after the first four, by country.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FI FK FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH CR HR LI LV",
+    18: "BG BH DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ DZ ES MD PK RO SA SE SK TN VG",
+    21: "AO CV LY MZ PT ST", 22: "IR IS TR", 23: "BF BI CF CG CM DJ EG FR GA GR IT KM MC MG MR SM TD",
+    24: "AL AZ BJ BY CI CY DO GT GW HN HU LB MA ML NE NI PL SN SV TG", 25: "BR PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+
+
+def _iban_of(rest: int, countries: str) -> str:
+    fours, tail = divmod(rest, 4)
+    end = f" ?[A-Z0-9]{{{tail}}}" if tail else ""
+    return f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}{end}(?![A-Za-z0-9])"
+
+
 #: What a candidate looks like, by kind; the first kind that matches at a place counts.
 #: Quantifiers are possessive or bounded, so that long runs cost no more than their length.
 KINDS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "password": r"(?<![A-Za-z])password=[!-~]{6,64}(?![!-~])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?:"
+    + "|".join(_iban_of(*item) for item in IBAN_REST.items())
+    + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     "ymd": r"(?<![0-9])[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}(?![0-9])",
     "dmy": r"(?<![0-9.])[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z.])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "local": r"(?<![0-9A-Za-z.])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])",
 }
+_OTHER = "(?!" + "|".join(KINDS[k] for k in ("mail", "ymd", "dmy", "ssn", "ip", "local")) + ")"
+_GROUP = "[0-9]++(?![A-Za-z])"
+KINDS["card"] = (
+    rf"(?<![0-9A-Za-z.])(?=[0-9](?:(?:[ -]{_OTHER})?[0-9]){{12}}){_GROUP}(?:[ -]{_OTHER}{_GROUP})*+"
+)
+CARD_SHAPES = ((4, 4, 4, 4, 3), (4, 4, 4, 4, 2), (4, 4, 4, 4, 1), (8, 8), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 1))
+#: A group of digits and, by lookahead, the numbers that may begin at it: at the head of a run any grouping too.
+_CARDS_AT = [r"\A[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", "[0-9]{13,19}(?![0-9])"] + [
+    "(?:" + "|".join(mark.join(f"[0-9]{{{n}}}" for n in shape) for mark in " -") + ")(?![0-9])" for shape in CARD_SHAPES
+]
+_AT_GROUP = "".join(f"(?=({one})?)" for one in _CARDS_AT) + "([0-9]++[ -]?+)"
 PATTERN = "|".join(KINDS.values())
 
 
@@ -154,7 +186,36 @@ def _card(s: Column, key: str) -> Column:
         moved = _permuted_text(s, key, "card", lambda c, _, before: F.when(_is_digit(c) & (before > 0) & (before < n - 1), _symbol(48, 10)))
         return _let(moved, lambda m: _with_last_digit(m, F.pmod(-luhn_sum(_digits(_with_last_digit(m, F.lit(0)))), F.lit(10))))
 
-    return _let(_digits(s), lambda d: F.when((luhn_sum(d) % 10 == 0) & (d.cast("decimal(19,0)") > 0), fresh(d)).otherwise(s))
+    return _let(_digits(s), lambda d: F.when(_is_card(s), fresh(d)).otherwise(s))
+
+
+def _is_card(s: Column) -> Column:
+    return _let(_digits(s), lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0) & ~d.rlike("^0*$"))
+
+
+def _card_parts(run: Column) -> Column:
+    """A run of digits cut so that every valid card number in it is a part of its own."""
+    n = len(_CARDS_AT)
+    zipped = F.arrays_zip(*[F.regexp_extract_all(run, F.lit(_AT_GROUP), F.lit(i + 1)).alias(f"c{i}") for i in range(n + 1)])
+
+    def first_valid(x: Column) -> Column:
+        options = F.array(*[x[f"c{i}"] for i in range(n)])
+        return F.struct(x[f"c{n}"].alias("group"), F.get(F.filter(options, _is_card), F.lit(0)).alias("card"))
+
+    def step(state: Column, x: Column) -> Column:
+        begins = (state["skip"] <= 0) & x["card"].isNotNull()
+        left = F.when(begins, F.length(x["card"])).otherwise(F.greatest(state["skip"], F.lit(0))) - F.length(x["group"])
+        # the characters of the group that no number covers: all, none, or the mark behind it
+        rest = F.when(left < 0, F.right(x["group"], -left)).otherwise(F.lit(""))
+        new = F.filter(F.array(F.when(begins, x["card"]).otherwise(F.lit("")), rest), lambda p: p != "")
+        return F.struct(left.cast("int").alias("skip"), F.concat(state["parts"], new).alias("parts"))
+
+    def cut(groups: Column) -> Column:
+        none = F.struct(F.lit(0).alias("skip"), F.array().cast("array<string>").alias("parts"))
+        parts = F.aggregate(groups, none, step, lambda state: state["parts"])
+        return F.when(F.exists(groups, lambda x: x["card"].isNotNull()), parts).otherwise(F.array(run))
+
+    return F.when(_is_card(run), F.array(run)).otherwise(_let(F.transform(zipped, first_valid), cut))
 
 
 def iban_remainder(s: Column) -> Column:
@@ -283,14 +344,18 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     def joined(old: Column) -> Column:
         def around(new: Column) -> Column:
             pieces = F.split(text, PATTERN, -1)
-            woven = F.zip_with(pieces, new, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-            changed = F.size(F.filter(F.zip_with(old, new, lambda o, n: o != n), lambda differs: differs))
+            woven = F.zip_with(pieces, new, lambda p, n: F.concat(p, F.coalesce(F.array_join(n, ""), F.lit(""))))
+            changed = F.size(F.filter(F.zip_with(F.flatten(old), F.flatten(new), lambda o, n: o != n), lambda differs: differs))
             return F.struct(F.array_join(woven, "").alias("text"), changed.alias("n"))
 
-        return _let(F.transform(old, lambda s: pseudonym(s, key)), around)
+        return _let(F.transform(old, lambda parts: F.transform(parts, lambda s: pseudonym(s, key))), around)
+
+    def parted(candidates: Column) -> Column:
+        is_run = lambda s: s.rlike("^(?:" + KINDS["card"] + ")$")
+        return F.transform(candidates, lambda s: F.when(is_run(s), _card_parts(s)).otherwise(F.array(s)))
 
     same = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    made = F.when(F.size(F.coalesce(found, F.array().cast("array<string>"))) > 0, _let(found, joined)).otherwise(same)
+    made = F.when(F.size(F.coalesce(found, F.array().cast("array<string>"))) > 0, _let(parted(found), joined)).otherwise(same)
     names = docs.columns
     out = docs.select(*[F.col(c) for c in names], made.alias("__made"))
     columns = [F.col("__made.text").alias(c) if c == text_col else F.col(c) for c in names]

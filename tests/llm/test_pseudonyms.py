@@ -105,3 +105,42 @@ def test_hard_rows(hard, hard_rows, empty):
 def test_no_python_in_the_plan(hard):
     plan = own.pseudonymise(hard, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+CARD, IBAN = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "n"),
+    [
+        (f"{CARD} 12/27", CARD, 1),
+        (f"{CARD} 123", CARD, 1),
+        (f"order 12 {CARD}", CARD, 1),
+        (f"12 34 {CARD} 12 27 123", CARD, 1),
+        (f"{CARD} 2027-02-28", CARD, 2),
+        (f"{CARD} 415-555-2671", CARD, 2),
+        (f"{CARD} 12th", CARD, 1),
+        (f"12 {CARD} 4539 1488 0343 6467 3", CARD, 2),
+        ("7 3782-822463-10005 1", "3782-822463-10005", 1),
+        ("3 4539148803436467-12", "4539148803436467", 1),
+        ("45391488 03436467 2027", "45391488 03436467", 1),
+        (f"{IBAN} EUR 500", IBAN, 1),
+        (f"{IBAN} BANK", IBAN, 1),
+        ("AT611904300234573201 BIC", "AT611904300234573201", 1),
+        (f"{IBAN} {CARD} 12", IBAN, 2),
+    ],
+)
+def test_values_with_digits_or_words_beside_them(spark, text, value, n):
+    got = run(spark, [text, value])
+    alone = got[1].text
+    assert got[1].n == 1 and alone != value and got[0].n == n
+    at = text.index(value)
+    assert got[0].text[at : at + len(value)] == alone and got[0].text[:at] == text[:at]
+    if n == 1:
+        assert got[0].text == text.replace(value, alone)
+
+
+def test_runs_without_a_card_stay(spark):
+    texts = ["12 4111 1111 1111 1112 3", "1 2 3 4 5 6 7 8 9 10 11 12 13 14", "0000 0000 0000 0000 12", "AT61 1904 3002 3457 3202 EUR"]
+    got = run(spark, texts)
+    assert [(got[i].text, got[i].n) for i in got] == [(t, 0) for t in texts]
