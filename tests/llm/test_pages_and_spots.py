@@ -51,6 +51,28 @@ def test_repeated_runs_of_a_host_go_where_nothing_is_marked():
     assert copies[0] == copies[1] and "alpha story" in copies[0]
 
 
+@pytest.mark.parametrize(("group_bytes", "partitions"), [(1, 8), (256_000, 8), (256_000, 1), (1000, 23)])
+def test_repeats_of_the_whole_host_at_any_grouping(spark, group_bytes, partitions):
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(500)]
+    notices = ["our rare notice number {} is shown on a few pages only".format(i) for i in range(12)]
+    page = "<body><div>Start here for the best offers of our shop today</div><div><p>{}</p><p>{}</p></div><div>{}</div></body>"
+    htmls = [page.format(" ".join(rng.choice(words, 40)), " ".join(rng.choice(words, 40)), notices[i % 12]) for i in range(36)]
+    htmls += [htmls[0], "<article>" + notices[3] + "</article>", "<main><p>one</p></main><article>two of it " + notices[2] + "</article>"]
+    rows = [(i, f"http://{host}/{i}", h) for host in ("a.b", "c.d") for i, h in enumerate(htmls)] + [(99, "http://alone.e/", htmls[0])]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = mainpage.extract(spark.createDataFrame(rows, PAGES).repartition(partitions), group_bytes).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = mainpage.articles(htmls)
+    assert "notice" not in want[5] and "shop" not in want[5]
+    assert len(got) == len(rows)
+    alone = mainpage.articles([htmls[0]])[0]
+    assert all(r.text == (alone if r.page_id == 99 else want[r.page_id]) and r.n_chars == len(r.text) for r in got)
+
+
 @pytest.mark.parametrize("seed", range(10))
 def test_repeated_as_brute_force(seed):
     rng = np.random.default_rng(seed)
