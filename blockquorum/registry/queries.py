@@ -395,7 +395,7 @@ def label_auc(spark, sf_dir):
 @query
 def svm_auc(spark, sf_dir):
     """Area under ROC of the voted block SVMs."""
-    run = classify.run_ensemble(line_blocks(spark, sf_dir), list(range(8)), list(range(30, 32)), "SVM", TAIL)
+    run = classify.run_ensemble(line_blocks(spark, sf_dir), list(range(30)), list(range(30, 40)), "SVM", TAIL)
     return _areas(run.predicted)
 
 
