@@ -614,6 +614,48 @@ def centre_distance(spark, sf_dir):
     return found.withColumn("distance", _round("distance", 6))
 
 
+# The same with whole fits. The six above stop after two rounds, as their SQL does.
+
+
+def _two_stage_whole(rows: DataFrame, **kw) -> cluster.TwoStage:
+    return cluster.run_two_stage(rows, list(range(30)), list(range(30, 40)), **kw)
+
+
+@query
+def block_kmeans_whole(spark, sf_dir):
+    return _long(kmeans.block_kmeans(line_blocks(spark, sf_dir)), "c", "block_id", "centre_id")
+
+
+@query
+def vector_kmeans_whole(spark, sf_dir):
+    return _long(kmeans.block_kmeans(vector_blocks(spark, sf_dir)), "c", "block_id", "centre_id", digits=5)
+
+
+@query
+def block_sse_whole(spark, sf_dir):
+    rows = line_blocks(spark, sf_dir)
+    return clustermetrics.block_sse(rows, kmeans.block_kmeans(rows), 2).withColumn("sse", _round("sse", 4))
+
+
+@query
+def two_stage_centres_whole(spark, sf_dir):
+    path = fresh_path(spark, "centres")
+    _two_stage_whole(line_blocks(spark, sf_dir), centres_path=path)
+    return _long(spark.read.parquet(path), "c", "centre_id")
+
+
+@query
+def two_stage_purity_whole(spark, sf_dir):
+    return _two_stage_whole(line_blocks(spark, sf_dir)).purity.select(_round("purity", 6))
+
+
+@query
+def centre_distance_whole(spark, sf_dir):
+    rows = line_blocks(spark, sf_dir)
+    found = _two_stage_whole(rows, real=_line_centres(rows)).distance
+    return found.withColumn("distance", _round("distance", 6))
+
+
 @query
 def two_stage_bisect(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)

@@ -1,5 +1,6 @@
 """Registered queries run the whole job."""
 
+import numpy as np
 import pytest
 
 from blockquorum.registry import queries
@@ -16,3 +17,32 @@ def test_svm_auc_takes_the_listed_blocks_of_the_other_ensembles(spark, sf_dir, m
     queries.svm_auc(spark, sf_dir)
     queries.label_auc(spark, sf_dir)
     assert asked[0] == asked[1] == (list(range(30)), list(range(30, 40)))
+
+
+def brute_kmeans(x, u, rounds=100, tol=1e-4):
+    """Two centres: from the row lowest in hash order and the one farthest from it, until none moves."""
+    first = x[np.argmin(u)]
+    away = ((x - first) ** 2).sum(axis=1)
+    far = np.flatnonzero(away >= away.max() - 1e-9)
+    c = np.stack([first, x[far[np.argmin(u[far])]]])
+    for _ in range(rounds):
+        to = ((x[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.stack([x[to == k].mean(axis=0) if (to == k).any() else c[k] for k in (0, 1)])
+        moved, c = np.sqrt(((new - c) ** 2).sum(axis=1)).max(), new
+        if moved <= tol:
+            break
+    return c
+
+
+def test_whole_kmeans_as_brute_force(spark, sf_dir):
+    rows = queries.line_blocks(spark, sf_dir).select("block_id", "u", "x").toPandas()
+    found = queries.QUERIES["block_kmeans_whole"](spark, sf_dir).toPandas()
+    place, value = [c for c in found.columns if c not in ("block_id", "centre_id")]
+    differ = 0
+    short = queries.QUERIES["block_kmeans"](spark, sf_dir).toPandas()
+    for block, part in rows.groupby("block_id"):
+        want = brute_kmeans(np.stack(part["x"].to_numpy()), part["u"].to_numpy())
+        got, two = (f[f["block_id"] == block].sort_values(["centre_id", place])[value].to_numpy() for f in (found, short))
+        assert got == pytest.approx(want.ravel(), abs=1e-4)
+        differ += not np.allclose(two, want.ravel(), atol=1e-4)
+    assert differ  # two rounds are not the whole fit
