@@ -146,12 +146,16 @@ def build(langs: list[str], counts: list[dict[int, dict[int, int]]]) -> Model:
 def learn(docs: DataFrame, train_bytes: int = TRAIN_BYTES) -> Model:
     """The model of all languages in ``docs`` (doc_id, lang, text)."""
     rows = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null and doc_id is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect() if r.n}
-    if not sizes:
-        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     scale = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(scale, int(scale * train_bytes / n)))])
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < share[F.col("lang")])
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(scale))
+    size = F.octet_length("text")
+    told = rows.groupBy("lang").agg(F.sum(size).alias("n"), F.min(F.when(size > 0, place)).alias("least")).collect()
+    # at least one document of every language
+    shares = {r.lang: max(r["least"] + 1, min(scale, int(scale * train_bytes / r.n))) for r in told if r.n}
+    if not shares:
+        return Model([], np.zeros(256, np.uint8), np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
+    share = F.create_map(*[F.lit(x) for item in sorted(shares.items()) for x in item])
+    sample = rows.filter(place < share[F.col("lang")])
     found = count_grams(sample).toPandas()
     langs = sorted(found["lang"].unique())
     counts: list[dict[int, dict[int, int]]] = []
