@@ -27,17 +27,25 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
+def plain(col: pd.Series) -> pd.Series:
+    """A column with nulls as objects, as pandas has whole numbers beside nulls in several types."""
+    if not col.isna().any():
+        return col
+    whole = lambda v: int(v) if isinstance(v, float) and v.is_integer() else v
+    return pd.Series([None if null else whole(v) for v, null in zip(col, col.isna())], dtype=object)
+
+
 def difference(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str | None:
     if sorted(spark_df.columns) != sorted(sql_df.columns):
         return f"columns {sorted(spark_df.columns)} / {sorted(sql_df.columns)}"
-    a, b = normal(spark_df), normal(sql_df)
+    a, b = normal(spark_df).apply(plain), normal(sql_df).apply(plain)
     if len(a) != len(b):
         return f"rows {len(a)} / {len(b)}"
     for c in a.columns:
         kinds = (a[c].dtype.kind, b[c].dtype.kind)
         if (kinds[0] == "f") != (kinds[1] == "f"):
             return f"type of {c}: {a[c].dtype} / {b[c].dtype}"
-        wrong = a[c].astype(object) != b[c].astype(object)
+        wrong = (a[c].astype(object) != b[c].astype(object)) & ~(a[c].isna() & b[c].isna())
         if wrong.any():
             i = wrong.idxmax()
             return f"{int(wrong.sum())} values of {c}, first {a[c][i]!r} / {b[c][i]!r}"
