@@ -8,12 +8,14 @@ So linked sets share a key, and sets that merely share a passage seldom do.
 
 Within a key the sets lie in order of size. First each is compared with the next one, which joins groups of
 near copies whatever their size; the pairs come from a sort by ranges, so one key may span many tasks. Keys that
-still hold sets of several components are then compared in whole: every pair of sets of different components,
-in blocks bounded in bytes, where the blocks of the largest component meet only those of other ones.
+still hold sets of several components become tiles, in which bitmaps meet: first every set is paired with the
+one of another component that is nearest by bitmaps, and in keys that are mixed even then, with all. Tiles are cut
+into blocks bounded in bytes, where the blocks of the largest component meet only those of other ones. So work is
+quadratic only in sets of one key that stay apart.
 
 A comparison looks at sizes, then at hashed bitmaps: a bit holds the parity of the hashes that fall on it, so
 every bit in which two bitmaps differ is at least one hash in one set only, and half of what is left of both
-sizes bounds the overlap from above. Only then the sorted hashes are intersected, which decides.
+sizes bounds the overlap from above. Pairs that pass go to the sorted hashes, whose intersection decides.
 
 Sets are made from whole texts; 64-bit hashes stand for the shingles. Equal sets are one class with one member in
 the join. Hashes are kept for sets that share a key with another only; they are made again from the texts of
@@ -39,7 +41,8 @@ from blockquorum.llm.common import components, in_arrow, map_batches, texts
 from blockquorum.runtime import materialize
 
 PERCENT = 85
-TILE_BYTES = 8_000_000  # of hashes in one block of a tile
+TILE_BYTES = 8_000_000  # of bitmaps in one block of a tile
+BITS_A_HASH = 4  # in a bitmap, rounded up to a power of two
 KEYS_TOGETHER = 1_000_000  # keys that one task sorts
 PIECE = 1 << 16  # shingles hashed together
 KEEP_ALWAYS = 3  # members of a key from which comparing neighbours may not be all
@@ -118,8 +121,8 @@ def keys_of(hashes: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """Bytes of a bitmap as wide as the power of two from the size on (64 at least): parities of the hashes."""
-    width = max(64, 1 << (len(hashes) - 1).bit_length())
+    """Bytes of a bitmap, a power of two of bits (64 at least): parities of the hashes that fall on each."""
+    width = max(64, 1 << (BITS_A_HASH * len(hashes) - 1).bit_length())
     counts = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
 
@@ -256,40 +259,40 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return map_batches(pairs.join(first, "a").join(second, "b").select("a", "b", "ha", "hb", "ba", "bb"), step, "a bigint, b bigint")
 
 
-def tile_links(tile: pa.Table, percent: int) -> list[tuple[int, int]]:
-    """Links between the components of the sets of one tile, enough of them to join all that any link joins.
-    Sets of one block are compared only if the tile is that block alone."""
+def tile_pairs(tile: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different components in one tile that their sizes and bitmaps let be links; with
+    ``nearest`` of each set only the one with the most similar set. Sets of one block are compared only if the
+    tile is that block alone."""
     tile = tile.sort_by([("n", "ascending"), ("node", "ascending")]).combine_chunks()
-    n, root = tile["n"].to_numpy(), tile["root"].to_numpy()
-    side = tile["block"].to_numpy()
+    n, root, node, side = (tile[c].to_numpy() for c in ("n", "root", "node", "block"))
     alone = tile["i"][0].as_py() == tile["j"][0].as_py()
-    hashes = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tile["hashes"].combine_chunks()]
     raw = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in tile["bits"].combine_chunks()]
     least = min(len(x) for x in raw)
     bits = np.stack([folded(x, least) for x in raw]).view(np.uint64)
-    group = np.unique(root, return_inverse=True)[1]
-    out = []
-    for at in range(len(n) - 1):
-        stop = int(np.searchsorted(n, n[at] * 100 // percent, side="right"))
-        later = np.arange(at + 1, stop)
-        later = later[(group[later] != group[at]) & (alone | (side[later] != side[at]))]
-        apart = np.bitwise_count(bits[later] ^ bits[at]).sum(axis=1, dtype=np.int64)
-        both = n[later] + n[at]
-        for other in later[enough((both - apart) // 2, both, percent)].tolist():
-            if group[other] != group[at] and enough(overlap(hashes[at], hashes[other]), n[at] + n[other], percent):
-                out.append((int(root[at]), int(root[other])))
-                group[group == group[other]] = group[at]
-    return out
-
-
-def mixed_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int = PERCENT, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """Links (a, b) between components (``roots``: node, root; others are their own root) that share a key."""
+    one, two = [], []
+    for at in range(len(n)):
+        first = int(np.searchsorted(n, -(-n[at] * percent // 100))) if nearest else at + 1
+        others = np.arange(first, int(np.searchsorted(n, n[at] * 100 // percent, side="right")))
+        others = others[(root[others] != root[at]) & (alone | (side[others] != side[at]))]
+        apart = np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1, dtype=np.int64)
+        both = n[others] + n[at]
+        passed = np.flatnonzero(enough((both - apart) // 2, both, percent))
+        if nearest and len(passed):
+            passed = passed[[apart[passed].argmin()]]
+        one.append(np.full(len(passed), node[at]))
+        two.append(node[others[passed]])
+    return np.concatenate(one), np.concatenate(two)
+
+
+def mixed_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, nearest: bool, percent: int = PERCENT, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Pairs (a, b) of sets that share a key, belong to different components (``roots``: node, root; others are their
+    own) and may be links."""
     rooted = members.join(roots, "node", "left").select("k", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
     parts = rooted.groupBy("k", "root").agg(F.sum("n").alias("n"))
     keys = parts.groupBy("k").agg(F.count("*").alias("c"), F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("large"), F.sum("n").alias("n_all"))
-    whole = F.col("n_all") * 8 <= tile_bytes
-    blocks = lambda n: F.ceil(n * 8 / F.lit(tile_bytes))
+    whole = F.col("n_all") * BITS_A_HASH / 8 <= tile_bytes
+    blocks = lambda n: F.ceil(n * BITS_A_HASH / F.lit(8 * tile_bytes))
     keys = keys.filter("c > 1").select(
         "k", "major", F.when(whole, 0).otherwise(blocks(F.col("large"))).alias("m"), F.when(whole, 1).otherwise(blocks(F.col("n_all") - F.col("large"))).alias("o")
     )
@@ -302,10 +305,11 @@ def mixed_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     placed = placed.select("k", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "root", "n")
 
     def compare(tile: pa.Table) -> pa.Table:
-        found = tile_links(tile, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        a, b = tile_pairs(tile, percent, nearest)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return placed.join(sets, "node").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    found = placed.join(sets.select("node", "bits"), "node").groupBy("k", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return materialize(found.distinct(), "pairs")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = PERCENT, tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -319,14 +323,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = PERCENT, tile
     pairs, members = neighbours(classes)
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     sets = materialize(sets_of(docs, classes.select("node", "least", "th").join(met, "node"), size), "sets")
-    roots = components(verified(pairs, sets, percent))
-    mixed = materialize(mixed_links(members, roots, sets, percent, tile_bytes), "mixed")
-    if not mixed.isEmpty():
-        more = components(mixed)
-        # a component found first goes on under the root of the components that it is joined with
-        tops = more.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        joined = roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = joined.unionByName(more.join(roots, "node", "left_anti").select("node", "root"))
+    links = materialize(verified(pairs, sets, percent), "verified")
+    roots = components(links)
+    for nearest in (True, False):
+        pairs = mixed_pairs(members, roots, sets, nearest, percent, tile_bytes)
+        if pairs.isEmpty():  # then there are none to compare with all either
+            break
+        more = materialize(verified(pairs, sets, percent), "verified")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links)
     rooted = classes.join(roots, "node", "left").select("f1", "f2", "least", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "classes")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
