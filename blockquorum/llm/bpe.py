@@ -2,8 +2,8 @@
 
 A text is split by a pattern into words; each word's bytes become rows (word, position, token). A
 recursive query joins neighbouring tokens with the merge table and contracts the leftmost pair of the
-least rank of every word, until no word has a pair left. Decoding joins ids with the vocabulary and
-concatenates their bytes in order, as an ordered aggregation.
+least rank of every word, until no word has a pair left. Decoding joins the ids of whole texts with the
+vocabulary and concatenates their bytes in order, as an ordered aggregation.
 
 Only words a worker has not met yet go to DuckDB, many at a time; it remembers a bounded number of words
 and of pieces between spaces. In words of over ``LONG`` bytes a round contracts all non-overlapping pairs of
@@ -30,7 +30,8 @@ from blockquorum.llm.common import Memo, map_batches, pieces, texts, worker_stor
 LONG = 64
 ROUNDS_ROWS = 2_000_000  # rows that one recursive query may pile up for long words
 CHUNK_BYTES = 500_000  # of words that go to DuckDB together
-MOST_KNOWN = 400_000  # words and pieces that a worker remembers
+MOST_KNOWN = 600_000  # words and pieces that a worker remembers
+DECODE_ROWS = 1_000_000  # ids that are decoded together
 TEXT_CHARS = 6_000_000  # that are encoded together
 
 #: One contraction a round: the leftmost pair of the least rank.
@@ -81,7 +82,11 @@ WITH RECURSIVE t AS (
 SELECT w, any_value(round) AS round, list(tok ORDER BY pos) AS ids FROM t JOIN ends USING (w, round) GROUP BY w ORDER BY w
 """
 
-DECODE = "SELECT w, string_agg(bytes, '' ORDER BY pos) AS text FROM token_rows JOIN vocab USING (tok) GROUP BY w ORDER BY w"
+#: Bytes of ids in their order; on its one thread the database adds rows up as they were sorted.
+DECODE = """
+SELECT w, string_agg(bytes, '') AS text
+FROM (SELECT w, bytes FROM token_rows JOIN vocab USING (tok) ORDER BY pos) GROUP BY w ORDER BY w
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -127,7 +132,7 @@ class Codec:
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
         self.kind = np.dtype("<u2" if len(safe) <= 1 << 16 else "<u4")
-        self.memo = Memo(MOST_KNOWN)  # word or piece -> (packed ids, bytes they decode to)
+        self.memo = Memo(MOST_KNOWN)  # word or piece -> packed ids
 
     def _query(self, sql: str, name: str, rows: pa.Table, **values) -> pa.Table:
         self.db.register(name, rows)
@@ -178,48 +183,51 @@ class Codec:
     def decode(self, packed: list[bytes], kind: np.dtype | None = None) -> list[bytes]:
         """Bytes of each list of packed ids."""
         kind = kind or self.kind
-        out = [b""] * len(packed)
-        sizes = np.array([len(x) // kind.itemsize for x in packed], dtype=np.int64)
-        found = self._query(DECODE, "token_rows", _rows(np.frombuffer(b"".join(packed), dtype=kind), sizes))
-        for w, text in zip(found.column("w").to_pylist(), found.column("text").to_pylist()):
-            out[w] = text.encode("latin-1")
-        return out
+        flat = np.frombuffer(b"".join(packed), dtype=kind)
+        of = np.repeat(np.arange(len(packed), dtype=np.int32), [len(x) // kind.itemsize for x in packed])
+        parts: list[list[bytes]] = [[] for _ in packed]
+        for lo in range(0, len(flat), DECODE_ROWS):
+            tok = flat[lo : lo + DECODE_ROWS].astype(np.int32)
+            rows = pa.table({"w": of[lo : lo + DECODE_ROWS], "pos": np.arange(len(tok), dtype=np.int32), "tok": tok})
+            found = self._query(DECODE, "token_rows", rows)
+            for w, text in zip(found.column("w").to_pylist(), found.column("text").to_pylist()):
+                parts[w].append(text.encode("latin-1"))
+        return [b"".join(p) for p in parts]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode and decode words that are not known."""
+        """Encode words that are not known."""
         for lo in range(0, len(words), 100_000):
             part = words[lo : lo + 100_000]
-            ids = self.merge([w.encode("utf-8") for w in part])
-            self.memo.young.update(zip(part, zip(ids, self.decode(ids))))
+            self.memo.young.update(zip(part, self.merge([w.encode("utf-8") for w in part])))
 
     def _learn_pieces(self, new: list[str]) -> None:
-        """The same for pieces but heads; they are split together, as no word crosses their borders."""
-        words, sizes = self.pattern.findall("".join(new)), [len(p) for p in new]
+        """The same for pieces but heads; they are split together, as no word crosses their borders but those of
+        marks, which are split each alone."""
+        marks = [p for p in new if p[0] in ".,"]
+        new = [p for p in new if p[0] not in ".,"]
+        words, sizes = self.pattern.findall("".join(new)), [len(p) for p in [*new, *marks]]
+        words += [w for p in marks for w in self.pattern.findall(p)]
         known = self.memo.young
         self._learn([w for w in dict.fromkeys(words) if w not in known])
         at = 0
-        for piece, size in zip(new, sizes):
-            first = at
-            while size > 0:
-                size -= len(words[at])
-                at += 1
-            if at - first > 1:
-                got = [known[w] for w in words[first:at]]
-                known[piece] = b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
-
-    def round_trips(self, items: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of every text, put together from its pieces (see ``common.pieces``)."""
+        for piece, size in zip([*new, *marks], sizes):
+            first, rest = at, size - len(words[at])
+            at += 1
+            if rest:
+                while rest > 0:
+                    rest -= len(words[at])
+                    at += 1
+                known[piece] = b"".join([known[w] for w in words[first:at]])
+
+    def encode(self, items: list[str]) -> list[bytes]:
+        """Packed ids of every text, put together from its pieces (see ``common.pieces``)."""
         split = [pieces(t) for t in items]
         heads = [self.pattern.findall(p[0] if p else t) for t, p in zip(items, split)]
         new = self.memo.missing({"\n"}.union(*heads, *[p[1:] for p in split if p]))
         known, own = self.memo.young, {w for ws in heads for w in ws}
         self._learn([w for w in new if w == "\n" or w in own])
         self._learn_pieces([p for p in new if p not in known])
-        for words, cut in zip(heads, split):
-            got = [known[w] for w in words]
-            if cut:
-                got += [known[x] for x in cut[1:]]
-            yield b"".join([g[0] for g in got]), b"".join([g[1] for g in got])
+        return [b"".join([known[w] for w in words] + [known[p] for p in cut[1:]] if cut else [known[w] for w in words]) for words, cut in zip(heads, split)]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -250,7 +258,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, n, ids_, one, two = codec(ranks_path, pattern), [], [], [], []
         for part in _portions(texts(batch)):
-            for ids, decoded in own.round_trips(part):
+            packed = own.encode(part)
+            for ids, decoded in zip(packed, own.decode(packed)):
                 wide = np.frombuffer(ids, dtype=own.kind).astype("<u4").tobytes()
                 n.append(len(wide) // 4)
                 ids_.append(wide)

@@ -77,16 +77,21 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 
 _NOT_PIECES = re.compile(r"\s(?: |\Z|(?<!\n)\n|(?<=\n)\n(?:\s|\Z))")
+_NOT_AFTER_WORDS = re.compile(r"(?<![0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,]")
 
 
 def pieces(text: str) -> list[str] | None:
     """A text cut before spaces and newlines, so that byte-level patterns (letters, numbers or marks with
     one space before them, else white space) split it at every cut: such a token starts at white space that
-    follows a character which is none, and the last of two newlines is a token of its own. None for texts with
+    follows a character which is none, and the last of two newlines is a token of its own. Where every full stop
+    and comma follows a letter or digit, marks begin there too, and it is cut before them. None for texts with
     other runs of white space or with white space at the end."""
     if "\0" in text or _NOT_PIECES.search(text):
         return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    cut = text.replace(" ", "\0 ").replace("\n", "\0\n")
+    if not _NOT_AFTER_WORDS.search(text):
+        cut = cut.replace(",", "\0,").replace(".", "\0.")
+    return cut.split("\0")
 
 
 def crc_mod(col: str | Column, mod: int) -> Column:

@@ -81,8 +81,9 @@ class PieceEncoder:
         """Ids of each text, packed."""
         split = [pieces(t) for t in items]
         new = self.memo.missing(set().union(*[s[1:] for s in split if s]))
-        self._learn([p for p in new if p == "\n"])
-        self._learn([p for p in new if p != "\n"])
+        alone = [p for p in new if p == "\n" or p[0] in ".,"]  # next to others these could make one token with them
+        self.memo.young.update(zip(alone, [ids.tobytes() for ids in self._whole(alone)]))
+        self._learn([p for p in new if p != "\n" and p[0] not in ".,"])
         known = self.memo.young
         heads = self._whole([t if s is None else s[0] for t, s in zip(items, split)])
         return [h.tobytes() + b"".join([known[p] for p in s[1:]]) if s else h.tobytes() for h, s in zip(heads, split)]
