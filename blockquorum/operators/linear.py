@@ -30,6 +30,7 @@ CASCADE_ROUNDS = 3
 CASCADE_FIT_ROUNDS = 20
 CASCADE_FIT_TOL = 1e-3
 MIN_GAP = 1e-6
+MOST_LOSS = 1e6  # of one row; a step that reaches it is worse than none
 
 
 @dataclass(frozen=True)
@@ -74,8 +75,23 @@ def hinge_loss(c: float = 0.1) -> Loss:
 STATE_KEYS = ["block_id", "w", "base", "base_loss"]
 
 
-def _sums_by_columns(data: DataFrame, state: DataFrame, loss: Loss, dim: int) -> DataFrame:
-    """(state columns, sums); the state is the group key, which saves joining it again."""
+def _exact_sum(term: str, power: int) -> str:
+    """Sum of a term as two sums of whole numbers, of 2^(16 - power) and, for what that leaves, 2^(48 - power): equal
+    for every order of the rows. Terms of 2^power fill 32 bits with the largest factor a loss gives them."""
+    v = f"({term}) * {2.0 ** (16 - power)!r}D"
+    rest = f"floor(({v} - floor({v})) * 4294967296D)"
+    return f"(double(sum(floor({v}))) + double(sum({rest})) / 4294967296D) * {2.0 ** (power - 16)!r}D"
+
+
+def _reach(data: DataFrame, dim: int) -> list[int]:
+    """Per feature the least power of two that no value passes, and 0 for the constant."""
+    most = data.agg(*[F.max(F.abs(F.col("x")[j])) for j in range(dim)]).first()
+    return [int(np.clip(np.ceil(np.log2(m)), -60, 60)) if m and np.isfinite(m) else 0 for m in most] + [0]
+
+
+def _sums_by_columns(data: DataFrame, state: DataFrame, loss: Loss, dim: int, reach: list[int]) -> DataFrame:
+    """(state columns, sums); the state is the group key, which saves joining it again. Sums do not depend on how
+    the rows are dealt to tasks, so fits repeat to the last bit."""
     a, b, value = (F.expr(e) for e in loss.sql)
     rows = (
         data.join(state, "block_id")
@@ -83,12 +99,13 @@ def _sums_by_columns(data: DataFrame, state: DataFrame, loss: Loss, dim: int) ->
         .select(*STATE_KEYS, "x", a.alias("a"), b.alias("b"), value.alias("value"))
     )
     z = [f"x[{j}]" for j in range(dim)] + ["1D"]
-    sums = [f"sum(a * {z[i]} * {z[j]})" for i in range(dim + 1) for j in range(i, dim + 1)]
-    sums += [f"sum(b * {z[i]})" for i in range(dim + 1)] + ["sum(value)"]
+    sums = [_exact_sum(f"a * {z[i]} * {z[j]}", reach[i] + reach[j]) for i in range(dim + 1) for j in range(i, dim + 1)]
+    sums += [_exact_sum(f"b * {z[i]}", reach[i]) for i in range(dim + 1)]
+    sums += [_exact_sum(f"least(value, {MOST_LOSS!r}D)", 0)]
     return rows.groupBy(*STATE_KEYS).agg(F.expr(f"array({', '.join(sums)})").alias("sums"))
 
 
-def _sums_by_batches(data: DataFrame, state: DataFrame, loss: Loss, dim: int) -> DataFrame:
+def _sums_by_batches(data: DataFrame, state: DataFrame, loss: Loss, dim: int, reach: list[int]) -> DataFrame:
     upper = np.triu_indices(dim + 1)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +180,11 @@ def _solve_rounds(data: DataFrame, loss: Loss, dim: int, rounds: int, tol: float
         width,
         "weights",
     )
-    sums_of = _sums_by_columns if dim <= UNROLL_DIM else _sums_by_batches
+    narrow = dim <= UNROLL_DIM
+    sums_of, reach = (_sums_by_columns, _reach(data, dim)) if narrow else (_sums_by_batches, [])
     settled, n = [], moving.count()
     for _ in range(rounds):
-        state = settle(sums_of(data, moving, loss, dim), width, "weights", solve, STATE, most=n)
+        state = settle(sums_of(data, moving, loss, dim, reach), width, "weights", solve, STATE, most=n)
         settled.append(state.filter("not moving"))
         moving = state.filter("moving").select(*STATE_KEYS)
         if moving.isEmpty():

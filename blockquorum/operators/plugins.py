@@ -14,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialize, settle
 from .blocks import mark_holdout
@@ -30,6 +30,9 @@ class BlockClassifier(Protocol):
     def predict(self, rows: DataFrame, models: DataFrame) -> DataFrame:
         """Rows with ``prediction`` by the model of their own block."""
 
+    def vote(self, rows: DataFrame, models: DataFrame) -> DataFrame:
+        """Rows with ``votes``, a map from label to the number of models that answer it."""
+
 
 class BlockClusterer(Protocol):
     def fit(self, rows: DataFrame) -> DataFrame:
@@ -65,8 +68,8 @@ def bounded_blocks(rows: DataFrame, max_rows: int) -> DataFrame:
 class PandasClassifier:
     """``solve(x, y) -> model`` and ``apply(model, x) -> labels`` on numpy arrays."""
 
-    def __init__(self, solve: Callable, apply: Callable, max_rows: int = 1_000_000):
-        self.solve, self.apply, self.max_rows = solve, apply, max_rows
+    def __init__(self, solve: Callable, apply: Callable, max_rows: int = 1_000_000, model_bytes: int = 64_000_000):
+        self.solve, self.apply, self.max_rows, self.model_bytes = solve, apply, max_rows, model_bytes
 
     def blocks(self, rows: DataFrame) -> DataFrame:
         return bounded_blocks(rows, self.max_rows)
@@ -102,6 +105,41 @@ class PandasClassifier:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns) + ", prediction int"
         return joined.mapInPandas(per_batch, schema)
 
+    def vote(self, rows: DataFrame, models: DataFrame) -> DataFrame:
+        """Rows with ``votes``: label to the number of ``models`` that answer it.
+
+        The models are stored in files of ``model_bytes`` or less and every task reads one file at a time, so
+        neither the driver nor a task holds an ensemble of any size, and no pair of row and model is a row.
+        More files than one take a pass over the rows each, with the votes so far kept in a written table.
+        """
+        apply = self.apply
+        sized = models.select("block_id", "model", F.octet_length("model").cast("bigint").alias("size"))
+        total, largest = sized.agg(F.sum("size"), F.max("size")).first()
+        out = rows.withColumn("votes", F.expr("CAST(map() AS map<int,int>)"))
+        n = max(1, -(-(total or 0) // max(1, self.model_bytes - (largest or 0)))) if (total or 0) > self.model_bytes else 1
+        stored = materialize(sized.withColumn("part", F.pmod(F.hash("block_id"), F.lit(n))).drop("size"), "models")
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
+        for part in range(n):
+            chosen = stored.filter(F.col("part") == part).select("model")
+            files = materialize(chosen.coalesce(1), "voters").inputFiles()
+
+            def tally(batches, files=files):
+                blobs = [b for f in files for b in read_column(f, "model")]
+                held = [pickle.loads(b) for b in blobs]
+                for pdf in batches:
+                    if not len(pdf):
+                        continue
+                    x, votes = np.stack(pdf["x"]), [dict(v) for v in pdf["votes"]]
+                    for model in held:
+                        for own, answer in zip(votes, np.asarray(apply(model, x)).tolist()):
+                            own[int(answer)] = own.get(int(answer), 0) + 1
+                    yield pdf.assign(votes=votes)
+
+            out = out.mapInPandas(tally, schema)
+            if part + 1 < n:
+                out = materialize(out, "votes")
+        return out
+
 
 class PandasClusterer:
     """``solve(x) -> centres`` on numpy arrays."""
@@ -122,6 +160,21 @@ class PandasClusterer:
         return bounded.drop("u").groupBy("block_id").applyInPandas(per_block, CENTRES)
 
 
+def read_column(file: str, name: str) -> list:
+    """One column of a Parquet file in the shared folder, read inside a task."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(file)
+    return pq.read_table(path, columns=[name], filesystem=system).column(0).to_pylist()
+
+
+def voted_answer(votes: str = "votes") -> Column:
+    """Label with most votes in a map of label to count, the smallest label on ties; null without votes."""
+    entries = F.transform(F.map_entries(votes), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("label")))
+    return F.array_min(entries)["label"]
+
+
 def fit_and_score_custom(classifier: BlockClassifier, rows: DataFrame, share: float = 0.9) -> DataFrame:
     """Fit a plugged-in classifier on ``share`` of every block and score it on the others.
 

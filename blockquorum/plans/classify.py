@@ -19,9 +19,10 @@ from ..operators.blocks import (
     select_blocks,
 )
 from ..operators.models import MODEL_WIDTH, fit_and_score, fit_blocks, single_block
+from ..operators.plugins import BlockClassifier, fit_and_score_custom, voted_answer
 from ..operators.scoring import accuracy_matrix, predict_own, vote_tallies, voted_label, weighted_label
 from ..operators.voting import accuracy, pooled_accuracy, trim_tails
-from ..runtime import settle
+from ..runtime import materialize, settle
 from ..sources.store import write_models
 
 
@@ -52,7 +53,7 @@ def run_ensemble(
     rows: DataFrame,
     train_ids: list[int],
     predict_ids: list[int],
-    algo: str,
+    algo: str | BlockClassifier,
     tail: float = 0.05,
     use_score: bool = True,
     predicts: float | None = None,
@@ -63,12 +64,20 @@ def run_ensemble(
 ) -> Ensemble:
     """Fit a model in each train block, trim by hold-out score, vote on the predict blocks.
 
+    ``algo`` names a fit or is a classifier of one's own, whose models vote with equal weight.
     ``predicts`` may be fractional: of ``ceil(predicts)`` blocks a share of the rows is used.
     Without predict blocks there is no accuracy.
     """
     begin = perf_counter()
-    models = fit_and_score(select_blocks(rows, train_ids), algo, **params)
-    kept = settle(trim_tails(models, tail), MODEL_WIDTH, "kept") if use_score else models
+    own = not isinstance(algo, str)
+    if own and weighted:
+        raise ValueError("classifiers of one's own vote with equal weight")
+    train = select_blocks(rows, train_ids)
+    models = materialize(fit_and_score_custom(algo, train), "models") if own else fit_and_score(train, algo, **params)
+    kept = models
+    if use_score:
+        kept = trim_tails(models, tail)
+        kept = materialize(kept, "kept") if own else settle(kept, MODEL_WIDTH, "kept")
     seconds = perf_counter() - begin
     if model_path:
         write_models(kept, model_path, size)
@@ -77,6 +86,8 @@ def run_ensemble(
     chosen = select_blocks(rows, predict_ids)
     if predicts is not None:
         chosen = predict_fraction(chosen, predicts)
+    if own:
+        return Ensemble(models, kept, algo.vote(chosen, kept).withColumn("prediction", voted_answer()), seconds)
     return Ensemble(models, kept, predict_rows(chosen, kept, weighted), seconds)
 
 

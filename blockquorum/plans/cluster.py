@@ -11,6 +11,7 @@ from ..operators.baselines import full_clusterer, ml_centres
 from ..operators.blocks import listed_budget, select_blocks
 from ..operators.clustermetrics import assign_global, centre_distance, purity_by_block
 from ..operators.kmeans import block_bisect, block_kmeans, two_stage
+from ..operators.plugins import BlockClusterer
 from ..runtime import settle
 from .classify import listed_ids, random_ids, random_rows
 
@@ -31,17 +32,18 @@ def run_two_stage(
     rows: DataFrame,
     train_ids: list[int],
     test_ids: list[int],
-    algo: str = "kmeans",
+    algo: str | BlockClusterer = "kmeans",
     real: DataFrame | None = None,
     centres_path: str | None = None,
     **params,
 ) -> TwoStage:
     """Cluster inside each train block, cluster the pooled centres, judge on the test blocks.
 
-    Purity is the plain mean of the test blocks' purities. ``real`` is (name, centre_id, c).
+    ``algo`` names a fit or is a clusterer of one's own, which then fits both stages. Purity is the plain
+    mean of the test blocks' purities. ``real`` is (name, centre_id, c).
     """
     begin = perf_counter()
-    fit = lambda part: FITS[algo](part, **params)
+    fit = (lambda part: FITS[algo](part, **params)) if isinstance(algo, str) else algo.fit
     centres = settle(two_stage(select_blocks(rows, train_ids), fit), 64, "centres")
     seconds = perf_counter() - begin
     if centres_path:

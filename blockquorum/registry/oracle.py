@@ -223,6 +223,16 @@ said AS MATERIALIZED (
   FROM steps s JOIN nodes n ON n.block_id = s.model_block AND n.node = s.node WHERE n.feature < 0)"""
 
 
+TRIM = f"""ranked AS (
+  SELECT *, row_number() OVER (ORDER BY accuracy) - 1 AS place, count(*) OVER () AS m FROM scored),
+bounds AS (
+  SELECT max(accuracy) FILTER (place = t) AS lo, max(accuracy) FILTER (place = m - t - 1) AS hi,
+         bool_or(t > m - t - 1) AS keep_all
+  FROM (SELECT *, greatest(1, floor(m * {TAIL!r}::DOUBLE)) AS t FROM ranked)),
+trimmed AS MATERIALIZED (
+  SELECT scored.* FROM scored, bounds WHERE keep_all OR accuracy BETWEEN lo AND hi)"""
+
+
 def scored_trees(train: str) -> str:
     """Trees of the chosen blocks with their hold-out accuracy."""
     own = walk("marked", own=True).replace("steps", "own_steps").replace("said AS", "own_said AS", 1)
@@ -233,14 +243,7 @@ scored AS MATERIALIZED (
   SELECT block_id, count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_test,
          avg((said = label)::INT) FILTER (NOT is_train) AS accuracy
   FROM marked JOIN own_said USING (row_key) GROUP BY block_id),
-ranked AS (
-  SELECT *, row_number() OVER (ORDER BY accuracy) - 1 AS place, count(*) OVER () AS m FROM scored),
-bounds AS (
-  SELECT max(accuracy) FILTER (place = t) AS lo, max(accuracy) FILTER (place = m - t - 1) AS hi,
-         bool_or(t > m - t - 1) AS keep_all
-  FROM (SELECT *, greatest(1, floor(m * {TAIL!r}::DOUBLE)) AS t FROM ranked)),
-trimmed AS MATERIALIZED (
-  SELECT scored.* FROM scored, bounds WHERE keep_all OR accuracy BETWEEN lo AND hi)"""
+{TRIM}"""
 
 
 def ensemble(train: str, predict: str, kept: str = "trimmed", weight: str = "1.0") -> str:
@@ -332,9 +335,10 @@ pooled AS MATERIALIZED (
   FROM (SELECT block_id, 0 AS centre_id, c0 AS c FROM {state} UNION ALL SELECT block_id, 1, c1 FROM {state}))"""
 
 
+ROUNDS, TOL = 100, 1e-4  # of k-means: blocks that have settled before take no further part
 TWO_STAGE = (
-    f"WITH {LINES},{two_means(f'(SELECT * FROM lines WHERE {FIRST})', 4, 2, tag='a')},"
-    f"{pooled('ca2')},{two_means('pooled', 4, 2, tag='b')}"
+    f"WITH {LINES},{two_means(f'(SELECT * FROM lines WHERE {FIRST})', 4, ROUNDS, tol=TOL, tag='a')},"
+    f"{pooled(f'ca{ROUNDS}')},{two_means('pooled', 4, ROUNDS, tol=TOL, tag='b')}"
 )
 LABEL_MEANS = """
 means AS MATERIALIZED (
@@ -362,6 +366,38 @@ SELECT block_id, size, rank, count(*) AS n_rows
 FROM (VALUES {', '.join(rows)}) plan(size, block_id, rank) JOIN lines USING (block_id) GROUP BY ALL"""
 
 
+#: Means per label in each of the first 30 blocks, trimmed by hold-out accuracy; the rest vote for the nearest label.
+CUSTOM = f"""WITH {LINES},{holdout(f'(SELECT * FROM lines WHERE {FIRST})')},
+block_means AS MATERIALIZED (
+  SELECT block_id, label AS centre_id, list(v ORDER BY j) AS c
+  FROM (SELECT block_id, label, j, avg(x[j]) AS v
+        FROM (SELECT block_id, label, x, unnest(range(1, 5)) AS j FROM marked WHERE is_train) GROUP BY ALL)
+  GROUP BY block_id, label),
+held AS (
+  SELECT row_key, t.block_id, any_value(label) AS label, arg_min(centre_id, {sq('x', 'c', 4)}) AS said
+  FROM marked t JOIN block_means m ON m.block_id = t.block_id WHERE NOT is_train GROUP BY row_key, t.block_id),
+scored AS (SELECT block_id, avg((said = label)::INT) AS accuracy FROM held GROUP BY block_id),
+{TRIM},
+answers AS (
+  SELECT row_key, any_value(label) AS label, k.block_id AS model, arg_min(centre_id, {sq('x', 'c', 4)}) AS said
+  FROM lines t, block_means m JOIN trimmed k ON k.block_id = m.block_id WHERE t.{LAST} GROUP BY row_key, k.block_id),
+voted AS (
+  SELECT row_key, any_value(label) AS label, count(*) FILTER (said = 1)::INT AS votes,
+         CASE WHEN count(*) FILTER (said = 1) > count(*) FILTER (said = 0) THEN 1 ELSE 0 END AS majority
+  FROM answers GROUP BY row_key)"""
+
+
+def halves(source: str, tag: str) -> str:
+    """Per block the means of the rows up to the mean of the first feature (c0), and above it (c1)."""
+    return f"""
+cut{tag} AS (SELECT block_id, avg(x[1]) AS edge FROM {source} GROUP BY block_id),
+c{tag} AS MATERIALIZED (
+  SELECT block_id, list(v ORDER BY j) FILTER (side = 0) AS c0, list(v ORDER BY j) FILTER (side = 1) AS c1
+  FROM (SELECT block_id, side, j, avg(x[j]) AS v
+        FROM (SELECT s.block_id, (x[1] > edge)::INT AS side, x, unnest(range(1, 5)) AS j FROM {source} s JOIN cut{tag} USING (block_id))
+        GROUP BY ALL) GROUP BY block_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     lines = f"WITH {LINES} "
     bags, brands = f"WITH RECURSIVE {baskets()}", f"WITH RECURSIVE {baskets('p_brand')}"
@@ -485,6 +521,15 @@ said AS (
 SELECT block_id, (SELECT count(*) FROM marked k WHERE k.block_id = s.block_id AND is_train) AS n_train,
        count(*) AS n_test, {rnd('avg((said = label)::INT)')} AS accuracy
 FROM said s GROUP BY block_id""",
+        "custom_ensemble": f"{CUSTOM} SELECT row_key, majority AS prediction, votes FROM voted",
+        "custom_ensemble_accuracy": f"{CUSTOM} {ACCURACY}",
+        "custom_two_stage": f"""WITH {LINES},firsts AS (SELECT * FROM lines WHERE {FIRST}),{halves('firsts', 'a')},
+{pooled('ca')},{halves('pooled', 'b')},{LINE_MEANS}
+SELECT (SELECT {rnd('avg(purity)')} FROM (
+          SELECT block_id, {FLIPPED} AS purity
+          FROM (SELECT lines.block_id, label, CASE WHEN {sq('x', 'c1', 4)} < {sq('x', 'c0', 4)} THEN 1 ELSE 0 END AS cluster
+                FROM lines, cb WHERE lines.{LAST}) GROUP BY block_id)) AS purity,
+       (SELECT {rnd(f"sum(least({sq('c', 'c0', 4)}, {sq('c', 'c1', 4)}))")} FROM means, cb) AS distance""",
         "euclid": f"""WITH {VECTORS},{VECTOR_MEANS}
 SELECT row_key, {rnd('list_distance(x, c)', 5)} AS away FROM vectors JOIN means ON centre_id = label""",
         "nearest_centre": f"WITH {VECTORS},{VECTOR_MEANS} SELECT row_key, cluster FROM ({VECTOR_NEAREST})",
@@ -492,27 +537,27 @@ SELECT row_key, {rnd('list_distance(x, c)', 5)} AS away FROM vectors JOIN means
 SELECT {rnd('sum(best) / sum(n)')} AS purity
 FROM (SELECT max(n) AS best, sum(n) AS n
       FROM (SELECT cluster, label, count(*) AS n FROM ({VECTOR_NEAREST}) GROUP BY ALL) GROUP BY cluster)""",
-        "block_kmeans": f"WITH {LINES},{two_means('lines', 4, 2)} {long_centres('c2')}",
-        "vector_kmeans": f"WITH {VECTORS},{two_means('vectors', 64, 2)} {long_centres('c2', digits=5)}",
+        "block_kmeans": f"WITH {LINES},{two_means('lines', 4, ROUNDS, tol=TOL)} {long_centres(f'c{ROUNDS}')}",
+        "vector_kmeans": f"WITH {VECTORS},{two_means('vectors', 64, ROUNDS, tol=TOL)} {long_centres(f'c{ROUNDS}', digits=5)}",
         "block_bisect": f"WITH {LINES},{two_means('lines', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)} "
         + long_centres("besta"),
         "bisect_best_trial": f"WITH {LINES},{two_means('lines', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)} "
         f"SELECT block_id, trial, {rnd('sse', 4)} AS sse FROM besta",
-        "block_sse": f"""WITH {LINES},{two_means('lines', 4, 2)}
+        "block_sse": f"""WITH {LINES},{two_means('lines', 4, ROUNDS, tol=TOL)}
 SELECT block_id, {rnd(f"sum(least({sq('x', 'c0', 4)}, {sq('x', 'c1', 4)}))", 4)} AS sse
-FROM lines JOIN c2 USING (block_id) GROUP BY block_id""",
+FROM lines JOIN c{ROUNDS} USING (block_id) GROUP BY block_id""",
         "purity": f"WITH {LINES},{LINE_MEANS},{LINE_PLACED} SELECT {rnd(FLIPPED)} AS purity FROM placed",
         "purity_by_block": f"WITH {LINES},{LINE_MEANS},{LINE_PLACED} "
         f"SELECT block_id, count(*) AS n_rows, {rnd(FLIPPED)} AS purity FROM placed GROUP BY block_id",
-        "two_stage_centres": f"{TWO_STAGE} {long_centres('cb2', keep='')}",
+        "two_stage_centres": f"{TWO_STAGE} {long_centres(f'cb{ROUNDS}', keep='')}",
         "two_stage_purity": f"""{TWO_STAGE}
 SELECT {rnd('avg(purity)')} AS purity
 FROM (SELECT block_id, {FLIPPED} AS purity
       FROM (SELECT lines.block_id, label, CASE WHEN {sq('x', 'c1', 4)} < {sq('x', 'c0', 4)} THEN 1 ELSE 0 END AS cluster
-            FROM lines, cb2 WHERE lines.{LAST})
+            FROM lines, cb{ROUNDS} WHERE lines.{LAST})
       GROUP BY block_id)""",
         "centre_distance": f"""{TWO_STAGE},{LINE_MEANS}
-SELECT 'lines' AS name, {rnd(f"sum(least({sq('c', 'c0', 4)}, {sq('c', 'c1', 4)}))")} AS distance FROM means, cb2""",
+SELECT 'lines' AS name, {rnd(f"sum(least({sq('c', 'c0', 4)}, {sq('c', 'c1', 4)}))")} AS distance FROM means, cb{ROUNDS}""",
         "two_stage_bisect": f"WITH {LINES},"
         f"{two_means(f'(SELECT * FROM lines WHERE {FIRST})', 4, 5, 2, 1e-5, 'a')},{best_trial(5, 'a', 4)},"
         f"{pooled('besta')},{two_means('pooled', 4, 5, 2, 1e-5, 'b')},{best_trial(5, 'b', 4)} "

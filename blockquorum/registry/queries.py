@@ -508,6 +508,25 @@ def custom_block_fit(spark, sf_dir):
     return found.select("block_id", "n_train", "n_test", _round("accuracy", 6))
 
 
+@query
+def custom_ensemble(spark, sf_dir):
+    """A plugged-in classifier fitted in 30 blocks, trimmed by its hold-out scores, voting on 10 others."""
+    plugin = plugins.PandasClassifier(solve_class_means, apply_class_means)
+    predicted = _ensemble_of(line_blocks(spark, sf_dir), plugin).predicted
+    return predicted.select("row_key", "prediction", F.coalesce(F.col("votes")[1], F.lit(0)).alias("votes"))
+
+
+@query
+def custom_ensemble_accuracy(spark, sf_dir):
+    plugin = plugins.PandasClassifier(solve_class_means, apply_class_means)
+    found = _ensemble_of(line_blocks(spark, sf_dir), plugin).accuracy()
+    return found.select("n_test", _round("accuracy", 6))
+
+
+def _ensemble_of(rows: DataFrame, plugin) -> classify.Ensemble:
+    return classify.run_ensemble(rows, list(range(30)), list(range(30, 40)), plugin, TAIL)
+
+
 def solve_class_means(x: np.ndarray, y: np.ndarray) -> dict[int, np.ndarray]:
     return {int(c): x[y == c].mean(axis=0) for c in np.unique(y)}
 
@@ -545,13 +564,13 @@ def vector_purity(spark, sf_dir):
 
 @query
 def block_kmeans(spark, sf_dir):
-    found = kmeans.block_kmeans(line_blocks(spark, sf_dir), iters=2, tol=0.0)
+    found = kmeans.block_kmeans(line_blocks(spark, sf_dir))
     return _long(found, "c", "block_id", "centre_id")
 
 
 @query
 def vector_kmeans(spark, sf_dir):
-    found = kmeans.block_kmeans(vector_blocks(spark, sf_dir), iters=2, tol=0.0)
+    found = kmeans.block_kmeans(vector_blocks(spark, sf_dir))
     return _long(found, "c", "block_id", "centre_id", digits=5)
 
 
@@ -569,7 +588,7 @@ def bisect_best_trial(spark, sf_dir):
 @query
 def block_sse(spark, sf_dir):
     rows = line_blocks(spark, sf_dir)
-    found = kmeans.block_kmeans(rows, iters=2, tol=0.0)
+    found = kmeans.block_kmeans(rows)
     return clustermetrics.block_sse(rows, found, 2).withColumn("sse", _round("sse", 4))
 
 
@@ -592,7 +611,7 @@ def purity_by_block(spark, sf_dir):
 
 
 def _two_stage(rows: DataFrame, **kw) -> cluster.TwoStage:
-    return cluster.run_two_stage(rows, list(range(30)), list(range(30, 40)), iters=2, tol=0.0, **kw)
+    return cluster.run_two_stage(rows, list(range(30)), list(range(30, 40)), **kw)
 
 
 @query
@@ -614,46 +633,19 @@ def centre_distance(spark, sf_dir):
     return found.withColumn("distance", _round("distance", 6))
 
 
-# The same with whole fits. The six above stop after two rounds, as their SQL does.
-
-
-def _two_stage_whole(rows: DataFrame, **kw) -> cluster.TwoStage:
-    return cluster.run_two_stage(rows, list(range(30)), list(range(30, 40)), **kw)
-
-
-@query
-def block_kmeans_whole(spark, sf_dir):
-    return _long(kmeans.block_kmeans(line_blocks(spark, sf_dir)), "c", "block_id", "centre_id")
+def solve_halves(x: np.ndarray) -> list[np.ndarray]:
+    """Centres of the rows up to the mean of the first feature, and of those above it."""
+    above = x[:, 0] > x[:, 0].mean()
+    return [x[part].mean(axis=0) for part in (~above, above) if part.any()]
 
 
 @query
-def vector_kmeans_whole(spark, sf_dir):
-    return _long(kmeans.block_kmeans(vector_blocks(spark, sf_dir)), "c", "block_id", "centre_id", digits=5)
-
-
-@query
-def block_sse_whole(spark, sf_dir):
+def custom_two_stage(spark, sf_dir):
+    """A plugged-in clusterer in both stages: purity of the test blocks by its global centres."""
     rows = line_blocks(spark, sf_dir)
-    return clustermetrics.block_sse(rows, kmeans.block_kmeans(rows), 2).withColumn("sse", _round("sse", 4))
-
-
-@query
-def two_stage_centres_whole(spark, sf_dir):
-    path = fresh_path(spark, "centres")
-    _two_stage_whole(line_blocks(spark, sf_dir), centres_path=path)
-    return _long(spark.read.parquet(path), "c", "centre_id")
-
-
-@query
-def two_stage_purity_whole(spark, sf_dir):
-    return _two_stage_whole(line_blocks(spark, sf_dir)).purity.select(_round("purity", 6))
-
-
-@query
-def centre_distance_whole(spark, sf_dir):
-    rows = line_blocks(spark, sf_dir)
-    found = _two_stage_whole(rows, real=_line_centres(rows)).distance
-    return found.withColumn("distance", _round("distance", 6))
+    run = cluster.run_two_stage(rows, list(range(30)), list(range(30, 40)), plugins.PandasClusterer(solve_halves), _line_centres(rows))
+    both = run.purity.withColumn("one", F.lit(1)).join(run.distance.withColumn("one", F.lit(1)), "one")
+    return both.select(_round("purity", 6), _round("distance", 6))
 
 
 @query

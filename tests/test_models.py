@@ -289,3 +289,17 @@ def test_vote_tie_takes_the_smaller_label(spark):
 def test_weighted_vote(spark):
     df = spark.createDataFrame([("a", 1, 0.9), ("a", 0, 0.8), ("b", 0, 0.9), ("b", 1, 0.2)], "row_key string, prediction int, score double")
     assert sorted(map(tuple, voting.weighted_vote(df).collect())) == [("a", 1), ("b", 0)]
+
+
+def test_linear_fits_repeat_to_the_last_bit(spark):
+    """However the rows are dealt to tasks."""
+    from blockquorum.operators import linear
+
+    df, _ = block_rows(spark, n_blocks=2, n=300, dim=3, seed=5)
+    wide = df.withColumn("x", F.expr("array(x[0] * 1e5, x[1] * 1e-4, x[2])"))
+    for rows in (df, wide):
+        first, other = (
+            {r.block_id: r.weights for r in linear.fit_svm(part, rounds=30, ready=True).collect()}
+            for part in (rows.repartition(1), rows.repartition(7, "u"))
+        )
+        assert first == other
