@@ -108,15 +108,16 @@ class PandasClassifier:
     def vote(self, rows: DataFrame, models: DataFrame) -> DataFrame:
         """Rows with ``votes``: label to the number of ``models`` that answer it.
 
-        The models are stored in files of ``model_bytes`` or less and every task reads one file at a time, so
-        neither the driver nor a task holds an ensemble of any size, and no pair of row and model is a row.
-        More files than one take a pass over the rows each, with the votes so far kept in a written table.
+        The models are dealt by block to files of about ``model_bytes`` (a larger model has a file of its own size)
+        and every task reads one file at a time, so neither the driver nor a task holds an ensemble of any size, and
+        no pair of row and model is a row. Every file takes a pass over the rows, with the votes so far kept in a
+        written table.
         """
         apply = self.apply
         sized = models.select("block_id", "model", F.octet_length("model").cast("bigint").alias("size"))
-        total, largest = sized.agg(F.sum("size"), F.max("size")).first()
+        total, count = sized.agg(F.sum("size"), F.count("*")).first()
         out = rows.withColumn("votes", F.expr("CAST(map() AS map<int,int>)"))
-        n = max(1, -(-(total or 0) // max(1, self.model_bytes - (largest or 0)))) if (total or 0) > self.model_bytes else 1
+        n = max(1, min(count, -(-(total or 0) // self.model_bytes)))
         stored = materialize(sized.withColumn("part", F.pmod(F.hash("block_id"), F.lit(n))).drop("size"), "models")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
         for part in range(n):

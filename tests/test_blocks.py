@@ -253,3 +253,23 @@ def test_draws_for_different_uses_are_independent(spark, sf_dir):
     assert abs(blocks.row_sample(half, 0.5, seed="again").count() - n / 4) < n / 40
     train, test = blocks.row_split(blocks.row_sample(rows, 0.2), 0.9)
     assert test.count() > 0 and abs(train.count() - 0.18 * n) < n / 40
+
+
+def test_own_classifier_votes_from_several_files(spark):
+    """Votes of stored models in several files are those of all models, and go through trim and vote."""
+    from blockquorum.registry.queries import apply_class_means, solve_class_means
+
+    df, rows = block_rows(spark, n_blocks=6, n=60)
+    one = plugins.PandasClassifier(solve_class_means, apply_class_means)
+    many = plugins.PandasClassifier(solve_class_means, apply_class_means, model_bytes=400)
+    models = one.fit(df.filter("block_id < 5")).cache()
+    assert models.agg(F.sum(F.octet_length("model"))).first()[0] > 800
+    test = df.filter("block_id = 5").select("row_key", "x")
+    first, other = ({r.row_key: dict(r.votes) for r in p.vote(test, models).collect()} for p in (one, many))
+    assert first == other and all(sum(v.values()) == 5 for v in first.values())
+    run = classify.run_ensemble(df, list(range(5)), [5], many, tail=0.1)
+    scores = sorted(r.accuracy for r in run.models.collect())
+    kept = sorted(r.accuracy for r in run.kept.collect())  # one goes at each end, but for ties with those that stay
+    assert kept == [s for s in scores if scores[1] <= s <= scores[3]] and run.accuracy().first().accuracy > 0.8
+    with pytest.raises(ValueError):
+        classify.run_ensemble(df, [0], [5], many, weighted=True)
