@@ -3,6 +3,11 @@ numbers become pseudonyms, and what is left is encoded.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns of ``documents``. ``run`` writes each stage as Parquet to the shared folder.
+
+Edge cases: a null text counts as empty in every stage; texts without words share the fingerprint zero, so one of them
+stays. Rows with a null id are judged by their text and are never dropped as copies, as they cannot be told apart. Rows
+that repeat an id count as one document in the near-duplicate stage, which keeps one of them. Extra columns go through
+all stages; those named ``__made`` or ``__replaced`` clash with columns made here. Empty tables give empty results.
 """
 
 from __future__ import annotations
