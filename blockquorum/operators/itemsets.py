@@ -1,9 +1,11 @@
 """Frequent itemsets inside every block, and their combination over blocks.
 
-Baskets are first cut to the items frequent in their block and equal baskets collapse
-into one weighted pattern. Longer itemsets then grow by projection: a row is (itemset so
-far, items that may still follow, weight). Only frequent itemsets grow, nothing is joined
-on the basket, and every count combines before it is shuffled.
+Baskets are first cut to the items frequent in their block, and equal baskets collapse into one
+weighted pattern. Longer itemsets grow level by level: a row is (node, that is the itemset so far,
+pattern, items of the pattern that may still follow). A level counts (node, next item) pairs straight
+from the rows, which combine before they are shuffled; only rows that hold a surviving pair are carried
+on, cut to the items that survived. So nothing is stored for itemsets that turn out rare, no table of
+items is held in one array, and keys are a few numbers, however long the itemsets are.
 """
 
 from __future__ import annotations
@@ -11,13 +13,12 @@ from __future__ import annotations
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.itemkeys import itemset_key
-from ..runtime import cached, settle, spread
+from ..runtime import cached, materialize, spread
 
 GROUP = "block_id"
-WIDTH = 32
 
 
 def support_threshold(n_baskets: int, minsup: float, n_blocks: int) -> int:
@@ -25,42 +26,58 @@ def support_threshold(n_baskets: int, minsup: float, n_blocks: int) -> int:
     return max(1, int(n_baskets * minsup / n_blocks))
 
 
-def _patterns(baskets: DataFrame, items_by_group: DataFrame) -> DataFrame:
-    cut = baskets.join(items_by_group, GROUP).select(
-        GROUP, F.array_intersect("items", "kept").alias("items")
-    )
-    filled = cut.filter(F.size("items") > 0)
-    return settle(filled.groupBy(GROUP, "items").agg(F.count("*").alias("weight")), WIDTH, "patterns")
+def _patterns(baskets: DataFrame, singles: DataFrame, by: list[str]) -> DataFrame:
+    """Baskets cut to the items of ``singles``, equal ones as one: (by, pattern, weight, tail)."""
+    whole = baskets.groupBy(*by, "items").agg(F.count("*").alias("weight"))
+    numbered = materialize(whole.withColumn("pattern", F.monotonically_increasing_id()), "baskets")
+    long = numbered.select(*by, "pattern", "weight", F.explode("items").alias("item"))
+    cut = long.join(singles, [*by, "item"], "left_semi").groupBy(*by, "pattern", "weight")
+    tails = cut.agg(F.array_sort(F.collect_list("item")).alias("tail")).filter(F.size("tail") > 1)
+    merged = tails.groupBy(*by, "tail").agg(F.sum("weight").alias("weight"))
+    return materialize(merged.withColumn("pattern", F.monotonically_increasing_id()), "patterns")
 
 
-def _extend(projected: DataFrame) -> DataFrame:
-    grown = projected.select(GROUP, "prefix", "tail", "weight", F.posexplode("tail").alias("pos", "item"))
-    return grown.select(
-        GROUP,
-        F.concat("prefix", F.array("item")).alias("prefix"),
-        F.slice("tail", F.col("pos") + 2, F.size("tail")).alias("tail"),
-        "weight",
-    ).groupBy(GROUP, "prefix", "tail").agg(F.sum("weight").alias("weight"))
+def _after(column: str) -> Column:
+    """What follows place ``pos`` of an array."""
+    return F.slice(column, F.col("pos") + 2, F.size(column))
 
 
-def _grow(patterns: DataFrame, survivors) -> list[DataFrame]:
-    """Surviving itemsets of two and more items, per length: (block_id, prefix, support).
+def _grow(patterns: DataFrame, singles: DataFrame, by: list[str], survivors) -> list[DataFrame]:
+    """Surviving itemsets of two and more items, per length: (by, prefix, support).
 
-    ``survivors(counts)`` keeps rows of (block_id, prefix, support). Every single item of the
-    patterns counts as a survivor.
+    ``survivors(pairs, names)`` gives (by, node, item, support) of the pairs to keep from rows of (by,
+    node, item, weight), where ``names`` tells the itemset of each node. Every item of ``singles`` counts
+    as a survivor. Nodes and patterns carry numbers from written tables, so they are fixed.
     """
-    empty = F.array().cast("array<int>")
-    projected = _extend(patterns.select(GROUP, empty.alias("prefix"), F.col("items").alias("tail"), "weight"))
+    names = singles.select(*by, F.col("item").cast("bigint").alias("node"), F.array("item").alias("prefix"))
+    grown = patterns.select(*by, "pattern", "weight", "tail", F.posexplode("tail").alias("pos", "item"))
+    rows = grown.select(*by, F.col("item").cast("bigint").alias("node"), "pattern", "weight", _after("tail").alias("tail"))
     found = []
     while True:
-        open_rows = projected.filter(F.size("tail") > 0)
-        grown = settle(_extend(open_rows), WIDTH, "grown")
-        counts = grown.groupBy(GROUP, "prefix").agg(F.sum("weight").alias("support"))
-        kept = settle(survivors(counts), WIDTH, "frequent")
-        found.append(kept)
+        pairs = rows.select(*by, "node", "pattern", "weight", F.explode("tail").alias("item"))
+        counted = survivors(pairs, names).join(names, [*by, "node"])
+        numbered = counted.select(
+            *by,
+            "node",
+            "item",
+            F.concat("prefix", F.array("item")).alias("prefix"),
+            "support",
+            F.monotonically_increasing_id().alias("child"),
+        )
+        kept = materialize(numbered, "frequent")
+        found.append(kept.select(*by, "prefix", "support"))
         if kept.isEmpty():
             return found
-        projected = grown.join(kept.select(GROUP, "prefix"), [GROUP, "prefix"], "left_semi")
+        alive = pairs.join(kept.select(*by, "node", "item", "child"), [*by, "node", "item"])
+        cut = alive.groupBy(*by, "node", "pattern", "weight").agg(
+            F.array_sort(F.collect_list(F.struct("item", "child"))).alias("held")
+        )
+        opened = cut.filter(F.size("held") > 1).select(*by, "pattern", "weight", "held", F.posexplode("held").alias("pos", "e"))
+        following = opened.filter(F.col("pos") + 1 < F.size("held")).select(
+            *by, F.col("e.child").alias("node"), "pattern", "weight", _after("held.item").alias("tail")
+        )
+        rows = materialize(following, "grown")
+        names = kept.select(*by, F.col("child").alias("node"), "prefix")
 
 
 @contextmanager
@@ -73,22 +90,33 @@ def _kept(baskets: DataFrame, ready: bool):
 
 
 def local_itemsets(
-    baskets: DataFrame, minsup: float, n_blocks: int, min_size: int = 1, ready: bool = False
+    baskets: DataFrame,
+    minsup: float,
+    n_blocks: int,
+    min_size: int = 1,
+    ready: bool = False,
+    least: int | None = None,
 ) -> DataFrame:
     """Itemsets frequent inside each block: (block_id, items, itemset, support).
 
-    ``n_blocks`` is the number of chosen blocks; the threshold is the same in all of them.
-    ``ready`` says that the caller has cached the baskets.
+    ``n_blocks`` is the number of chosen blocks; the threshold is the same in all of them. ``least``
+    gives it as a number of baskets instead. ``ready`` says that the caller has cached the baskets.
     """
+    by = [GROUP]
     with _kept(baskets.select(GROUP, "items"), ready) as rows:
-        min_count = support_threshold(rows.count(), minsup, n_blocks)
-        singles = rows.select(GROUP, F.explode("items").alias("item")).groupBy(GROUP, "item").count()
-        frequent = settle(singles.filter(F.col("count") >= min_count), 3, "singles")
-        kept = frequent.groupBy(GROUP).agg(F.array_sort(F.collect_list("item")).alias("kept"))
-        patterns = _patterns(rows, settle(kept, WIDTH, "items"))
-    found = _grow(patterns, lambda counts: counts.filter(F.col("support") >= min_count))
+        min_count = support_threshold(rows.count(), minsup, n_blocks) if least is None else max(1, least)
+        singles = rows.select(GROUP, F.explode("items").alias("item")).groupBy(GROUP, "item")
+        counted = singles.agg(F.count("*").alias("support")).filter(F.col("support") >= min_count)
+        frequent = materialize(counted, "singles")
+        patterns = _patterns(rows, frequent, by)
+
+    def survivors(pairs: DataFrame, names: DataFrame) -> DataFrame:
+        counts = pairs.groupBy(GROUP, "node", "item").agg(F.sum("weight").alias("support"))
+        return counts.filter(F.col("support") >= min_count)
+
+    found = _grow(patterns, frequent, by, survivors)
     if min_size < 2:
-        found.append(frequent.select(GROUP, F.array("item").alias("prefix"), F.col("count").alias("support")))
+        found.append(frequent.select(GROUP, F.array("item").alias("prefix"), "support"))
     return (
         reduce(DataFrame.unionByName, found)
         .filter(F.size("prefix") >= min_size)
@@ -118,18 +146,20 @@ def recount_itemsets(
 
     Candidates must hold every sub-itemset of two or more items, as local results do.
     """
-    cand = settle(candidates.select(F.col("items").alias("prefix")), WIDTH, "candidates")
-    singles = cand.select(F.explode("prefix").alias("item")).distinct()
-    kept = settle(
-        singles.agg(F.array_sort(F.collect_list("item")).alias("kept")).select(F.lit(0).alias(GROUP), "kept"),
-        WIDTH,
-        "items",
-    )
+    cand = materialize(candidates.select("items"), "candidates")
+    singles = cand.select(F.explode("items").alias("item")).distinct()
     with _kept(baskets.select("items"), ready) as rows:
         n = rows.count()
-        patterns = _patterns(rows.select(F.lit(0).alias(GROUP), "items"), kept)
+        patterns = _patterns(rows, singles, [])
+    steps = cand.select(
+        F.expr("slice(items, 1, size(items) - 1)").alias("prefix"), F.element_at("items", -1).alias("item")
+    )
+
+    def survivors(pairs: DataFrame, names: DataFrame) -> DataFrame:
+        known = pairs.join(names.join(steps, "prefix").select("node", "item"), ["node", "item"], "left_semi")
+        return known.groupBy("node", "item").agg(F.sum("weight").alias("support"))
 
-    found = _grow(patterns, lambda counts: counts.join(cand, "prefix", "left_semi"))
+    found = _grow(patterns, singles, [], survivors)
     counted = reduce(DataFrame.unionByName, found).select(
         F.col("prefix").alias("items"),
         itemset_key(F.col("prefix")).alias("itemset"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from .queries import ASKED_SIZES, LINE_BLOCKS, MINSUP, OFF_HALF, PLAN_SIZES, TAIL, TEXT_BLOCKS, VOTE
+from .queries import ASKED_SIZES, LINE_BLOCKS, LONG_LEAST, MINSUP, OFF_HALF, PLAN_SIZES, TAIL, TEXT_BLOCKS, VOTE
 
 U_SPAN = 1 << 60
 POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(n + 1)) for n in range(6)]
@@ -86,6 +86,27 @@ local AS MATERIALIZED (
   GROUP BY block_id, members HAVING count(*) >= (SELECT least_n FROM threshold))"""
 
 
+def long_itemsets() -> str:
+    """Pairs, triples and quadruples of parts that enough suppliers share, by joins on the supplier."""
+    return f"""
+WITH held AS MATERIALIZED (SELECT DISTINCT l_suppkey AS tid, l_partkey AS item FROM lineitem),
+pairs AS MATERIALIZED (
+  SELECT a.item AS a, b.item AS b, count(*) AS support
+  FROM held a JOIN held b ON a.tid = b.tid AND a.item < b.item
+  GROUP BY a.item, b.item HAVING count(*) >= {LONG_LEAST}),
+pair_tids AS MATERIALIZED (
+  SELECT a, b, x.tid FROM pairs JOIN held x ON x.item = a SEMI JOIN held y ON y.item = b AND y.tid = x.tid),
+triple_tids AS MATERIALIZED (
+  SELECT a, b, z.item AS c, p.tid FROM pair_tids p JOIN held z ON z.tid = p.tid AND z.item > b
+  QUALIFY count(*) OVER (PARTITION BY a, b, z.item) >= {LONG_LEAST}),
+quad_tids AS (
+  SELECT a, b, c, z.item AS d, p.tid FROM triple_tids p JOIN held z ON z.tid = p.tid AND z.item > c
+  QUALIFY count(*) OVER (PARTITION BY a, b, c, z.item) >= {LONG_LEAST})
+SELECT {key_of('[a, b]')} AS itemset, support FROM pairs
+UNION ALL SELECT {key_of('[a, b, c]')}, count(*) FROM triple_tids GROUP BY a, b, c
+UNION ALL SELECT {key_of('[a, b, c, d]')}, count(*) FROM quad_tids GROUP BY a, b, c, d"""
+
+
 def vote(n_blocks: int = LINE_BLOCKS) -> str:
     return f"""
 SELECT itemset, count(*) AS votes, (sum(support) // count(*))::BIGINT AS support
@@ -462,6 +483,7 @@ FROM (SELECT *, unnest(range(1, 65)) AS j
         "itemset_vote_sampled": f"{bags},{taken},{local_itemsets(chosen, n_blocks=sampled)} {vote(sampled)}",
         "itemset_recount": f"{bags},{local_itemsets()} {recount(MINSUP)}",
         "itemset_recount_brands": f"{brands},{local_itemsets(minsup=0.02)} {recount(0.02)}",
+        "itemset_long": long_itemsets(),
         "full_itemsets": f"""{bags},{local_itemsets()}
 SELECT {key_of('members')} AS itemset, count(*) AS support FROM subsets WHERE len(members) > 1
 GROUP BY members HAVING count(*) >= ceil(0.15::DOUBLE * (SELECT count(*) FROM baskets))""",

@@ -28,6 +28,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 MINSUP = 0.08
+LONG_LEAST = 16
 VOTE = 0.5
 OFF_HALF = 0.013
 TAIL = 0.05
@@ -272,6 +273,17 @@ def itemset_recount_brands(spark, sf_dir):
     return found.select("itemset", "support", _round("share", 6))
 
 
+@query
+def itemset_long(spark, sf_dir):
+    """Long baskets: all parts of a supplier, itemsets that ``LONG_LEAST`` suppliers hold."""
+    parts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(
+        F.array_sort(F.collect_set(F.col("l_partkey").cast("int"))).alias("items")
+    )
+    whole = parts.select(F.lit(0).alias("block_id"), "items")
+    found = itemsets.local_itemsets(whole, 1.0, 1, min_size=2, least=LONG_LEAST)
+    return found.select("itemset", "support")
+
+
 @query
 def full_itemsets(spark, sf_dir):
     found = mine.run_full(baskets(spark, sf_dir), block_ids(spark, LINE_BLOCKS), 0.15)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -145,6 +146,26 @@ def test_one_block_equals_fpgrowth(spark):
     )
 
 
+def test_long_baskets_equal_fpgrowth(spark):
+    """Baskets of half of all items: with no frequent pair, and with many long itemsets."""
+    rng = np.random.default_rng(8)
+    rows = [(0, sorted(int(v) for v in rng.choice(60, 30, replace=False))) for _ in range(80)]
+    rows += [(0, list(range(10, 18)))] * 40 + [(0, [])] * 3
+    df = spark.createDataFrame(rows, "block_id int, items array<int>")
+    for share in (0.6, 0.25):
+        local = itemsets.local_itemsets(df, share, 1, min_size=2, least=math.ceil(share * len(rows)))
+        whole = baselines.full_itemsets(df, share)
+        assert sorted((r.itemset, r.support) for r in local.collect()) == sorted(
+            (r.itemset, r.support) for r in whole.collect()
+        )
+
+
+def test_least_counts_baskets_of_one_block(spark):
+    df, rows = random_baskets(spark)
+    found = itemsets.local_itemsets(df, 1.0, 4, least=20).filter("block_id = 1").collect()
+    assert {tuple(r["items"]): r.support for r in found} == brute_itemsets([i for c, i in rows if c == 1], 20)
+
+
 def test_vote_mean_is_an_integer(spark):
     rows = [(0, [1, 2], "{1,2}", 3), (1, [1, 2], "{1,2}", 4), (2, [1, 3], "{1,3}", 9), (2, [1], "{1}", 9)]
     local = spark.createDataFrame(rows, "block_id int, items array<int>, itemset string, support bigint")
