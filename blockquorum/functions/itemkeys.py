@@ -12,8 +12,9 @@ def itemset_key(items: Column) -> Column:
 
 
 def parse_basket(line: Column) -> Column:
-    """Space-separated integers, repeats removed, in numeric order."""
-    return F.array_sort(F.array_distinct(F.split(line, " ").cast("array<int>")))
+    """Space-separated integers, repeats removed, in numeric order; a blank line is an empty basket."""
+    pieces = F.filter(F.split(line, " "), lambda piece: piece != "")
+    return F.array_sort(F.array_distinct(pieces.cast("array<int>")))
 
 
 def basket_line(items: Column) -> Column:

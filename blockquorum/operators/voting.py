@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..runtime import materialize
+
+SCORE_RANGES = 4096
 
 
 def is_right(prediction: str = "prediction", label: str = "label") -> Column:
@@ -15,25 +19,41 @@ def accuracy(predicted: DataFrame, *keys: str) -> DataFrame:
     return predicted.groupBy(*keys).agg(F.count("*").alias("n_test"), F.avg(right).alias("accuracy"))
 
 
+def score_at(scores: DataFrame, place: int) -> float:
+    """The accuracy at ``place`` (from 1) in ascending order, of (accuracy, n). Counts per score range find
+    the range that holds the place; it is cut again until it holds one score, so no task ranks all of them."""
+    inside = scores
+    low, high = scores.agg(F.min("accuracy"), F.max("accuracy")).first()
+    while low < high:
+        part = F.floor((F.col("accuracy") - F.lit(low)) / F.lit(high - low) * F.lit(SCORE_RANGES))
+        ranges = (
+            inside.groupBy(F.least(part, F.lit(SCORE_RANGES - 1)).alias("range"))
+            .agg(F.sum("n").alias("n"), F.min("accuracy").alias("low"), F.max("accuracy").alias("high"))
+            .orderBy("range")
+            .collect()
+        )
+        for held in ranges:
+            if place <= held.n:
+                break
+            place -= held.n
+        low, high = held.low, held.high
+        inside = scores.filter(F.col("accuracy").between(low, high))
+    return low
+
+
 def trim_tails(models: DataFrame, tail: float) -> DataFrame:
     """Drop the models with the lowest and highest accuracy.
 
     With m models, ``t = max(1, int(m * tail))`` are meant to go at each end; models tied with
-    the outermost kept score stay. Too few models for that: all stay.
+    the outermost kept score stay. Too few models for that: all stay. Models without accuracy go.
     """
-    scores = models.groupBy("accuracy").agg(F.count("*").alias("n"))
-    upto = Window.orderBy("accuracy")
-    whole = Window.partitionBy()
-    placed = scores.select(
-        "accuracy",
-        F.sum("n").over(upto).alias("last"),
-        (F.sum("n").over(upto) - F.col("n")).alias("first"),
-        F.sum("n").over(whole).alias("m"),
-    ).withColumn("t", F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("m") * F.lit(float(tail)))))
-    enough = F.col("t") <= F.col("m") - F.col("t") - 1
-    inside = (F.col("last") > F.col("t")) & (F.col("first") <= F.col("m") - F.col("t") - 1)
-    kept = placed.filter(~enough | inside).select("accuracy")
-    return models.join(kept, "accuracy", "left_semi")
+    known = models.filter(F.col("accuracy").isNotNull())
+    scores = materialize(known.groupBy("accuracy").agg(F.count("*").alias("n")), "scores")
+    m = scores.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    t = max(1, int(m * tail))
+    if t > m - t - 1:
+        return known
+    return known.filter(F.col("accuracy").between(score_at(scores, t + 1), score_at(scores, m - t)))
 
 
 def majority_vote(predictions: DataFrame, key: str = "row_key") -> DataFrame:

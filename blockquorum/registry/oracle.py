@@ -65,6 +65,10 @@ baskets AS MATERIALIZED (
   FROM basket_items GROUP BY tid)"""
 
 
+def placed(key: str, n_blocks: int = LINE_BLOCKS) -> str:
+    return f"({hexint(h('42', key), 1, 8)} % {n_blocks})::INT AS block_id, {hexint(h('42', key), 9, 15)} AS u"
+
+
 def key_of(items: str) -> str:
     return f"'{{' || array_to_string({items}, ',') || '}}'"
 
@@ -470,6 +474,16 @@ SELECT DISTINCT block_id, CASE WHEN {split_train} THEN 'train' ELSE 'test' END A
         + "SELECT row_key, label, x[1] AS x0, x[2] AS x1, x[3] AS x2, x[4] AS x3 FROM lines",
         "svm_labels": lines + "SELECT row_key, CASE WHEN label = 0 THEN -1 ELSE 1 END AS label FROM lines",
         "baskets_parse": f"{bags} SELECT {key_of('items')} AS itemset, count(*) AS n FROM baskets GROUP BY ALL",
+        "baskets_identity": f"""{bags}, lines AS (
+  SELECT md5(array_to_string(items, ' ')) || '-' || row_number() OVER (PARTITION BY items) AS row_key, items FROM baskets)
+SELECT row_key, {placed('row_key')}, {key_of('items')} AS itemset FROM lines""",
+        "vectors_plain": f"""
+WITH once AS (SELECT (l_orderkey % 3)::INT AS label, l_quantity::DOUBLE AS x0, l_linenumber::DOUBLE AS x1 FROM lineitem),
+twice AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE label = 0),
+keyed AS (
+  SELECT md5(label || '|' || x0 || ',' || x1) || '-' || row_number() OVER (PARTITION BY label, x0, x1) AS row_key, *
+  FROM twice)
+SELECT row_key, {placed('row_key')}, label, x0, x1 FROM keyed""",
         "baskets_to_text": f"{brands} SELECT array_to_string(items, ' ') AS value, count(*) AS n FROM baskets GROUP BY ALL",
         "itemset_key": f"{brands} SELECT {key_of('items')} AS itemset, count(*) AS n FROM baskets GROUP BY ALL",
         "itemset_text": f"{bags},{local_itemsets()} SELECT itemset || ': ' || support AS value FROM ({vote()})",

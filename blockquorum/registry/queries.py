@@ -183,6 +183,26 @@ def baskets_parse(spark, sf_dir):
     return parsed.groupBy(itemset_key(F.col("items")).alias("itemset")).agg(F.count("*").alias("n"))
 
 
+@query
+def baskets_identity(spark, sf_dir):
+    """Key, block and order value of basket lines that have no key of their own."""
+    path = fresh_path(spark, "lines")
+    store.write_basket_lines(baskets(spark, sf_dir), path)
+    parsed = store.read_baskets(spark, path, LINE_BLOCKS)
+    return parsed.select("row_key", "block_id", "u", itemset_key(F.col("items")).alias("itemset"))
+
+
+@query
+def vectors_plain(spark, sf_dir):
+    """Vectors of whole numbers without keys, every third row written twice; key, block and order value per row."""
+    path = fresh_path(spark, "vectors")
+    parts = F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"))
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 3).cast("int").alias("label"), parts.alias("x"))
+    line.unionAll(line.filter("label = 0")).write.parquet(path)
+    rows = store.read_vectors(spark, path, LINE_BLOCKS)
+    return rows.select("row_key", "block_id", "u", "label", F.col("x")[0].alias("x0"), F.col("x")[1].alias("x1"))
+
+
 @query
 def baskets_to_text(spark, sf_dir):
     path = fresh_path(spark, "baskets")

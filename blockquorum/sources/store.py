@@ -6,8 +6,9 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.itemkeys import basket_line, parse_basket
-from ..functions.hashing import digest, hex_slice
+from ..operators.blocks import assign_blocks
 
+COPIES = 10_000
 CENTRES_SCHEMA = "name string, centres array<array<double>>"
 
 
@@ -22,8 +23,25 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """Plain labelled vectors, without blocks; vector columns become arrays."""
+def number_copies(df: DataFrame) -> DataFrame:
+    """The same rows with ``copy``, a number from 1 among rows of equal content. Equal rows cannot be told
+    apart, so they are counted and dealt out again, in parts: however often a row occurs, no task gets all its
+    copies, and the numbers do not depend on files or tasks. Null columns count as content."""
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("__n"))
+    parts = counted.select(*df.columns, "__n", F.explode(F.expr(f"sequence(1, __n, {COPIES})")).alias("__from"))
+    last = F.least(F.col("__from") + (COPIES - 1), F.col("__n"))
+    return parts.hint("rebalance").select(*df.columns, F.explode(F.sequence("__from", last)).alias("copy"))
+
+
+def _content_blocks(df: DataFrame, content: list[Column], n_blocks: int, seed: int) -> DataFrame:
+    """``row_key``, ``block_id`` and ``u`` of rows that have no key: a hash of their content and the copy."""
+    text = F.concat_ws("|", *[F.coalesce(c, F.lit("none")) for c in content])
+    return assign_blocks(number_copies(df).withColumn("__key", F.md5(text)), ["__key", "copy"], n_blocks, seed)
+
+
+def read_vectors(spark: SparkSession, path: str, n_blocks: int = 1, seed: int = 42) -> DataFrame:
+    """Plain labelled vectors without keys (first column label, second vector): (row_key, block_id, u,
+    label, x). Vector columns become arrays. Rows keep their keys and blocks however the files are cut."""
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.linalg import VectorUDT
 
@@ -31,21 +49,19 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     label, features = df.columns[:2]
     is_vector = isinstance(df.schema[features].dataType, VectorUDT)
     x = vector_to_array(features) if is_vector else F.col(features).cast("array<double>")
-    return df.select(F.col(label).cast("int").alias("label"), x.alias("x"))
+    rows = df.select(F.col(label).cast("int").alias("label"), x.alias("x"))
+    content = [F.col("label").cast("string"), F.array_join(F.col("x").cast("array<string>"), ",", "null")]
+    return _content_blocks(rows, content, n_blocks, seed).select("row_key", "block_id", "u", "label", "x")
 
 
 def read_baskets(spark: SparkSession, path: str, n_blocks: int, seed: int = 42) -> DataFrame:
-    """Basket lines from text: (block_id, u, items).
+    """Basket lines from text: (row_key, block_id, u, items).
 
-    A line's block comes from its running number, so equal lines land in different blocks. The
-    numbers hold for one layout of the files; ``write_blocks`` fixes the blocks for good.
+    A line's key is made of its content and its number among equal lines, so equal lines land in
+    different blocks, and every line keeps its block however the files are cut.
     """
-    d = digest(seed, F.col("number"))
-    return spark.read.text(path).withColumn("number", F.monotonically_increasing_id()).select(
-        F.pmod(hex_slice(d, 1, 8), F.lit(n_blocks)).cast("int").alias("block_id"),
-        hex_slice(d, 9, 15).alias("u"),
-        parse_basket(F.col("value")).alias("items"),
-    )
+    rows = _content_blocks(spark.read.text(path), [F.col("value")], n_blocks, seed)
+    return rows.select("row_key", "block_id", "u", parse_basket(F.col("value")).alias("items"))
 
 
 def write_basket_lines(df: DataFrame, path: str, items: str = "items") -> None:

@@ -200,6 +200,22 @@ def test_equal_basket_lines_spread_over_blocks(spark, tmp_path):
     assert found.select("block_id").distinct().count() == 8
 
 
+def test_keyless_rows_keep_their_blocks_in_other_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "COPIES", 7)
+    lines = spark.createDataFrame([("1 2 3",)] * 100 + [("4",)] * 3 + [("",)] + [(f"{i} 9",) for i in range(50)], "value string")
+    vectors = spark.createDataFrame([(i % 2, [float(i % 5), None]) for i in range(60)] + [(None, None)] * 2, "label int, x array<double>")
+    seen = []
+    for n in (1, 9):
+        lines.repartition(n).write.text(str(tmp_path / f"t{n}"))
+        vectors.repartition(n).write.parquet(str(tmp_path / f"v{n}"))
+        baskets = store.read_baskets(spark, str(tmp_path / f"t{n}"), 8)
+        plain = store.read_vectors(spark, str(tmp_path / f"v{n}"), 4)
+        seen.append([sorted(map(str, found.collect())) for found in (baskets, plain)])
+        assert baskets.select("row_key").distinct().count() == 154
+        assert plain.select("row_key").distinct().count() == 62
+    assert seen[0] == seen[1]
+
+
 def test_two_stage_by_size(spark, tmp_path):
     df, _ = block_rows(spark, n_blocks=5)
     ids = block_ids(spark, 5)

@@ -281,6 +281,17 @@ def test_tail_trim_edges(spark):
     assert len(kept_scores(spark, [i / 100 for i in range(60)], 0.1)) == 48
 
 
+def test_score_at_equals_sorting(spark):
+    near = [0.25 + i * 2**-50 for i in range(40)]
+    scores = sorted(near + [0.0, 1.0, 0.9, 0.9, 0.9])
+    df = spark.createDataFrame([(v,) for v in scores], "accuracy double").groupBy("accuracy").agg(F.count("*").alias("n"))
+    df = df.cache()
+    for place in (1, 2, 21, 41, 42, 44, 45):
+        assert voting.score_at(df, place) == scores[place - 1]
+    empty = spark.createDataFrame([(0, None)], "block_id int, accuracy double")
+    assert voting.trim_tails(empty, 0.1).count() == 0
+
+
 def test_vote_tie_takes_the_smaller_label(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("a", 0), ("b", 1)], "row_key string, prediction int")
     assert sorted(map(tuple, voting.majority_vote(df).collect())) == [("a", 0), ("b", 1)]
