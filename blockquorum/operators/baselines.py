@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from math import dist
 from time import perf_counter
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -11,9 +12,10 @@ from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.itemkeys import itemset_key
+from ..functions.vectors import nearest_distance_sql, nearest_sql
 from ..runtime import cached, spread
 from .blocks import row_split
 from .clustermetrics import purity
@@ -25,9 +27,8 @@ CLASSIFIERS = {
     "RF": lambda: RandomForestClassifier(numTrees=20, maxDepth=5, seed=42),
     "SVM": lambda: LinearSVC(maxIter=10, regParam=0.1, tol=1e-6),
 }
-KMEANS_SEEDS = (42, 43, 44)
 CLUSTERERS = {
-    "kmeans": lambda: [KMeans(k=2, maxIter=100, tol=1e-4, seed=s) for s in KMEANS_SEEDS],
+    "kmeans": lambda: KMeans(k=2, maxIter=100, tol=1e-4, seed=42),
     "bisectingkmeans": lambda: BisectingKMeans(k=2, maxIter=10, seed=42),
 }
 LAYOUT_ROWS = 20_000
@@ -35,9 +36,12 @@ LAYOUT_ROWS = 20_000
 
 @dataclass
 class FullRun:
+    """``centres`` are those of the fit that counts, where it is not the model's."""
+
     model: Model
     seconds: float
     predicted: DataFrame | None
+    centres: list[list[float]] | None = None
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -51,20 +55,17 @@ def fixed_layout(rows: DataFrame) -> DataFrame:
     return rows.repartition(n, "u").sortWithinPartitions("u", *[c for c in ("row_key",) if c in rows.columns])
 
 
-def run_full(rows: DataFrame, estimator: Estimator | list[Estimator], share: float = 0.9) -> FullRun:
-    """Fit any estimator on a random share of the rows and apply it to the others. Of several clusterers
-    (other seeds) the one of the lowest training cost counts.
+def run_full(rows: DataFrame, estimator: Estimator, share: float = 0.9) -> FullRun:
+    """Fit any estimator on a random share of the rows and apply it to the others.
 
     A negative share trains on its size and applies nothing.
     """
     train, test = row_split(with_features(rows), share)
-    tries = estimator if isinstance(estimator, list) else [estimator]
     with cached(fixed_layout(train)) as kept:
         kept.count()
         begin = perf_counter()
-        models = [Pipeline(stages=[one]).fit(kept) for one in tries]
+        model = Pipeline(stages=[estimator]).fit(kept)
         seconds = perf_counter() - begin
-    model = models[0] if len(models) == 1 else min(models, key=lambda m: m.stages[-1].summary.trainingCost)
     return FullRun(model, seconds, None if test is None else model.transform(test))
 
 
@@ -74,16 +75,66 @@ def full_classifier(rows: DataFrame, algo: str, share: float = 0.9) -> tuple[Ful
     return run, None if run.predicted is None else accuracy(run.predicted)
 
 
+def _farthest_kmeans(rows: DataFrame, k: int, iters: int, tol: float) -> tuple[list[list[float]], float]:
+    """Centres and cost of k-means from the first row in hash order and those farthest from it; fewer than
+    ``k`` centres if there are no rows. Each round is one aggregation to k x dim values."""
+    with cached(rows.select("u", "x")) as kept:
+        first = kept.agg(F.min_by("x", "u"), F.min_by(F.size("x"), "u")).first()
+        centres, dim = ([] if first[0] is None else [list(first[0])]), first[1]
+
+        def held() -> DataFrame:
+            return kept.select("u", "x", F.lit(centres).alias("centres"))
+
+        def away() -> Column:
+            return F.expr(nearest_distance_sql("x", "centres", len(centres), dim))
+
+        while 0 < len(centres) < k:
+            far = held().agg(F.max_by("x", F.struct(away(), -F.col("u")))).first()[0]
+            centres = [*centres, list(far)]
+        if not centres:
+            return [], 0.0
+        cluster = F.expr(nearest_sql("x", "centres", k, dim)).alias("cluster")
+        for _ in range(iters):
+            means = held().select("x", cluster).groupBy("cluster").agg(F.array(*[F.avg(F.col("x")[j]) for j in range(dim)]))
+            moved = {r[0]: list(r[1]) for r in means.collect()}
+            following = [moved.get(c, centre) for c, centre in enumerate(centres)]
+            shift = max(dist(p, q) for p, q in zip(centres, following))
+            centres = following
+            if shift <= tol:
+                break
+        return centres, held().agg(F.sum(away())).first()[0]
+
+
+def _farthest_start(rows: DataFrame, run: FullRun, share: float) -> FullRun:
+    """``run``, or k-means of the same rows from a start that draws nothing, if that costs less: it finds far
+    clusters that seeded starts may miss."""
+    fitted = run.model.stages[-1]
+    train, test = row_split(rows, share)
+    begin = perf_counter()
+    centres, cost = _farthest_kmeans(train, fitted.getK(), fitted.getMaxIter(), fitted.getTol())
+    seconds = run.seconds + perf_counter() - begin
+    if not centres or cost >= fitted.summary.trainingCost:
+        return replace(run, seconds=seconds)
+    nearest = F.expr(nearest_sql("x", "centres", len(centres), len(centres[0]))).alias("prediction")
+    placed = None
+    if test is not None:
+        placed = test.select("*", F.lit(centres).alias("centres")).select(*test.columns, nearest)
+    return FullRun(run.model, seconds, placed, centres)
+
+
 def full_clusterer(rows: DataFrame, algo: str, share: float = 0.9) -> tuple[FullRun, DataFrame | None]:
-    """Whole-table clustering with the purity of the test rows."""
+    """Whole-table clustering with the purity of the test rows. k-means starts twice, from a seed and from
+    the farthest rows; the fit of the lower training cost counts."""
     run = run_full(rows, CLUSTERERS[algo](), share)
+    if algo == "kmeans":
+        run = _farthest_start(rows, run, share)
     if run.predicted is None:
         return run, None
     return run, purity(run.predicted.withColumnRenamed("prediction", "cluster"))
 
 
 def ml_centres(run: FullRun, rows: DataFrame, name: str) -> DataFrame:
-    found = run.model.stages[-1].clusterCenters()
+    found = run.model.stages[-1].clusterCenters() if run.centres is None else run.centres
     return rows.sparkSession.createDataFrame(
         [(name, i, [float(v) for v in c]) for i, c in enumerate(found)],
         "name string, centre_id int, c array<double>",

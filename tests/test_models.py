@@ -5,7 +5,7 @@ import pytest
 from helpers import ROWS, arrays, block_rows
 from pyspark.sql import functions as F
 
-from blockquorum.operators import linear, models, scoring, trees, voting
+from blockquorum.operators import baselines, linear, models, scoring, trees, voting
 from blockquorum.operators.kmeans import bisect_trials, block_kmeans
 from blockquorum.runtime import materialize
 
@@ -292,6 +292,20 @@ def test_score_at_equals_sorting(spark):
     assert voting.trim_tails(empty, 0.1).count() == 0
 
 
+def test_whole_kmeans_equals_plain_rounds(spark):
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(9, 1, (12, 2))])
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "u bigint, x array<double>")
+    centres, cost = baselines._farthest_kmeans(df, 2, 100, 1e-4)
+    own = np.array([points[0], points[((points - points[0]) ** 2).sum(1).argmax()]])
+    for _ in range(100):
+        near = ((points[:, None] - own) ** 2).sum(2).argmin(1)
+        own = np.array([points[near == c].mean(0) for c in range(2)])
+    assert np.allclose(centres, own, atol=1e-6)
+    assert abs(cost - ((points[:, None] - own) ** 2).sum(2).min(1).sum()) < 1e-6
+    assert baselines._farthest_kmeans(df.filter("u < 0"), 2, 100, 1e-4) == ([], 0.0)
+
+
 def test_vote_tie_takes_the_smaller_label(spark):
     df = spark.createDataFrame([("a", 1), ("a", 0), ("a", 1), ("a", 0), ("b", 1)], "row_key string, prediction int")
     assert sorted(map(tuple, voting.majority_vote(df).collect())) == [("a", 0), ("b", 1)]
