@@ -1,10 +1,11 @@
 """Decision trees and forests inside every block, grown level by level for all blocks at once.
 
 Features are cut to at most ``bins`` bins of equal size per block, at values that mergeable quantile
-sketches find in one pass, so neither skew nor far-off values cost bins. A level is one aggregation: label counts per (block, tree, node, feature, bin). The
-best Gini split per node follows from running sums over the bins, and the small table of
-splits is joined back to move rows to the child nodes. These joins are cheap, so rows are cached
-only every few levels and walk from there.
+sketches find in one pass, so neither skew nor far-off values cost bins. A level is one aggregation:
+label counts per (block, tree, node, feature, bin). The best Gini split per node follows from running
+sums over the bins, and the small table of splits is joined back to move rows to the child nodes. These
+joins are cheap, so rows are cached only every few levels and walk from there. A forest keeps each row
+once, whatever the number of trees, and unfolds it by tree only on the way into the counts.
 """
 
 from __future__ import annotations
@@ -63,18 +64,15 @@ def bin_rows(rows: DataFrame, dim: int, bins: int = BINS) -> tuple[DataFrame, Da
 
 
 def bootstrap(binned: DataFrame, n_trees: int, seed: int) -> DataFrame:
-    """Rows once per tree that draws them, with ``weight`` how often.
+    """Rows with ``draws``: how often each tree draws the row. A row stays one row, however many trees draw it.
 
     A digest of the row serves eight trees, four hex digits each; these compare as text.
     """
-    groups = range(-(-n_trees // 8))
-    draws = F.concat(*[digest(f"draw{seed}", F.lit(g), "u") for g in groups])
-    trees = F.explode(F.array(*[F.lit(t) for t in range(n_trees)]))
-    drawn = binned.withColumn("draws", draws).withColumn("tree", trees)
-    piece = F.col("draws").substr(F.col("tree") * 4 + 1, F.lit(4))
-    steps = [(F.col("draw") >= f"{int(p * (1 << 16)):04x}").cast("int") for p in POISSON_STEPS]
-    hit = drawn.withColumn("draw", piece).filter(steps[0] == 1)
-    return hit.withColumn("weight", reduce(lambda a, b: a + b, steps)).drop("draws", "draw")
+    digits = F.concat(*[digest(f"draw{seed}", F.lit(g), "u") for g in range(-(-n_trees // 8))])
+    reached = " + ".join(f"int(d >= '{int(p * (1 << 16)):04x}')" for p in POISSON_STEPS)
+    pieces = f"transform(sequence(0, {n_trees - 1}), t -> substr(digits, t * 4 + 1, 4))"
+    draws = f"transform({pieces}, d -> cast({reached} AS tinyint)) AS draws"
+    return binned.withColumn("digits", digits).selectExpr(*binned.columns, draws)
 
 
 def _feature_subset(node: Column, dim: int, m: int, seed: int) -> Column:
@@ -102,20 +100,15 @@ def _gini_share(counts: list[str]) -> str:
     return f"({squares}) / ({' + '.join(counts)})"
 
 
-def best_splits(data: DataFrame, classes: list[int], min_leaf: int) -> DataFrame:
-    """Best Gini split of every node, ties to the lower feature and bin."""
-    if "features" in data.columns:
-        long = data.selectExpr(*NODE, "label", "weight", "bins", "explode(features) AS feature").selectExpr(
-            *NODE, "label", "weight", "feature", "bins[feature] AS bin"
-        )
-    else:
-        long = data.selectExpr(*NODE, "label", "weight", "posexplode(bins) AS (feature, bin)")
-    hist = long.groupBy(*NODE, "feature", "bin").agg(*_label_counts(classes))
+def best_splits(long: DataFrame, classes: list[int], min_leaf: int, node: list[str] = NODE) -> DataFrame:
+    """Best Gini split of every node, ties to the lower feature and bin; ``long`` has a row per row and feature
+    tried: (the columns of ``node``, label, weight, feature, bin)."""
+    hist = long.groupBy(*node, "feature", "bin").agg(*_label_counts(classes))
     ids = range(len(classes))
-    whole = f"PARTITION BY {', '.join(NODE)}, feature"
+    whole = f"PARTITION BY {', '.join(node)}, feature"
     # One exchange by node serves the running sums and the choice per node.
-    sides = hist.repartition(*NODE).selectExpr(
-        *NODE,
+    sides = hist.repartition(*node).selectExpr(
+        *node,
         "feature",
         "bin",
         *[f"sum(n{i}) OVER ({whole} ORDER BY bin) AS l{i}" for i in ids],
@@ -131,26 +124,104 @@ def best_splits(data: DataFrame, classes: list[int], min_leaf: int) -> DataFrame
         f"struct(gain, -feature AS f, -bin AS b, {_top_label(left, classes)} AS left_label, "
         f"{_top_label(right, classes)} AS right_label)"
     )
-    best = scored.where("gain > 0").groupBy(*NODE).agg(F.expr(f"max({described}) AS s"))
-    return best.selectExpr(*NODE, "-s.f AS feature", "-s.b AS bin", "s.left_label", "s.right_label")
+    best = scored.where("gain > 0").groupBy(*node).agg(F.expr(f"max({described}) AS s"))
+    return best.selectExpr(*node, "-s.f AS feature", "-s.b AS bin", "s.left_label", "s.right_label")
+
+
+def _grow_trees(binned: DataFrame, classes: list[int], depth: int, min_leaf: int) -> tuple[DataFrame, list[DataFrame], int]:
+    """One tree per block: root labels, splits by level, and how many roots there are."""
+    data = binned.selectExpr("block_id", "0 AS tree", "label", "1 AS weight", "bins", "1 AS node")
+    splits: list[DataFrame] = []
+    with ExitStack() as held:
+        data = held.enter_context(cached(data))
+        roots, n = _roots(data, classes)
+        for level in range(depth):
+            if level and level % CACHE_EVERY == 0:
+                data = held.enter_context(cached(data))
+            long = data.selectExpr(*NODE, "label", "weight", "posexplode(bins) AS (feature, bin)")
+            found = settle(best_splits(long, classes, min_leaf), 7, "splits", most=n << level)
+            splits.append(found)
+            if level + 1 == depth or found.isEmpty():
+                break
+            moves = found.selectExpr(*NODE, "feature", "bin AS cut")
+            data = data.join(moves, NODE).selectExpr(
+                "block_id", "tree", "label", "weight", "bins", "node * 2 + if(bins[feature] <= cut, 0, 1) AS node"
+            )
+    return roots, splits, n
 
 
-def _descend(data: DataFrame, splits: DataFrame, subset) -> DataFrame:
-    moves = splits.selectExpr(*NODE, "feature", "bin AS cut")
-    kept = ["block_id", "tree", "label", "weight", "bins"]
-    if subset is not None:
-        moves = moves.select(
-            "*", subset(F.col("node") * 2).alias("for_left"), subset(F.col("node") * 2 + 1).alias("for_right")
-        )
-        moves = settle(moves, 30, "moves")
-        kept.append("if(bins[feature] <= cut, for_left, for_right) AS features")
-    return data.drop("features").join(moves, NODE).selectExpr(
-        *kept, "node * 2 + if(bins[feature] <= cut, 0, 1) AS node"
+def _by_slot(live: DataFrame, *columns: str) -> DataFrame:
+    """One row per block: arrays of ``columns`` whose places are the slots of its live nodes."""
+    ordered = live.groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("slot", *columns))).alias("s"))
+    return ordered.selectExpr("block_id", *[f"s.{c} AS {c}" for c in columns])
+
+
+def _grow_forest(
+    binned: DataFrame, classes: list[int], dim: int, depth: int, min_leaf: int, n_trees: int, seed: int
+) -> tuple[DataFrame, list[DataFrame], int]:
+    """The same for a forest per block.
+
+    A row is kept once, with how often each tree draws it (``draws``) and where it stands in each tree
+    (``slots``). The live nodes of a block, of all its trees, are numbered 0, 1, 2 ...: a row's slot in a tree
+    is the number of its node, -1 below a leaf. Rows unfold by tree and tried feature only on the way into the
+    label counts. Joined to the rows is one row per block with a few numbers for each slot.
+    """
+    m = max(1, int(math.sqrt(dim)))
+    slot = ["block_id", "slot"]
+    splits: list[DataFrame] = []
+    moved = (
+        "transform(slots, s -> if(s < 0, -1, coalesce("
+        "base[s] + if(bins[feature[s]] <= cut[s], 0, 1), -1))) AS slots"
     )
+    with ExitStack() as held:
+        start = f"sequence(0, {n_trees - 1}) AS slots"
+        data = bootstrap(binned, n_trees, seed).selectExpr("block_id", "label", "bins", "draws", start)
+        data = held.enter_context(cached(data))
+        drawn = data.selectExpr("block_id", "label", "posexplode(draws) AS (tree, weight)").filter("weight > 0")
+        roots, n = _roots(drawn.withColumn("node", F.lit(1)), classes)
+        blocks = roots.select("block_id").distinct()
+        live = blocks.selectExpr("block_id", f"explode(sequence(0, {n_trees - 1})) AS slot").selectExpr(
+            *slot, "slot AS tree", "1 AS node"
+        )
+        for level in range(depth):
+            if level and level % CACHE_EVERY == 0:
+                data = held.enter_context(cached(data))
+            tried = live.withColumn("picks", _feature_subset(F.col("node"), dim, m, seed))
+            picks = settle(
+                _by_slot(tried, "picks").withColumn("picks", F.flatten("picks")), (m * n_trees << level) + 1, "picks", most=n
+            )
+            in_trees = data.join(picks, "block_id").selectExpr(
+                "block_id", "label", "bins", "draws", "picks", "posexplode(slots) AS (tree, slot)"
+            )
+            long = in_trees.filter("slot >= 0 AND draws[tree] > 0").selectExpr(
+                *slot, "label", "bins", "int(draws[tree]) AS weight", f"explode(slice(picks, slot * {m} + 1, {m})) AS feature"
+            ).selectExpr(*slot, "label", "weight", "feature", "bins[feature] AS bin")
+            best = best_splits(long, classes, min_leaf, slot).join(live, slot)
+            base = 2 * (F.row_number().over(Window.partitionBy("block_id").orderBy("slot")) - 1)
+            found = settle(best.withColumn("base", base), 9, "splits", most=n << level)
+            splits.append(found)
+            if level + 1 == depth or found.isEmpty():
+                break
+            told = live.join(found.selectExpr(*slot, "feature", "bin AS cut", "base"), slot, "left")
+            moves = _by_slot(told, "feature", "cut", "base").join(found.select("block_id").distinct(), "block_id", "left_semi")
+            moves = settle(moves, (3 * n_trees << level) + 1, "moves", most=n)
+            data = data.join(moves, "block_id").selectExpr("block_id", "label", "bins", "draws", moved)
+            live = found.selectExpr("block_id", "base", "tree", "node", "explode(array(0, 1)) AS side").selectExpr(
+                "block_id", "base + side AS slot", "tree", "node * 2 + side AS node"
+            )
+    return roots, splits, n
+
+
+def _roots(data: DataFrame, classes: list[int]) -> tuple[DataFrame, int]:
+    counts = data.groupBy(*NODE).agg(*_label_counts(classes))
+    label = _top_label([f"n{i}" for i in range(len(classes))], classes)
+    roots = settle(counts.selectExpr(*NODE, f"{label} AS label"), 4, "roots")
+    return roots, roots.count()
 
 
 def _assemble(roots: DataFrame, splits: list[DataFrame], thresholds: DataFrame) -> DataFrame:
-    every = reduce(DataFrame.unionByName, splits)
+    parts = [s.select(*NODE, "feature", "bin", "left_label", "right_label") for s in splits]
+    every = reduce(DataFrame.unionByName, parts)
     children = every.select(
         "block_id",
         "tree",
@@ -195,31 +266,8 @@ def fit_trees(
                 [], "block_id int, nodes array<struct<tree:int,node:int,feature:int,threshold:double,label:int>>"
             )
         binned, thresholds = bin_rows(source, dim, bins)
-        subset = None
         if n_trees:
-            m = max(1, int(math.sqrt(dim)))
-            subset = lambda node: _feature_subset(node, dim, m, seed)
-            drawn = bootstrap(binned, n_trees, seed)
-            starts = settle(
-                drawn.select("block_id", "tree").distinct().withColumn("features", subset(F.lit(1))), m + 2, "starts"
-            )
-            data = drawn.join(starts, ["block_id", "tree"])
+            roots, splits, n = _grow_forest(binned, classes, dim, depth, min_leaf, n_trees, seed)
         else:
-            data = binned.withColumn("tree", F.lit(0)).withColumn("weight", F.lit(1))
-        data = data.drop("u").withColumn("node", F.lit(1))
-        splits: list[DataFrame] = []
-        with ExitStack() as held:
-            data = held.enter_context(cached(data))
-            counts = data.groupBy(*NODE).agg(*_label_counts(classes))
-            root_label = _top_label([f"n{i}" for i in range(len(classes))], classes)
-            roots = settle(counts.selectExpr(*NODE, f"{root_label} AS label"), 4, "roots")
-            n = roots.count()
-            for level in range(depth):
-                if level and level % CACHE_EVERY == 0:
-                    data = held.enter_context(cached(data))
-                found = settle(best_splits(data, classes, min_leaf), 7, "splits", most=n << level)
-                splits.append(found)
-                if level + 1 == depth or found.isEmpty():
-                    break
-                data = _descend(data, found, subset)
+            roots, splits, n = _grow_trees(binned, classes, depth, min_leaf)
         return settle(_assemble(roots, splits, thresholds), 10 * max(1, n_trees) << depth, "trees", most=n)

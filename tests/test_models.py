@@ -175,6 +175,38 @@ def test_forest_beats_chance_and_repeats(spark):
     assert all(len({n.tree for n in r.nodes}) == 20 for r in first.collect())
 
 
+def test_forest_keeps_each_row_once(spark):
+    df, rows = block_rows(spark, n=1500)
+    drawn = trees.bootstrap(trees.bin_rows(df, 3)[0], 20, seed=7)
+    draws = np.array([r.draws for r in drawn.collect()])
+    assert draws.shape == (len(rows), 20)
+    shares = [(draws == k).mean() for k in range(4)]
+    assert np.allclose(shares, np.exp(-1) / np.array([1, 1, 2, 6]), atol=0.01)
+    assert abs(np.corrcoef(draws.T)[np.triu_indices(20, 1)]).max() < 0.1
+
+
+def test_forest_nodes_split_and_answer_as_counted_by_hand(spark):
+    df, _ = block_rows(spark, n=200)
+    binned = trees.bin_rows(df, 3)[0]
+    rows = trees.bootstrap(binned, 3, seed=7).join(df.select("block_id", "u", "x"), ["block_id", "u"]).collect()
+    for model in trees.fit_trees(df, depth=3, min_leaf=5, n_trees=3).collect():
+        nodes = {(n.tree, n.node): n for n in model.nodes}
+        assert {t for t, _ in nodes} == {0, 1, 2} and max(n for _, n in nodes) > 3
+        reached = {}
+        for r in (r for r in rows if r.block_id == model.block_id):
+            for t, times in enumerate(r.draws):
+                at = 1
+                while times:
+                    reached.setdefault((t, at), []).extend([r.label] * times)
+                    n = nodes[t, at]
+                    if n.feature < 0:
+                        break
+                    at = 2 * at + int(r.x[n.feature] > n.threshold)
+        assert reached.keys() == nodes.keys()
+        for at, labels in reached.items():
+            assert len(labels) >= 5 and nodes[at].label == min(set(labels), key=lambda c: (-labels.count(c), c))
+
+
 @pytest.mark.parametrize("algo, pair", [("LR", (0, 2)), ("LR", (-1, 1)), ("SVM", (3, 7)), ("CSVM", (0, 2))])
 def test_other_labels_are_answered(spark, algo, pair):
     df, _ = block_rows(spark, n_blocks=2)
