@@ -17,13 +17,16 @@ from ..operators.blocks import (
     row_sample,
     row_split,
     select_blocks,
+    subdivide,
 )
 from ..operators.models import MODEL_WIDTH, fit_and_score, fit_blocks, single_block
 from ..operators.plugins import BlockClassifier, fit_and_score_custom, voted_answer
 from ..operators.scoring import accuracy_matrix, predict_own, vote_tallies, voted_label, weighted_label
 from ..operators.voting import accuracy, pooled_accuracy, trim_tails
 from ..runtime import materialize, settle
-from ..sources.store import write_models
+from ..sources.store import append_metrics, metric_rows, write_models
+
+CUTS = {"SVM": 8}  # smaller blocks that a run cuts a train block into, for fits whose cost grows faster than their rows
 
 
 @dataclass
@@ -41,6 +44,16 @@ class Ensemble:
             return None
         return pooled_accuracy(accuracy(self.predicted, "block_id"))
 
+    def metrics(self) -> dict[str, float]:
+        """Counts of models and of those cut off, the range of kept scores, the accuracy and the seconds to fit."""
+        fitted = self.models.count()
+        kept = self.kept.agg(F.count("*"), F.min("accuracy"), F.max("accuracy")).first()
+        found = {"fit_seconds": self.seconds, "models": fitted, "cut_models": fitted - kept[0], "kept_models": kept[0]}
+        found |= {"score_low": kept[1], "score_high": kept[2]}
+        if self.predicted is not None:
+            found |= self.accuracy().first().asDict()
+        return {name: value for name, value in found.items() if value is not None}
+
 
 def predict_rows(rows: DataFrame, kept: DataFrame, weighted: bool = False) -> DataFrame:
     """Ensemble answer per row, with the vote counts it came from."""
@@ -60,19 +73,27 @@ def run_ensemble(
     model_path: str | None = None,
     size: int = 0,
     weighted: bool = False,
+    cut: int | None = None,
+    metric_path: str | None = None,
     **params,
 ) -> Ensemble:
     """Fit a model in each train block, trim by hold-out score, vote on the predict blocks.
 
     ``algo`` names a fit or is a classifier of one's own, whose models vote with equal weight.
     ``predicts`` may be fractional: of ``ceil(predicts)`` blocks a share of the rows is used.
-    Without predict blocks there is no accuracy.
+    Without predict blocks there is no accuracy. Every train block is first cut into ``cut`` smaller ones, by default
+    as ``CUTS`` has it for the fit; each gets a model, so block ``b`` gives the models ``b * cut`` to ``b * cut + cut - 1``.
+    ``model_path`` takes the kept models, ``metric_path`` the run's ``metrics``, both under ``size``.
     """
     begin = perf_counter()
     own = not isinstance(algo, str)
+    if cut is None:
+        cut = 1 if own else CUTS.get(algo, 1)
     if own and weighted:
         raise ValueError("classifiers of one's own vote with equal weight")
     train = select_blocks(rows, train_ids)
+    if cut > 1:
+        train = subdivide(train, cut)
     models = materialize(fit_and_score_custom(algo, train), "models") if own else fit_and_score(train, algo, **params)
     kept = models
     if use_score:
@@ -81,14 +102,20 @@ def run_ensemble(
     seconds = perf_counter() - begin
     if model_path:
         write_models(kept, model_path, size)
-    if not predict_ids:
-        return Ensemble(models, kept, None, seconds)
-    chosen = select_blocks(rows, predict_ids)
-    if predicts is not None:
-        chosen = predict_fraction(chosen, predicts)
-    if own:
-        return Ensemble(models, kept, algo.vote(chosen, kept).withColumn("prediction", voted_answer()), seconds)
-    return Ensemble(models, kept, predict_rows(chosen, kept, weighted), seconds)
+    predicted = None
+    if predict_ids:
+        chosen = select_blocks(rows, predict_ids)
+        if predicts is not None:
+            chosen = predict_fraction(chosen, predicts)
+        if own:
+            predicted = algo.vote(chosen, kept).withColumn("prediction", voted_answer())
+        else:
+            predicted = predict_rows(chosen, kept, weighted)
+    run = Ensemble(models, kept, predicted, seconds)
+    if metric_path:
+        name = type(algo).__name__ if own else algo
+        append_metrics(metric_rows(rows.sparkSession, "ensemble", name, size, run.metrics()), metric_path)
+    return run
 
 
 def ids_by_rank(order: DataFrame) -> list[int]:
@@ -201,3 +228,14 @@ def timed_sample(rows: DataFrame, share: float = 0.05) -> tuple[int, float]:
     begin = perf_counter()
     n = row_sample(rows, share).count()
     return n, perf_counter() - begin
+
+
+def timed_random_sample(
+    rows: DataFrame, ids: DataFrame, size: int, cluster_share: float = 1.0, share: float = 0.05, metric_path: str | None = None
+) -> tuple[int, float]:
+    """The same on random blocks, as a whole-table run would choose them."""
+    n, seconds = timed_sample(random_rows(rows, ids, size, cluster_share=cluster_share), share)
+    if metric_path:
+        values = {"sample_rows": n, "sample_seconds": seconds}
+        append_metrics(metric_rows(rows.sparkSession, "sample", "none", size, values), metric_path)
+    return n, seconds

@@ -519,6 +519,22 @@ FROM lineitem GROUP BY l_partkey""",
         "ensemble_accuracy_all": f"WITH RECURSIVE {LINES},{ensemble(FIRST, LAST, kept='scored')} {ACCURACY}",
         "ensemble_random_blocks": f"WITH RECURSIVE {LINES},{ensemble(random_train, random_test)} "
         f"SELECT (SELECT count(*) FROM trimmed) AS n_models, * FROM ({ACCURACY})",
+        "stored_metrics": f"""WITH RECURSIVE {LINES},{ensemble(random_train, random_test)},
+stored AS (
+  SELECT 'ensemble' AS run, 'DT' AS algo, 'models' AS metric, count(*)::DOUBLE AS value FROM scored
+  UNION ALL SELECT 'ensemble', 'DT', 'kept_models', count(*) FROM trimmed
+  UNION ALL SELECT 'ensemble', 'DT', 'cut_models', (SELECT count(*) FROM scored) - count(*) FROM trimmed
+  UNION ALL SELECT 'ensemble', 'DT', 'score_low', min(accuracy) FROM trimmed
+  UNION ALL SELECT 'ensemble', 'DT', 'score_high', max(accuracy) FROM trimmed
+  UNION ALL SELECT 'ensemble', 'DT', 'n_test', count(*) FROM voted
+  UNION ALL SELECT 'ensemble', 'DT', 'accuracy', avg((majority = label)::INT) FROM voted
+  UNION ALL SELECT 'sample', 'none', 'sample_rows', count(*) FROM lines
+            WHERE {random_train} AND {draw('sample')} < {int(0.05 * U_SPAN)})
+SELECT run, algo, {LINE_BLOCKS} AS size, metric, {rnd('value')} AS value FROM stored""",
+        "svm_ensemble_models": f"""WITH {LINES},
+cut AS (SELECT row_key, (block_id * 8 + u % 8)::INT AS block_id, u FROM lines WHERE {FIRST}),{holdout('cut')}
+SELECT block_id, count(*) FILTER (is_train) AS n_train, count(*) FILTER (NOT is_train) AS n_test
+FROM marked GROUP BY block_id HAVING count(*) FILTER (is_train) > 0""",
         "single_model_control": f"""WITH RECURSIVE {LINES},
 one AS MATERIALIZED (SELECT row_key, 0 AS block_id, u, label, x, {draw('split')} < {int(0.9 * U_SPAN)} AS fits FROM lines),
 fit_rows AS MATERIALIZED (SELECT * FROM one WHERE fits),

@@ -250,6 +250,18 @@ def run_metrics(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query
+def stored_metrics(spark, sf_dir):
+    """What a run and a sample on random blocks store about themselves, but the seconds."""
+    path = fresh_path(spark, "metrics")
+    with cached(line_blocks(spark, sf_dir)) as rows:
+        ids = blocks.block_counts(rows).select("block_id")
+        classify.run_random(rows, ids, [LINE_BLOCKS], "DT", TRAIN_SHARE, PREDICT_BLOCKS, TAIL, metric_path=path)
+        classify.timed_random_sample(rows, ids, LINE_BLOCKS, TRAIN_SHARE, metric_path=path)
+    stored = spark.read.parquet(path).filter(~F.col("metric").endswith("_seconds"))
+    return stored.select("run", "algo", "size", "metric", _round("value", 6))
+
+
 # Itemsets
 
 
@@ -427,8 +439,24 @@ def label_auc(spark, sf_dir):
 @query
 def svm_auc(spark, sf_dir):
     """Area under ROC of the voted block SVMs."""
-    run = classify.run_ensemble(line_blocks(spark, sf_dir), list(range(30)), list(range(30, 40)), "SVM", TAIL)
-    return _areas(run.predicted)
+    return _areas(_svm_run(spark, sf_dir, range(30, 40)).predicted)
+
+
+def _svm_run(spark, sf_dir, predict) -> classify.Ensemble:
+    return classify.run_ensemble(line_blocks(spark, sf_dir), list(range(30)), list(predict), "SVM", TAIL)
+
+
+@query
+def svm_ensemble(spark, sf_dir):
+    """SVMs of train blocks cut eight ways, trimmed, voting on the other blocks."""
+    predicted = _svm_run(spark, sf_dir, range(30, 40)).predicted
+    return predicted.select("row_key", "prediction", F.col("votes")[1].cast("int").alias("votes"))
+
+
+@query
+def svm_ensemble_models(spark, sf_dir):
+    """The models of the same run and the rows they were fitted and scored on."""
+    return _svm_run(spark, sf_dir, []).models.select("block_id", "n_train", "n_test")
 
 
 # Models inside blocks

@@ -244,7 +244,7 @@ def test_ensemble_quality(spark, algo):
     rows = line_blocks(spark, "/root/testdata/sf0.01")
     run = classify.run_ensemble(rows, list(range(10)), [38, 39], algo, predicts=1.5)
     assert run.accuracy().first().accuracy >= 0.9
-    assert run.models.count() == 10
+    assert run.models.count() == (80 if algo == "SVM" else 10)  # SVM blocks are cut eight ways
 
 
 def test_plugin_cuts_large_blocks(spark):

@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
+from blockquorum.plans import classify
 from blockquorum.registry import queries
+from blockquorum.sources import store
 
 
 def test_svm_auc_takes_the_listed_blocks_of_the_other_ensembles(spark, sf_dir, monkeypatch):
@@ -42,3 +44,24 @@ def test_whole_kmeans_as_brute_force(spark, sf_dir):
         want = brute_kmeans(np.stack(part["x"].to_numpy()), part["u"].to_numpy())
         got = found[found["block_id"] == block].sort_values(["centre_id", place])[value].to_numpy()
         assert got == pytest.approx(want.ravel(), abs=1e-4)
+
+
+def test_svm_ensemble_votes_as_its_stored_models(spark, tmp_path):
+    rows = queries.line_blocks(spark, "/root/testdata/sf0.01")
+    paths = {"model_path": str(tmp_path / "models"), "metric_path": str(tmp_path / "metrics")}
+    run = classify.run_ensemble(rows, list(range(12)), [38, 39], "SVM", 0.05, size=12, **paths)
+    kept = store.read_models(spark, paths["model_path"], 12).orderBy("block_id").collect()
+    assert {m.block_id // 8 for m in kept} == set(range(12)) and len(kept) > 80  # eight models a train block, but the tails
+    w = np.array([m.weights for m in kept])
+    found = run.predicted.select("label", "x", "prediction", "votes").toPandas()
+    ones = ((np.stack(found["x"]) @ w[:, :-1].T + w[:, -1]) > 0).sum(axis=1)
+    assert [v[1] for v in found["votes"]] == ones.tolist()
+    assert found["prediction"].tolist() == (2 * ones > len(kept)).astype(int).tolist()
+    stored = {r.metric: r.value for r in spark.read.parquet(paths["metric_path"]).collect()}
+    assert stored["models"] - stored["cut_models"] == stored["kept_models"] == len(kept)
+    assert stored["accuracy"] == pytest.approx((found["prediction"] == found["label"]).mean())
+    assert stored["n_test"] == len(found)
+    area = queries._areas(run.predicted).first()
+    right = found["prediction"] == found["label"]
+    assert area.auc == pytest.approx(right.groupby(found["label"]).mean().mean(), abs=1e-5)
+    assert area.auc == area.auc_curve > 0.8
