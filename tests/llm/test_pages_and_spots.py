@@ -183,3 +183,29 @@ def test_near_duplicates_as_brute_force(spark, documents, least):
 def test_no_python_in_the_plan(documents):
     plan = spotsigs.compare_edited(documents[0])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_deep_nesting_costs_its_length():
+    n = 200_000
+    page = mainpage.read_page("<div>x y</section>" * n)
+    assert len(page.blocks) == n and len(page.around) == n + 1
+    assert mainpage.is_decided(page) is False
+    assert mainpage.article(page, [2] * n, [2] * n).count("\n") + 1 >= n * mainpage.SHARE
+    marked = mainpage.read_page("<div>x" * 1000 + "<article>" + "<div>y z" * n + "</article>tail")
+    assert mainpage.is_decided(marked)
+    assert mainpage.article(marked, [0] * len(marked.blocks), [0] * len(marked.blocks)) == "\n".join(["y z"] * n)
+
+
+def test_sums_and_blocks_of_elements_by_paths():
+    page = mainpage.read_page("a<div>b<p>c<nav>d</nav></div><section><p>e<p>f<div>g</section>h")
+    paths = []
+    for e in page.inside:
+        path = [e]
+        while path[-1]:
+            path.append(page.around[path[-1]])
+        paths.append(path)
+    weights = [2**b for b in range(len(page.blocks))]
+    sums = page.sums(weights)
+    for e in range(len(page.around)):
+        held = [b for b, path in enumerate(paths) if e in path and not page.out[b]]
+        assert page.held_by(e) == held and sums[e] == sum(weights[b] for b in held)
