@@ -7,9 +7,12 @@ vocabulary and concatenates their bytes in order, as an ordered aggregation.
 
 Only words a worker has not met yet go to DuckDB, many at a time; it remembers a bounded number of words
 and of pieces between spaces. In words of over ``LONG`` bytes a round contracts all non-overlapping pairs of
-the least rank at once, where no pair with the new token has a lesser or equal rank (the leftmost ones would
-follow one by one); other ranks go one pair a round. Both ways give what repeated leftmost merging gives.
-A long word of n bytes may take n rounds over its rows: random bytes without a space cost up to n^2.
+the least rank at once, where no token of the word has a pair of a lesser or equal rank with the new token (the
+leftmost ones would follow one by one); other ranks go one pair a round. Both ways give what repeated leftmost
+merging gives.
+Words of over ``LONG`` bytes are first cut wherever no token that stands in them reaches over, as no merge can cross
+there, so the rounds of a word are those of its longest part. Only in parts that tokens chain together over
+thousands of bytes (two letters at random) may n bytes take up to n rounds over their rows.
 
 Edge cases: a null text counts as empty; an empty text has no ids; equal rows give equal rows; empty tables
 give no rows; other columns are not read. Bytes without a rank cannot be encoded and raise an error.
@@ -53,7 +56,8 @@ WITH RECURSIVE t AS (
 SELECT w, tok FROM t JOIN ends USING (w, round) ORDER BY w, pos
 """
 
-#: Every other pair of each run of pairs of the least rank, where that rank is safe; at most $rounds rounds.
+#: Every other pair of each run of pairs of the least rank, where no token of the word has a pair of a lesser or equal
+#: rank with the new one (nor the new one with itself); at most $rounds rounds.
 RUNS = """
 WITH RECURSIVE t AS (
   SELECT w, pos, tok, 0 AS round FROM word_tokens
@@ -62,18 +66,19 @@ WITH RECURSIVE t AS (
   FROM (
     SELECT *, coalesce(lag(chosen) OVER (PARTITION BY w ORDER BY pos), false) AS gone
     FROM (
-      SELECT *, hit AND (idx - run_start) % 2 = 1 AND (safe OR idx = best & 4294967295) AS chosen
+      SELECT *, hit AND (idx - run_start) % 2 = 1 AND (safe AND apart OR idx = best & 4294967295) AS chosen
       FROM (
         SELECT *, coalesce(max(CASE WHEN NOT hit THEN idx END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS run_start
         FROM (
-          SELECT *, coalesce(rank = best >> 32, false) AS hit
+          SELECT c.*, coalesce(rank = best >> 32, false) AS hit, bool_and(u.made IS NULL) OVER (PARTITION BY w) AS apart
           FROM (
             SELECT a.*, m.rank, m.safe, min(m.rank::BIGINT << 32 | a.idx) OVER (PARTITION BY a.w) AS best
             FROM (
               SELECT w, pos, tok, round, lead(tok) OVER v AS next_tok, row_number() OVER v AS idx
               FROM t WHERE round < $rounds WINDOW v AS (PARTITION BY w ORDER BY pos)
             ) a LEFT JOIN merges m ON m.l = a.tok AND m.r = a.next_tok
-          ) WHERE best IS NOT NULL
+          ) c LEFT JOIN earlier u ON u.made = best >> 32 AND u.other = c.tok
+          WHERE best IS NOT NULL
         )
       )
     )
@@ -123,15 +128,14 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         left, right, rank = (np.array(x, dtype=np.int32) for x in zip(*pairs)) if pairs else (np.empty(0, np.int32),) * 3
-        safe = np.ones(max(ranks.values(), default=0) + 1, dtype=bool)  # no pair with this token has a rank up to its own
-        safe[left[rank <= left]] = False
-        safe[right[rank <= right]] = False
-        merges = pa.table({"l": left, "r": right, "rank": rank, "safe": safe[rank]})  # noqa: F841  read by name
+        merges = pa.table({"l": left, "r": right, "rank": rank})  # noqa: F841  read by name
         vocab = pa.table({"tok": np.array(list(ranks.values()), dtype=np.int32), "bytes": [t.decode("latin-1") for t in ranks]})  # noqa: F841
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.db.execute("CREATE TABLE earlier AS SELECT l AS made, r AS other FROM merges WHERE rank <= l UNION SELECT r, l FROM merges WHERE rank <= r")
+        self.db.execute("CREATE TABLE merges AS SELECT *, rank NOT IN (SELECT made FROM earlier WHERE made = other) AS safe FROM merges")
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
         self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
-        self.kind = np.dtype("<u2" if len(safe) <= 1 << 16 else "<u4")
+        self.starts = {t[:i]: False for t in ranks for i in range(1, len(t))} | dict.fromkeys(ranks, True)  # is it a token?
+        self.kind = np.dtype("<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4")
         self.memo = Memo(MOST_KNOWN)  # word or piece -> packed ids
 
     def _query(self, sql: str, name: str, rows: pa.Table, **values) -> pa.Table:
@@ -141,8 +145,28 @@ class Codec:
         finally:
             self.db.unregister(name)
 
+    def cut(self, word: bytes) -> list[bytes]:
+        """The word cut wherever no token of the vocabulary that stands in it reaches over: no merge can cross there."""
+        parts, first, far, n = [], 0, 0, len(word)
+        for at in range(n):
+            if at and far <= at:
+                parts.append(word[first:at])
+                first = at
+            end = at + 1
+            while end <= n and (start := word[at:end]) in self.starts:
+                if self.starts[start] and end > far:
+                    far = end
+                end += 1
+        return [*parts, word[first:]]
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word (of one byte or more)."""
+        cut = [[w] if len(w) <= LONG else self.cut(w) for w in words]
+        distinct = list(dict.fromkeys(p for parts in cut for p in parts))
+        ids = dict(zip(distinct, self._merge(distinct)))
+        return [b"".join([ids[p] for p in parts]) for parts in cut]
+
+    def _merge(self, words: list[bytes]) -> list[bytes]:
         out = [b""] * len(words)
         for part in self._chunks([i for i, w in enumerate(words) if len(w) <= LONG], words):
             found = self._query(LEFTMOST, "word_tokens", self._start([words[i] for i in part]))

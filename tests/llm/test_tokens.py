@@ -143,6 +143,28 @@ def test_long_words_as_tiktoken(tik):
     assert [np.frombuffer(x, dtype=codec.kind).tolist() for x in got] == [tik.encode_ordinary(w) for w in words]
 
 
+@pytest.mark.parametrize("letters, n", [("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("stern", 100_000), ("éüßabeж語", 50_000), ("ab", 3_000)])
+def test_very_long_words_as_tiktoken(tik, letters, n):
+    rng = random.Random(8)
+    word = "".join(rng.choice(letters) for _ in range(n))
+    codec = bpe.codec(RANKS, P.PATTERN)
+    assert np.frombuffer(codec.encode([word])[0], dtype=codec.kind).tolist() == tik.encode_ordinary(word)
+
+
+def test_one_syllable_many_times_as_tiktoken(tik):
+    codec = bpe.codec(RANKS, P.PATTERN)
+    for word in ("ab" * 100_000, "a" * 100_001, "cab" * 20_000, "ana" * 20_000):
+        assert np.frombuffer(codec.encode([word])[0], dtype=codec.kind).tolist() == tik.encode_ordinary(word)
+
+
+def test_cuts_are_where_no_token_reaches_over(tik):
+    codec = bpe.codec(RANKS, P.PATTERN)
+    word = "".join(random.Random(9).choice("sternxq") for _ in range(400)).encode()
+    ends = np.cumsum([len(p) for p in codec.cut(word)])[:-1].tolist()
+    over = {k for i in range(400) for j in range(i + 2, 401) if codec.starts.get(word[i:j]) for k in range(i + 1, j)}
+    assert b"".join(codec.cut(word)) == word and ends == [k for k in range(1, 400) if k not in over]
+
+
 def test_rounds_go_on(tik, monkeypatch):
     monkeypatch.setattr(bpe, "ROUNDS_ROWS", 1000)
     word = "".join(random.Random(2).choice("stern") for _ in range(300))
