@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -166,6 +167,41 @@ def test_least_counts_baskets_of_one_block(spark):
     assert {tuple(r["items"]): r.support for r in found} == brute_itemsets([i for c, i in rows if c == 1], 20)
 
 
+def test_rare_pairs_are_filtered_before_they_are_counted(spark, monkeypatch):
+    """Long baskets with few frequent pairs, copies of baskets, two blocks: no frequent pair is missing, few others stay."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, sorted(int(v) for v in rng.choice(300, 60, replace=False))) for i in range(160)]
+    rows += [(0, sorted({3, 7, 11, 200, *rng.choice(300, 50).tolist()})) for _ in range(14)] + [rows[0], rows[1]] * 5
+    rows += [(1, [5, 9, 40])] * 3 + [(1, [5, 9, *range(100, 100 + i)]) for i in range(14)]
+    df = spark.createDataFrame(rows, "block_id int, items array<int>")
+    plain = sorted((r.block_id, r.itemset, r.support) for r in itemsets.local_itemsets(df, 1.0, 2, least=15).collect())
+    pairs = {b: brute_pairs([i for c, i in rows if c == b]) for b in (0, 1)}
+    monkeypatch.setattr(itemsets, "PLAIN_PAIRS", 0)
+    made = []
+    real = itemsets.likely_pairs
+    monkeypatch.setattr(itemsets, "likely_pairs", lambda *a: made.append(real(*a)) or made[0])
+    found = itemsets.local_itemsets(df, 1.0, 2, least=15)
+    assert sorted((r.block_id, r.itemset, r.support) for r in found.collect()) == plain
+    likely = {(r.block_id, r.node, r["item"]) for r in made[0].collect()}
+    frequent = {(b, *p) for b in pairs for p, n in pairs[b].items() if n >= 15}
+    assert frequent and frequent <= likely and len(likely) < sum(map(len, pairs.values())) / 4
+
+
+def brute_pairs(rows):
+    counts = {}
+    for items in rows:
+        for pair in itertools.combinations(items, 2):
+            counts[pair] = counts.get(pair, 0) + 1
+    return counts
+
+
+def test_baskets_that_repeat_an_item_are_counted_plainly(spark, monkeypatch):
+    df = spark.createDataFrame([(0, [1, 1, 2])] * 3 + [(0, [1, 2, 4])], "block_id int, items array<int>")
+    plain = sorted((r.itemset, r.support) for r in itemsets.local_itemsets(df, 1.0, 1, least=3).collect())
+    monkeypatch.setattr(itemsets, "PLAIN_PAIRS", 0)
+    assert sorted((r.itemset, r.support) for r in itemsets.local_itemsets(df, 1.0, 1, least=3).collect()) == plain
+
+
 def test_vote_mean_is_an_integer(spark):
     rows = [(0, [1, 2], "{1,2}", 3), (1, [1, 2], "{1,2}", 4), (2, [1, 3], "{1,3}", 9), (2, [1], "{1}", 9)]
     local = spark.createDataFrame(rows, "block_id int, items array<int>, itemset string, support bigint")
