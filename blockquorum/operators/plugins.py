@@ -14,6 +14,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import materialize, settle
@@ -65,6 +66,12 @@ def bounded_blocks(rows: DataFrame, max_rows: int) -> DataFrame:
             return cut
 
 
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The vectors of a block as one array of its own; a block never becomes an object per row."""
+    flat = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in rows.column("x").chunks]
+    return np.concatenate(flat).reshape(rows.num_rows, -1)
+
+
 class PandasClassifier:
     """``solve(x, y) -> model`` and ``apply(model, x) -> labels`` on numpy arrays."""
 
@@ -79,15 +86,15 @@ class PandasClassifier:
             raise ValueError("a block has more than max_rows rows; pass the rows through blocks() first")
         solve = self.solve
 
-        def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-            model = solve(np.stack(pdf["x"]), pdf["label"].to_numpy())
-            return pd.DataFrame(
-                {"block_id": [pdf["block_id"].iloc[0]], "model": [pickle.dumps(model)], "n_train": [len(pdf)]}
-            )
+        def per_block(rows: pa.Table) -> pa.Table:
+            block, n = rows.column("block_id")[0], rows.num_rows
+            model = solve(_matrix(rows), rows.column("label").to_numpy())
+            columns = {"block_id": pa.array([block.as_py()], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())}
+            return pa.table(columns | {"n_train": pa.array([n], pa.int64())})
 
         grouped = rows.select("block_id", "label", "x").groupBy("block_id")
         return materialize(
-            grouped.applyInPandas(per_block, "block_id int, model binary, n_train bigint"), "plugin"
+            grouped.applyInArrow(per_block, "block_id int, model binary, n_train bigint"), "plugin"
         )
 
     def predict(self, rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -151,14 +158,14 @@ class PandasClusterer:
     def fit(self, rows: DataFrame) -> DataFrame:
         solve = self.solve
 
-        def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-            centres = np.asarray(solve(np.stack(pdf["x"])), dtype=float)
-            return pd.DataFrame(
-                {"block_id": pdf["block_id"].iloc[0], "centre_id": range(len(centres)), "c": list(centres)}
-            )
+        def per_block(rows: pa.Table) -> pa.Table:
+            block = rows.column("block_id")[0].as_py()
+            centres = np.asarray(solve(_matrix(rows)), dtype=float)
+            columns = {"block_id": pa.array([block] * len(centres), pa.int32()), "centre_id": pa.array(range(len(centres)), pa.int32())}
+            return pa.table(columns | {"c": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
         bounded = bounded_blocks(rows.select("block_id", "u", "x"), self.max_rows)
-        return bounded.drop("u").groupBy("block_id").applyInPandas(per_block, CENTRES)
+        return bounded.drop("u").groupBy("block_id").applyInArrow(per_block, CENTRES)
 
 
 def read_column(file: str, name: str) -> list:

@@ -298,6 +298,22 @@ def test_plugin_cuts_large_blocks(spark):
     assert found.count() == cut.select("block_id").distinct().count()
 
 
+def test_plugin_solvers_get_whole_arrays(spark):
+    """A block comes as Arrow buffers, not as an object per row."""
+    df, rows = block_rows(spark, n_blocks=3, n=40)
+    seen = lambda x, y=None: (x.dtype.str, x.flags.c_contiguous, x.flags.writeable, x.shape, None if y is None else y.dtype.str)
+    fitted = plugins.PandasClassifier(seen, None).fit(df)
+    assert {r.block_id: pickle.loads(r.model) for r in fitted.collect()} == {
+        b: ("<f8", True, True, (n, 3), "<i4") for b, n in ((0, 80), (1, 40), (2, 40))
+    }
+    centres = plugins.PandasClusterer(lambda x: [x.mean(axis=0), x.max(axis=0)]).fit(df)
+    text = centres._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in text and "FlatMapGroupsInPandas" not in text
+    for r in centres.collect():
+        x = np.array([row[4] for row in rows if row[1] == r.block_id])
+        assert np.allclose(r.c, x.mean(axis=0) if r.centre_id == 0 else x.max(axis=0))
+
+
 def test_text_and_vector_sources(spark, sf_dir):
     assert text_blocks(spark, sf_dir).filter("size(x) != 3").count() == 0
     assert vector_blocks(spark, sf_dir).filter("size(x) != 64").count() == 0
