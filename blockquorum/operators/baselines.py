@@ -32,6 +32,8 @@ CLUSTERERS = {
     "bisectingkmeans": lambda: BisectingKMeans(k=2, maxIter=10, seed=42),
 }
 LAYOUT_ROWS = 20_000
+LAYOUT_PARTS = 256  # partitions from which on they grow instead, up to LAYOUT_MOST rows: every one sends a result per round
+LAYOUT_MOST = 1_000_000
 
 
 @dataclass
@@ -48,10 +50,15 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("features", array_to_vector("x"))
 
 
+def layout_parts(n_rows: int) -> int:
+    least, most = (max(1, -(-n_rows // size)) for size in (LAYOUT_MOST, LAYOUT_ROWS))
+    return max(least, min(most, LAYOUT_PARTS))
+
+
 def fixed_layout(rows: DataFrame) -> DataFrame:
     """The same rows in the same partitions and order on every cluster: seeded starts and samples of
     Spark ML then find the same models."""
-    n = max(1, -(-rows.count() // LAYOUT_ROWS))
+    n = layout_parts(rows.count())
     return rows.repartition(n, "u").sortWithinPartitions("u", *[c for c in ("row_key",) if c in rows.columns])
 
 
@@ -60,13 +67,13 @@ def run_full(rows: DataFrame, estimator: Estimator, share: float = 0.9) -> FullR
 
     A negative share trains on its size and applies nothing.
     """
-    train, test = row_split(with_features(rows), share)
-    with cached(fixed_layout(train)) as kept:
+    train, test = row_split(rows, share)
+    with cached(with_features(fixed_layout(train))) as kept:  # rows are moved without their features
         kept.count()
         begin = perf_counter()
         model = Pipeline(stages=[estimator]).fit(kept)
         seconds = perf_counter() - begin
-    return FullRun(model, seconds, None if test is None else model.transform(test))
+    return FullRun(model, seconds, None if test is None else model.transform(with_features(test)))
 
 
 def full_classifier(rows: DataFrame, algo: str, share: float = 0.9) -> tuple[FullRun, DataFrame | None]:

@@ -388,3 +388,16 @@ def test_packed_sums_equal_sums_of_rows(spark, monkeypatch, loss):
     for b in plain:
         near = 0 if loss.stretch > 1 else 1e-9  # the exponentials of the logistic loss may differ in their last bit
         assert np.allclose(packed[b], plain[b], rtol=near, atol=near, equal_nan=True)
+
+
+@pytest.mark.parametrize(("rows", "parts"), [(0, 1), (1, 1), (20_001, 2), (5_120_000, 256), (36_000_000, 256), (300_000_000, 300)])
+def test_large_tables_get_larger_partitions(rows, parts):
+    assert baselines.layout_parts(rows) == parts
+
+
+def test_rows_move_without_their_features(spark):
+    df, _ = block_rows(spark)
+    plan = baselines.with_features(baselines.fixed_layout(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("features") < plan.index("RepartitionByExpression")
+    run, found = baselines.full_classifier(df, "LR")
+    assert "features" in run.predicted.columns and found.first().n_test > 0
