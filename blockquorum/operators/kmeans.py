@@ -48,8 +48,8 @@ def _start(work: DataFrame, k: int, dim: int) -> DataFrame:
 
 
 def _round(work: DataFrame, state: DataFrame, k: int, dim: int, tol: float) -> DataFrame:
-    """One step for the blocks still moving. Their old centres are part of the group key, which
-    saves a join; a cluster without rows keeps its centre."""
+    """One step for the blocks still moving. Narrow sums have two numbers as their group key, the old centres come back
+    by a join of the few sums; a cluster without rows keeps its centre."""
     moving = state.filter("moving").select(*KEYS, "centres")
     placed = work.join(moving, KEYS).withColumn("cluster", F.expr(nearest_sql("x", "centres", k, dim)))
     if k * dim <= NARROW:
@@ -57,7 +57,7 @@ def _round(work: DataFrame, state: DataFrame, k: int, dim: int, tol: float) -> D
             ", ".join(f"avg(CASE WHEN cluster = {c} THEN x[{j}] END)" for j in range(dim)) for c in range(k)
         ]
         sums = F.expr(f"array({', '.join(f'array({m})' for m in means)})").alias("means")
-        grouped = placed.groupBy(*KEYS, "centres").agg(sums)
+        grouped = placed.groupBy(*KEYS).agg(sums).join(moving, KEYS)
         mean = "CASE WHEN means[{c}][0] IS NULL THEN centres[{c}] ELSE means[{c}] END"
     else:
         vectors = placed.groupBy(*KEYS, "centres", "cluster").agg(
