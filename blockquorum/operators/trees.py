@@ -5,7 +5,8 @@ sketches find in one pass, so neither skew nor far-off values cost bins. A level
 label counts per (block, tree, node, feature, bin). The best Gini split per node follows from running
 sums over the bins, and the small table of splits is joined back to move rows to the child nodes. These
 joins are cheap, so rows are cached only every few levels and walk from there. A forest keeps each row
-once, whatever the number of trees, and unfolds it by tree only on the way into the counts.
+once, whatever the number of trees. Rows of a block with equal label and bins take the same path in every
+tree, so they are added up to one cell before the levels, and cells unfold by tree only on the way into the counts.
 """
 
 from __future__ import annotations
@@ -69,10 +70,25 @@ def bootstrap(binned: DataFrame, n_trees: int, seed: int) -> DataFrame:
     A digest of the row serves eight trees, four hex digits each; these compare as text.
     """
     digits = F.concat(*[digest(f"draw{seed}", F.lit(g), "u") for g in range(-(-n_trees // 8))])
-    reached = " + ".join(f"int(d >= '{int(p * (1 << 16)):04x}')" for p in POISSON_STEPS)
-    pieces = f"transform(sequence(0, {n_trees - 1}), t -> substr(digits, t * 4 + 1, 4))"
-    draws = f"transform({pieces}, d -> cast({reached} AS tinyint)) AS draws"
-    return binned.withColumn("digits", digits).selectExpr(*binned.columns, draws)
+    limits = [f"{int(p * (1 << 16)):04x}" for p in POISSON_STEPS]
+
+    def drawn(tree: int) -> str:  # written out per tree: a lambda over the trees would not be compiled
+        digit = f"substr(digits, {tree * 4 + 1}, 4)"
+        return f"CASE {' '.join(f"WHEN {digit} < '{p}' THEN {k}Y" for k, p in enumerate(limits))} ELSE {len(limits)}Y END"
+
+    return binned.withColumn("digits", digits).withColumn("draws", _array([drawn(t) for t in range(n_trees)])).drop("digits")
+
+
+def cells(drawn: DataFrame, n_trees: int) -> DataFrame:
+    """Rows of a block with equal label and bins as one, with ``draws``: how often each tree draws any of them.
+
+    A block has no more cells than rows, and no more than ``classes * bins ** dim``, however many rows it has.
+    """
+    sums = [f"sum(draws[{t}])" for t in range(n_trees)]
+    summed = drawn.groupBy("block_id", "label", "bins").agg(_array(sums).alias("draws"))
+    # Neighbouring blocks together again, so that label counts combine before their shuffle.
+    n = max(drawn.sparkSession.sparkContext.defaultParallelism, int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return summed.repartitionByRange(n, "block_id", F.xxhash64("label", "bins"))
 
 
 def _feature_subset(node: Column, dim: int, m: int, seed: int) -> Column:
@@ -161,10 +177,10 @@ def _grow_forest(
 ) -> tuple[DataFrame, list[DataFrame], int]:
     """The same for a forest per block.
 
-    A row is kept once, with how often each tree draws it (``draws``) and where it stands in each tree
-    (``slots``). The live nodes of a block, of all its trees, are numbered 0, 1, 2 ...: a row's slot in a tree
-    is the number of its node, -1 below a leaf. Rows unfold by tree and tried feature only on the way into the
-    label counts. Joined to the rows is one row per block with a few numbers for each slot.
+    A cell of equal rows is kept once, with how often each tree draws its rows (``draws``) and where they stand in
+    each tree (``slots``). The live nodes of a block, of all its trees, are numbered 0, 1, 2 ...: a cell's slot in a
+    tree is the number of its node, -1 below a leaf. Cells unfold by tree and tried feature only on the way into the
+    label counts. Joined to them is one row per block with a few numbers for each slot.
     """
     m = max(1, int(math.sqrt(dim)))
     slot = ["block_id", "slot"]
@@ -173,9 +189,13 @@ def _grow_forest(
         "transform(slots, s -> if(s < 0, -1, coalesce("
         "base[s] + if(bins[feature[s]] <= cut[s], 0, 1), -1))) AS slots"
     )
+    in_tree = (
+        "transform(slots, (s, t) -> named_struct('slot', s, 'weight', draws[t], "
+        f"'tried', if(s < 0, null, slice(picks, s * {m} + 1, {m}))))"
+    )
     with ExitStack() as held:
         start = f"sequence(0, {n_trees - 1}) AS slots"
-        data = bootstrap(binned, n_trees, seed).selectExpr("block_id", "label", "bins", "draws", start)
+        data = cells(bootstrap(binned, n_trees, seed), n_trees).selectExpr("block_id", "label", "bins", "draws", start)
         data = held.enter_context(cached(data))
         drawn = data.selectExpr("block_id", "label", "posexplode(draws) AS (tree, weight)").filter("weight > 0")
         roots, n = _roots(drawn.withColumn("node", F.lit(1)), classes)
@@ -190,11 +210,10 @@ def _grow_forest(
             picks = settle(
                 _by_slot(tried, "picks").withColumn("picks", F.flatten("picks")), (m * n_trees << level) + 1, "picks", most=n
             )
-            in_trees = data.join(picks, "block_id").selectExpr(
-                "block_id", "label", "bins", "draws", "picks", "posexplode(slots) AS (tree, slot)"
-            )
-            long = in_trees.filter("slot >= 0 AND draws[tree] > 0").selectExpr(
-                *slot, "label", "bins", "int(draws[tree]) AS weight", f"explode(slice(picks, slot * {m} + 1, {m})) AS feature"
+            # The features tried go out of the picks before the rows unfold, so no copy carries all of them.
+            by_tree = data.join(picks, "block_id").selectExpr("block_id", "label", "bins", f"inline({in_tree})")
+            long = by_tree.filter("slot >= 0 AND weight > 0").selectExpr(
+                *slot, "label", "bins", "weight", "explode(tried) AS feature"
             ).selectExpr(*slot, "label", "weight", "feature", "bins[feature] AS bin")
             best = best_splits(long, classes, min_leaf, slot).join(live, slot)
             base = 2 * (F.row_number().over(Window.partitionBy("block_id").orderBy("slot")) - 1)

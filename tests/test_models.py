@@ -185,6 +185,19 @@ def test_forest_keeps_each_row_once(spark):
     assert abs(np.corrcoef(draws.T)[np.triu_indices(20, 1)]).max() < 0.1
 
 
+def test_forest_counts_equal_rows_once(spark):
+    """What the levels unfold is bounded by the bins, not by the rows, and loses no draw."""
+    df, rows = block_rows(spark, n=1500)
+    drawn = trees.bootstrap(trees.bin_rows(df, 3, bins=4)[0], 5, seed=7)
+    want = {}
+    for r in drawn.collect():
+        cell = want.setdefault((r.block_id, r.label, *r.bins), np.zeros(5, dtype=int))
+        cell += r.draws
+    got = {(r.block_id, r.label, *r.bins): r.draws for r in trees.cells(drawn, 5).collect()}
+    assert got.keys() == want.keys() and all(got[k] == list(want[k]) for k in want)
+    assert len(got) <= 3 * 2 * 4**3 < len(rows)
+
+
 def test_forest_nodes_split_and_answer_as_counted_by_hand(spark):
     df, _ = block_rows(spark, n=200)
     binned = trees.bin_rows(df, 3)[0]
