@@ -13,11 +13,11 @@ the most unique tokens is the article: all its blocks that are not out are kept,
 without such a mark the article is the innermost element that holds ``SHARE`` of the unique tokens, and blocks that
 boilerplate covers by ``COVERED`` are removed from it.
 
-Repeats are looked for over the whole host. A page with exactly one mark is decided by it, whatever repeats, and is
-read once where it lies. For the other pages, tasks go over all pages of their hosts in groups of ``GROUP_BYTES`` of
-html, group equal runs of ``LEAST_RUN`` tokens by the suffix array, and give for each a 64-bit hash (the host is part of
-it) and the least and largest of the streams that hold it; Spark adds these up, and the hashes on different streams
-go back to the pages. Neither the groups nor the number of tasks changes a text.
+Repeats are looked for over the whole host, for every page: the unique runs come first, the marks are checked after them.
+Tasks go over all pages of a host in groups of ``GROUP_BYTES`` of html, group equal runs of ``LEAST_RUN`` tokens by the
+suffix array, and give for each a 64-bit hash (the host is part of it) and the least and largest of the streams that
+hold it; Spark adds these up, and the hashes on different streams go back to the pages. Neither the groups nor the
+number of tasks changes a text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by newlines; a
 line break element counts as white space. Edge cases: null or empty html and pages without text give an empty text; a page
@@ -321,20 +321,6 @@ def run_hashes(tokens: np.ndarray, host: str) -> np.ndarray:
     return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts of pages that do not depend on other pages; the others keep their html."""
-    for batch in batches:
-        texts, left = [], []
-        for html in batch.column("html").to_pylist():
-            page = read_page(html)
-            done = is_decided(page)
-            texts.append(article(page, [0] * len(page.blocks), [0] * len(page.blocks)) if done else None)
-            left.append(None if done else html)
-        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
-        columns += [pa.array([None if t is None else len(t) for t in texts], pa.int64()), batch.column("host"), pa.array(left, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "host", "html"])
-
-
 def _runs_of(group_bytes: int):
     """For each group of pages and host: every run once, with the least and largest stream that holds it."""
 
@@ -371,13 +357,15 @@ def _runs_of(group_bytes: int):
 def _runs_of_page(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(page, run) for every run of a page."""
     for batch in batches:
-        for k, host, html in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html"))):
-            runs = np.unique(run_hashes(token_hashes(read_page(html), {}), host))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), k), pa.int64()), pa.array(runs)], names=["page", "run"])
+        pages, runs = batch.column("page").to_numpy(), [np.empty(0, dtype=np.int64)]
+        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
+            runs.append(np.unique(run_hashes(token_hashes(read_page(html), {}), host)))
+        owner = np.repeat(pages, [len(r) for r in runs[1:]])
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(runs))], names=["page", "run"])
 
 
 def _marked_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, text) from the html and the page's runs that are repeated."""
+    """The texts of pages, from the html and the page's runs that are repeated."""
     for batch in batches:
         texts = []
         for host, html, runs in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "runs"))):
@@ -388,25 +376,20 @@ def _marked_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *total])
             sums = np.concatenate([[0], np.cumsum(~covered_by(hits, len(tokens)))])
             texts.append(article(page, np.diff(sums[ends]).tolist(), total))
-        yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(texts, pa.string())], names=["page", "text"])
+        columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())]
+        columns += [pa.array([len(t) for t in texts], pa.int64()), batch.column("host")]
+        yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "host"])
 
 
 def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars, host) of every page (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+    rows = rows.withColumn("page", F.xxhash64("host", "html"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = materialize(in_arrow(rows, _decided, f"page_id {kind}, url string, text string, n_chars bigint, host string, html string"), "pages")
-    left = read.filter("html is not null").drop("text", "n_chars").withColumn("page", F.xxhash64("host", "html"))
-    decided = read.filter("html is null").drop("html")
-    if left.isEmpty():
-        return decided
-    own_hosts = rows.select("host", "html").join(left.select("host").distinct(), "host", "left_semi")
-    runs = in_arrow(own_hosts, _runs_of(group_bytes), "run bigint, lo bigint, hi bigint")
+    runs = in_arrow(rows.select("host", "html"), _runs_of(group_bytes), "run bigint, lo bigint, hi bigint")
     repeats = runs.groupBy("run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi").select("run")
-    once = materialize(left.select("page", "host", "html").dropDuplicates(["page"]), "left")
-    found = in_arrow(once, _runs_of_page, "page bigint, run bigint").join(repeats, "run", "left_semi")
-    marks = once.join(found.groupBy("page").agg(F.collect_list("run").alias("runs")), "page", "left")
-    texts = materialize(in_arrow(marks, _marked_off, "page bigint, text string"), "texts")
-    told = left.select("page_id", "url", "host", "page").join(texts, "page")
-    return decided.unionByName(told.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"), "host"))
+    of_pages = in_arrow(rows.select("page", "host", "html"), _runs_of_page, "page bigint, run bigint")
+    found = of_pages.join(materialize(repeats, "repeats"), "run", "left_semi")
+    marks = rows.join(found.groupBy("page").agg(F.collect_set("run").alias("runs")), "page", "left")
+    return in_arrow(marks, _marked_off, f"page_id {kind}, url string, text string, n_chars bigint, host string")

@@ -91,6 +91,20 @@ def test_repeated_as_brute_force(seed):
     assert [tuple(tokens[i : i + 64]) for i in order] == sorted(tuple(tokens[i : i + 64]) for i in range(60))
 
 
+def test_every_page_goes_through_the_suffix_array(spark, monkeypatch):
+    """Pages with one mark, too: what the suffix array finds on them goes back to them."""
+    handed, asked = [], mainpage.in_arrow
+    monkeypatch.setattr(mainpage, "in_arrow", lambda df, run, schema: handed.append((run.__qualname__, df)) or asked(df, run, schema))
+    page = "<nav>the same menu of six words</nav><article>{} is told here in some words</article>"
+    rows = [(i, f"http://a.b/{i}", page.format(w)) for i, w in enumerate(("alpha", "beta"))]
+    got = {r.page_id: r.text for r in mainpage.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {0: "alpha is told here in some words", 1: "beta is told here in some words"}
+    inputs = {name.split(".")[0]: df for name, df in handed}
+    assert sorted(r.html for r in inputs["_runs_of"].collect()) == sorted(h for *_, h in rows)
+    # the menu and the words that both articles share
+    assert sorted(len(r.runs or []) for r in inputs["_marked_off"].collect()) == [2, 2]
+
+
 def test_page_edges(spark):
     rows = [(1, "http://a.b/x", None), (1, "http://a.b/x", None), (2, None, "<p>x"), (None, "", ""), (3, "http://A.B", "<article>cut &am"), (4, "x", "<p"), (5, "x", "plain  text"), (6, "x", "<article><p>" + "long text " * 50000)]
     df = spark.createDataFrame([(*r, "h", 1) for r in rows], PAGES + ", host string, salt int")
