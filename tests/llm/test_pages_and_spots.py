@@ -105,6 +105,72 @@ def test_every_page_goes_through_the_suffix_array(spark, monkeypatch):
     assert sorted(len(r.runs or []) for r in inputs["_marked_off"].collect()) == [2, 2]
 
 
+def test_steps_hand_on_less_than_they_read(spark, monkeypatch):
+    """What goes from step to step and back, in bytes, against the html of pages whose runs are nearly all unique."""
+    given, asked = [], mainpage.in_arrow
+    monkeypatch.setattr(mainpage, "in_arrow", lambda df, run, schema: given.append(asked(df, run, schema)) or given[-1])
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), rng.integers(3, 12))) for _ in range(800)])
+    html = "<nav>the same menu of six words</nav><article><p>{}</p><p>{}</p></article>"
+    rows = [(i, f"http://a.b/{i}", html.format(*(" ".join(words[rng.integers(0, 800, 150)]) for _ in range(2)))) for i in range(400)]
+    mainpage.extract(spark.createDataFrame(rows, PAGES).repartition(4)).collect()
+    sizes = []
+    for df in given[:-1]:
+        for f in df.schema:
+            kind = f.dataType.simpleString()
+            size = F.length(f.name) if kind in ("binary", "string") else 8 * F.size(f.name) if kind == "array<bigint>" else F.lit(8)
+            sizes.append(df.agg(F.sum(size)).first()[0])
+    assert sum(sizes) < 1.5 * sum(len(h) for *_, h in rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packed_numbers_come_back(seed):
+    rng = np.random.default_rng(seed)
+    for n, bits in ((0, 13), (1, 13), (1, 31), (5, 3), (200, 13), (3000, 16), (700, 31), (40, 34)):
+        values = np.sort(rng.integers(0, 1 << bits, n))
+        packed = mainpage.pack(values, bits)
+        assert (mainpage.unpack(packed, n, bits) == values).all()
+        assert len(packed) * 8 <= n * (max(0, bits - np.log2(max(1, n))) + 4) + 32
+        places = np.flatnonzero(rng.random(bits * 100) < rng.choice([0.001, 0.01, 0.5, 1]))
+        assert (mainpage.from_gaps(mainpage.gaps(places)) == places).all()
+    edges = np.array([0, 254, 509, 765, 765 + 510, 100_000])
+    assert (mainpage.from_gaps(mainpage.gaps(edges)) == edges).all() and len(mainpage.from_gaps(None)) == 0
+
+
+def test_values_of_two_streams():
+    """Against counting; equal values in a chunk, streams that are not handed in, or handed in by several."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for chunk in range(5):
+        values = np.sort(rng.integers(0, 200, 60))
+        handed = rng.integers(0, 3, 60)
+        rows.append((chunk, 7 * chunk, values, handed))
+    short = mainpage.pa.table(
+        {
+            "chunk": [c for c, *_ in rows],
+            "base": [b for _, b, *_ in rows],
+            "n": [60] * 5,
+            "runs": [mainpage.pack(v, 8) for _, _, v, _ in rows],
+            "none": [mainpage.gaps(np.flatnonzero(h == 0)) for *_, h in rows],
+            "more": [mainpage.gaps(np.flatnonzero(h == 2)) for *_, h in rows],
+        }
+    )
+    whole = mainpage.pa.table(
+        {
+            "chunk": short["chunk"],
+            "base": short["base"],
+            "places": [mainpage.gaps(np.arange(60))] * 5,
+            "runs": [(v | h << 56).astype("<u8").tobytes() for *_, v, h in rows],
+        }
+    )
+    total = np.zeros(200, dtype=int)
+    for *_, v, h in rows:
+        np.add.at(total, v, h)
+    want = [(c, b, np.flatnonzero(total[v] >= 2).tolist()) for c, b, v, _ in rows]
+    for got in (mainpage._short_in_two(8)(short), mainpage._whole_in_two(whole)):
+        assert [(r["chunk"], r["base"], mainpage.from_gaps(r["places"]).tolist()) for r in got.to_pylist()] == want
+
+
 def test_page_edges(spark):
     rows = [(1, "http://a.b/x", None), (1, "http://a.b/x", None), (2, None, "<p>x"), (None, "", ""), (3, "http://A.B", "<article>cut &am"), (4, "x", "<p"), (5, "x", "plain  text"), (6, "x", "<article><p>" + "long text " * 50000)]
     df = spark.createDataFrame([(*r, "h", 1) for r in rows], PAGES + ", host string, salt int")
