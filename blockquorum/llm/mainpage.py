@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from hashlib import blake2b
@@ -41,6 +41,7 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -90,6 +91,7 @@ class Page:
     out: list[bool] = field(default_factory=list)
     around: list[int] = field(default_factory=lambda: [0])
     marked: set[int] = field(default_factory=set)  # elements that say they are the article
+    lengths: list[int] = field(default_factory=list)  # tokens of the blocks, where those are stored elsewhere
 
     def sums(self, values: list[int]) -> list[int]:
         """Per element the sum of a value of its blocks, those of inner elements too, without blocks that are out."""
@@ -254,7 +256,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_RUN) -> np
 
 def marked_with_text(page: Page) -> set[int]:
     """The elements marked as an article that hold a block which is not out."""
-    held = page.sums([1] * len(page.inside)) if page.marked else []
+    held = page.sums([1] * len(page.blocks)) if page.marked else []
     return {e for e in page.marked if held[e]}
 
 
@@ -263,22 +265,20 @@ def is_decided(page: Page) -> bool:
     return len(marked_with_text(page)) == 1 or all(page.out)
 
 
-def article_blocks(page: Page, unique: list[int], total: list[int]) -> list[int]:
-    """The blocks of the article, from the unique and all tokens of each block."""
+def article(page: Page, unique: list[int], total: list[int]) -> str:
+    """The article's text, from the unique and all tokens of each block."""
     marked = marked_with_text(page)
     own = page.sums(unique)
     if marked:
         whole = page.sums(total)
-        return page.held_by(max(marked, key=lambda e: (own[e], whole[e], -e)))
-    kept = [b for b, out in enumerate(page.out) if not out]
-    # the innermost element that still holds most of what is unique
-    if own[0]:
-        kept = page.held_by(max(e for e, n in enumerate(own) if n >= SHARE * own[0]))
-    return [b for b in kept if unique[b] > (1 - COVERED) * total[b]] or kept
-
-
-def article(page: Page, unique: list[int], total: list[int]) -> str:
-    return "\n".join(page.blocks[b] for b in article_blocks(page, unique, total))
+        kept = page.held_by(max(marked, key=lambda e: (own[e], whole[e], -e)))
+    else:
+        kept = [b for b, out in enumerate(page.out) if not out]
+        # the innermost element that still holds most of what is unique
+        if own[0]:
+            kept = page.held_by(max(e for e, n in enumerate(own) if n >= SHARE * own[0]))
+        kept = [b for b in kept if unique[b] > (1 - COVERED) * total[b]] or kept
+    return "\n".join(page.blocks[b] for b in kept)
 
 
 def articles(htmls: list[str]) -> list[str]:
@@ -367,46 +367,44 @@ class _Filling:
 
     def __init__(self):
         self.pages: list[Page] = []
-        self.ids: list[np.ndarray] = []
-        self.streams: list[int] = []
+        self.streams: list[str] = []
         self.of: list[pa.RecordBatch] = []
-        self.vocab: dict[str, int] = defaultdict()
-        self.vocab.default_factory = self.vocab.__len__
         self.size = 0
 
     def read(self, html: str) -> None:
         page = read_page(html)
-        stream = " ".join(page.blocks)
-        words = stream.split(" ") if stream else []
-        self.ids.append(np.fromiter(map(self.vocab.__getitem__, words), np.int32, len(words)))
-        self.streams.append(_hash64(stream))
+        self.streams.append(" ".join(page.blocks))
+        page.lengths = [b.count(" ") + 1 for b in page.blocks]
+        page.blocks = []
         self.size += len(html)
         self.pages.append(page)
 
     def row(self, number: int) -> pa.RecordBatch:
-        ids, words = np.concatenate(self.ids), list(self.vocab)
+        split = pc.split_pattern(pa.array([s or None for s in self.streams], pa.string()), " ")
+        tokens = split.flatten().dictionary_encode()
+        ids, words = tokens.indices.to_numpy(), tokens.dictionary
         # frequent words first, others by letter: numbers and words then pack well
-        order = np.array(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64)
-        order = order[np.argsort(-np.minimum(np.bincount(ids, minlength=len(words)), 16)[order], kind="stable")]
+        order = pc.array_sort_indices(words).to_numpy()
+        order = order[np.argsort(-np.bincount(ids, minlength=len(words))[order], kind="stable")]
         rank = np.empty(len(words), dtype=np.int32)
         rank[order] = np.arange(len(words), dtype=np.int32)
-        ids = rank[ids]
+        ids, words = rank[ids], " ".join(words.take(pa.array(order)).to_pylist())
         planes = {f"b{k}": pa.array((ids >> 8 * k & 255).astype(np.uint8)) for k in range(4)}
         pages = {c: pa.chunked_array([b.column(c) for b in self.of]).combine_chunks() for c in ("page_id", "url", "host")}
         known = {h: _hash64(h) for h in set(pages["host"].to_pylist())}
         hosts = np.array([known[h] for h in pages["host"].to_pylist()], dtype=np.uint64).view(np.int64)
         numbers = pa.list_(pa.int32())
-        pages["blocks"] = pa.array([[b.count(" ") + 1 for b in p.blocks] for p in self.pages], numbers)
+        pages["blocks"] = pa.array([p.lengths for p in self.pages], numbers)
         pages["inside"] = pa.array([p.inside for p in self.pages], numbers)
         pages["around"] = pa.array([p.around for p in self.pages], numbers)
         pages["marked"] = pa.array([sorted(p.marked) for p in self.pages], numbers)
         pages["out"] = pa.array([p.out for p in self.pages], pa.list_(pa.bool_()))
         columns = [
             pa.array([number], pa.int64()),
-            pa.array([[len(i) for i in self.ids]], numbers),
-            pa.array([np.array(self.streams, dtype=np.uint64).view(np.int64)], pa.list_(pa.int64())),
+            pa.array([[sum(p.lengths) for p in self.pages]], numbers),
+            pa.array([np.array([_hash64(s) for s in self.streams], dtype=np.uint64).view(np.int64)], pa.list_(pa.int64())),
             pa.array([hosts], pa.list_(pa.int64())),
-            pa.array([_stored({"words": pa.array([" ".join(words[i] for i in order.tolist())])})], pa.binary()),
+            pa.array([_stored({"words": pa.array([words])})], pa.binary()),
             pa.array([_stored(planes)], pa.binary()),
             pa.array([_stored(pages)], pa.binary()),
         ]
@@ -576,13 +574,15 @@ def _marked_off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.zeros(len(runs), dtype=bool)
         again[from_gaps(row["runs"])] = True
         unique = np.concatenate([[0], np.cumsum(~covered_by(chunk.places[again[of]], len(chunk.ids)))])
-        texts, end = [], 0
+        lengths = rows.column("blocks").flatten().to_numpy()
+        starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        words = pa.array(chunk.words, pa.string()).take(pa.array(chunk.ids))
+        written = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), words), " ").to_pylist()
+        unique, texts, end = np.diff(unique[starts]).tolist(), [], 0
         for blocks, inside, around, marked, out in zip(*(rows.column(c).to_pylist() for c in ("blocks", "inside", "around", "marked", "out"))):
-            ends = end + np.cumsum([0, *blocks])
-            end = int(ends[-1])
-            page = Page(inside=inside, out=out, around=around, marked=set(marked))
-            kept = article_blocks(page, np.diff(unique[ends]).tolist(), blocks)
-            texts.append("\n".join(" ".join([chunk.words[i] for i in chunk.ids[ends[b] : ends[b + 1]].tolist()]) for b in kept))
+            start, end = end, end + len(blocks)
+            page = Page(written[start:end], inside, out, around, set(marked))
+            texts.append(article(page, unique[start:end], blocks))
         columns = [rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string())]
         columns += [pa.array([len(t) for t in texts], pa.int64()), rows.column("host")]
         yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "host"])
@@ -593,7 +593,9 @@ def _by_bucket(chunks: DataFrame, buckets: int) -> DataFrame:
     spark, path = chunks.sparkSession, fresh_path(chunks.sparkSession, "chunks")
     name = f"chunks_{uuid.uuid4().hex}"
     chunks.write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name alone, the files stay
+    return stored
 
 
 def extract(pages: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
