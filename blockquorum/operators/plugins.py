@@ -2,14 +2,18 @@
 
 A block classifier or clusterer is any object with the methods below, DataFrames in and out.
 ``PandasClassifier`` and ``PandasClusterer`` wrap a solver that wants the rows of a block as
-arrays: blocks above ``max_rows`` are first cut into sub-blocks, each again a random sample, so
-no task ever holds more than that. The sub-blocks are then the blocks, each with its own model.
+arrays. A block of any size is solved whole, with one model: its rows go to a file of the task, which
+the solver sees as an array, so a task holds no more of a block than its solver copies out of it. Only a
+caller who gives ``max_rows`` gets blocks above that cut into sub-blocks, each again a random sample
+and a block with a model of its own.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable
+import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Protocol
 
 import numpy as np
@@ -44,13 +48,13 @@ def largest_block(rows: DataFrame) -> int:
     return rows.groupBy("block_id").count().agg(F.max("count")).first()[0] or 0
 
 
-def bounded_blocks(rows: DataFrame, max_rows: int) -> DataFrame:
-    """Cut all blocks so that none has more than ``max_rows`` rows.
+def bounded_blocks(rows: DataFrame, max_rows: int | None) -> DataFrame:
+    """Cut all blocks so that none has more than ``max_rows`` rows; without it all stay whole.
 
     The rows get a new order value from the old one and their running number, so that copies of
     one row part as well.
     """
-    if largest_block(rows) <= max_rows:
+    if max_rows is None or largest_block(rows) <= max_rows:
         return rows
     spare = 1
     while True:
@@ -66,31 +70,43 @@ def bounded_blocks(rows: DataFrame, max_rows: int) -> DataFrame:
             return cut
 
 
-def _matrix(rows: pa.Table) -> np.ndarray:
-    """The vectors of a block as one array of its own; a block never becomes an object per row."""
-    flat = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in rows.column("x").chunks]
-    return np.concatenate(flat).reshape(rows.num_rows, -1)
+@contextmanager
+def _matrix(batches: Iterator[pa.RecordBatch], labels: list[np.ndarray] | None = None):
+    """The vectors of a block as one array, in a file that is gone with the task; ``labels`` takes those of its rows, by
+    batch. A block never becomes an object per row."""
+    with tempfile.TemporaryFile() as file:
+        n = 0
+        for batch in batches:
+            file.write(np.ascontiguousarray(batch.column("x").flatten().to_numpy(zero_copy_only=False), dtype=float))
+            n += batch.num_rows
+            if labels is not None:
+                labels.append(batch.column("label").to_numpy(zero_copy_only=False).copy())
+        file.flush()
+        flat = np.memmap(file, dtype=float, mode="r+").view(np.ndarray) if file.tell() else np.empty(0)
+        yield flat.reshape(n, -1)
 
 
 class PandasClassifier:
     """``solve(x, y) -> model`` and ``apply(model, x) -> labels`` on numpy arrays."""
 
-    def __init__(self, solve: Callable, apply: Callable, max_rows: int = 1_000_000, model_bytes: int = 64_000_000):
+    def __init__(self, solve: Callable, apply: Callable, max_rows: int | None = None, model_bytes: int = 64_000_000):
         self.solve, self.apply, self.max_rows, self.model_bytes = solve, apply, max_rows, model_bytes
 
     def blocks(self, rows: DataFrame) -> DataFrame:
         return bounded_blocks(rows, self.max_rows)
 
     def fit(self, rows: DataFrame) -> DataFrame:
-        if largest_block(rows) > self.max_rows:
+        if self.max_rows is not None and largest_block(rows) > self.max_rows:
             raise ValueError("a block has more than max_rows rows; pass the rows through blocks() first")
         solve = self.solve
 
-        def per_block(rows: pa.Table) -> pa.Table:
-            block, n = rows.column("block_id")[0], rows.num_rows
-            model = solve(_matrix(rows), rows.column("label").to_numpy())
-            columns = {"block_id": pa.array([block.as_py()], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())}
-            return pa.table(columns | {"n_train": pa.array([n], pa.int64())})
+        def per_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels: list[np.ndarray] = []
+            with _matrix(batches, labels) as x:
+                y = np.concatenate(labels)
+                model = solve(x, y)
+            columns = {"block_id": pa.array([key[0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns | {"n_train": pa.array([len(y)], pa.int64())})
 
         grouped = rows.select("block_id", "label", "x").groupBy("block_id")
         return materialize(
@@ -152,17 +168,17 @@ class PandasClassifier:
 class PandasClusterer:
     """``solve(x) -> centres`` on numpy arrays."""
 
-    def __init__(self, solve: Callable, max_rows: int = 1_000_000):
+    def __init__(self, solve: Callable, max_rows: int | None = None):
         self.solve, self.max_rows = solve, max_rows
 
     def fit(self, rows: DataFrame) -> DataFrame:
         solve = self.solve
 
-        def per_block(rows: pa.Table) -> pa.Table:
-            block = rows.column("block_id")[0].as_py()
-            centres = np.asarray(solve(_matrix(rows)), dtype=float)
-            columns = {"block_id": pa.array([block] * len(centres), pa.int32()), "centre_id": pa.array(range(len(centres)), pa.int32())}
-            return pa.table(columns | {"c": pa.array(centres.tolist(), pa.list_(pa.float64()))})
+        def per_block(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            with _matrix(batches) as x:
+                centres = np.asarray(solve(x), dtype=float)
+            ids = {"block_id": pa.array([key[0].as_py()] * len(centres), pa.int32()), "centre_id": pa.array(range(len(centres)), pa.int32())}
+            yield pa.RecordBatch.from_pydict(ids | {"c": pa.array(centres.tolist(), pa.list_(pa.float64()))})
 
         bounded = bounded_blocks(rows.select("block_id", "u", "x"), self.max_rows)
         return bounded.drop("u").groupBy("block_id").applyInArrow(per_block, CENTRES)

@@ -314,6 +314,22 @@ def test_plugin_solvers_get_whole_arrays(spark):
         assert np.allclose(r.c, x.mean(axis=0) if r.centre_id == 0 else x.max(axis=0))
 
 
+def test_plugins_solve_blocks_of_any_size_whole(spark):
+    """A block of more than a million rows is one block to its solver, with one model."""
+    from blockquorum.registry.queries import apply_class_means, solve_class_means
+
+    n = 1_050_000
+    x = F.array(F.col("id").cast("double"), F.lit(1.0))
+    df = spark.range(n).select(F.lit(4).alias("block_id"), F.col("id").alias("u"), (F.col("id") % 2).cast("int").alias("label"), x.alias("x"))
+    (centre,) = plugins.PandasClusterer(lambda x: [x.mean(axis=0), x.max(axis=0)][:1]).fit(df).collect()
+    assert (centre.block_id, centre.centre_id) == (4, 0) and np.allclose(centre.c, [(n - 1) / 2, 1.0])
+    plugin = plugins.PandasClassifier(solve_class_means, apply_class_means)
+    (model,) = plugin.fit(plugin.blocks(df)).collect()
+    assert (model.block_id, model.n_train) == (4, n)
+    means = pickle.loads(model.model)
+    assert np.allclose([means[0][0], means[1][0]], [(n - 2) / 2, n / 2])
+
+
 def test_text_and_vector_sources(spark, sf_dir):
     assert text_blocks(spark, sf_dir).filter("size(x) != 3").count() == 0
     assert vector_blocks(spark, sf_dir).filter("size(x) != 64").count() == 0
