@@ -90,6 +90,33 @@ def test_single_label_block(spark):
         assert [r.prediction for r in said] == [1], algo
 
 
+def test_rows_are_packed_in_bounded_pieces(spark, monkeypatch):
+    """However the rows fall into pieces, a piece handed on is bounded, every row is in one, and fits are equal to the last bit."""
+    df, rows = block_rows(spark, n_blocks=5)
+    wanted = sorted(linear.fit_svm(df, rounds=5).collect())
+    monkeypatch.setattr(linear, "PACK_ROWS", 100)
+    monkeypatch.setattr(linear, "CHUNK_ROWS", 16)
+    packed = linear._pack(df.coalesce(1), 3).collect()
+    assert max(len(r.y) for r in packed) <= 16
+    found = sorted((r.block_id, y, *x) for r in packed for y, x in zip(r.y, np.frombuffer(r.x).reshape(3, -1).T.tolist()))
+    assert found == sorted((r[1], r[3], *r[4]) for r in rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert sorted(linear.fit_svm(df, rounds=5).collect()) == wanted
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_large_tables_are_cached_on_disk_alone(spark, monkeypatch):
+    from blockquorum import runtime
+
+    df = spark.range(1000)
+    with runtime.cached(df) as kept:
+        assert kept.storageLevel.useMemory
+    monkeypatch.setattr(runtime, "HELD_BYTES", 1)
+    with runtime.cached(df.withColumn("twice", F.col("id") * 2)) as kept:
+        assert kept.storageLevel.useDisk and not kept.storageLevel.useMemory
+        assert kept.agg(F.sum("twice")).first()[0] == 999_000
+
+
 def gini_tree(bins, y, depth, min_leaf, classes):
     """Nodes of a tree over binned features: {node: (feature, bin, label)}."""
     found, todo = {}, [(1, np.arange(len(y)), 0)]
