@@ -24,6 +24,7 @@ BINS = 32
 ACCURACY = 200_000  # of the quantile sketches: a cut is off by at most one row in so many; exact in blocks of half as many
 MAX_CLASSES = 64
 CACHE_EVERY = 4
+HALVED_DIM = 8  # most features whose bins are found by halving, as code of more would grow too long to be compiled
 NODE = ["block_id", "tree", "node"]
 NO_FEATURE = -1
 
@@ -56,12 +57,28 @@ def bin_rows(rows: DataFrame, dim: int, bins: int = BINS) -> tuple[DataFrame, Da
     up to the cut of the same number.
     """
     cuts = settle(feature_cuts(rows, dim, bins), dim * bins + 1, "cuts")
-    binned = _array([f"size(filter(cuts[{j}], c -> c < x[{j}]))" for j in range(dim)])
     thresholds = cuts.select("block_id", F.posexplode("cuts").alias("feature", "c")).select(
         "block_id", "feature", F.posexplode("c").alias("bin", "threshold")
     )
-    data = rows.join(cuts, "block_id").select("block_id", "u", "label", binned.alias("bins"))
-    return data, thresholds
+    if dim > HALVED_DIM:
+        binned = _array([f"size(filter(cuts[{j}], c -> c < x[{j}]))" for j in range(dim)])
+        return rows.join(cuts, "block_id").select("block_id", "u", "label", binned.alias("bins")), thresholds
+    return _bins_by_halves(rows, cuts, dim, bins), thresholds
+
+
+def _bins_by_halves(rows: DataFrame, cuts: DataFrame, dim: int, bins: int) -> DataFrame:
+    """The number of cuts below each value, found by halving the sorted cuts: some five comparisons a value, all in
+    generated code, where a lambda over the cuts would be interpreted."""
+    features, steps = range(dim), [1 << i for i in reversed(range((bins - 1).bit_length()))]
+    sorted_cuts = cuts.selectExpr("block_id", *[f"array_sort(cuts[{j}]) AS c{j}" for j in features])
+    keep = ["block_id", "u", "label", *[f"c{j}" for j in features], *[f"x{j}" for j in features]]
+    data = rows.select("block_id", "u", "label", *[F.col("x")[j].alias(f"x{j}") for j in features]).join(sorted_cuts, "block_id")
+    data = data.selectExpr(*keep, *[f"0 AS p{j}" for j in features])
+    for step in steps:
+        further = [f"p{j} + if(get(c{j}, p{j} + {step - 1}) < x{j}, {step}, 0) AS p{j}" for j in features]
+        data = data.selectExpr(*keep, *further)
+    binned = _array([f"if(c{j} IS NULL, size(c{j}), p{j})" for j in features])
+    return data.select("block_id", "u", "label", binned.alias("bins"))
 
 
 def bootstrap(binned: DataFrame, n_trees: int, seed: int) -> DataFrame:

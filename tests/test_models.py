@@ -90,6 +90,19 @@ def test_single_label_block(spark):
         assert [r.prediction for r in said] == [1], algo
 
 
+@pytest.mark.parametrize("bins", [2, 7, 32])
+def test_bins_by_halving_count_the_cuts_below(spark, bins):
+    """Equal to the lambda over the cuts, with ties, infinite values and features without values; no lambda is left in the plan."""
+    values = [None, float("-inf"), 0.0, 1.0, 1.0, 2.5, float("inf")]
+    rows = [(f"{i}", i % 3, i, i % 2, [values[i % 7], float(i % 11), None if i % 3 else 1.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, ROWS)
+    data, _ = trees.bin_rows(df, 3, bins)
+    assert "lambda" not in data._jdf.queryExecution().optimizedPlan().toString()
+    counted = F.expr(f"array({', '.join(f'size(filter(cuts[{j}], c -> c < x[{j}]))' for j in range(3))})")
+    wanted = df.join(trees.feature_cuts(df, 3, bins), "block_id").select("block_id", "u", "label", counted.alias("bins"))
+    assert sorted(data.collect(), key=lambda r: r.u) == sorted(wanted.collect(), key=lambda r: r.u)
+
+
 def test_rows_are_packed_in_bounded_pieces(spark, monkeypatch):
     """However the rows fall into pieces, a piece handed on is bounded, every row is in one, and fits are equal to the last bit."""
     df, rows = block_rows(spark, n_blocks=5)
